@@ -11,6 +11,7 @@ from .chat import format_chats, read_back
 from .common import table
 from .exact_dedup import exact_duplicates
 from .packing import pack
+from .secrets import findings
 from .sharding import byte_shards
 from .simhash import near_duplicates
 
@@ -35,6 +36,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_byte_bpe, op6_chat_format, op9_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_byte_bpe, op6_chat_format, op8_secrets, op9_exact_dedup, op10_sharding)}
 
 ORACLES = {
     "op9_exact_dedup": """
