@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import decode, digests, encode
 from .chat import format_chats, read_back
 from .common import table
@@ -14,6 +15,7 @@ from .packing import pack
 from .secrets import findings
 from .sharding import byte_shards
 from .simhash import near_duplicates
+from .toxicity import toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -36,6 +42,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "documents"))
 
@@ -49,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_byte_bpe, op6_chat_format, op8_secrets, op9_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_byte_bpe, op5_toxicity, op6_chat_format, op7_nearest, op8_secrets, op9_exact_dedup, op10_sharding)}
 
 ORACLES = {
     "op9_exact_dedup": """
