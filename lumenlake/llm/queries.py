@@ -11,6 +11,7 @@ from .bpe import decode, digests, encode
 from .chat import format_chats, read_back
 from .common import table
 from .exact_dedup import exact_duplicates
+from .licenses import findings as licenses
 from .packing import pack
 from .secrets import findings
 from .sharding import byte_shards
@@ -31,6 +32,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_byte_bpe, op5_toxicity, op6_chat_format, op7_nearest, op8_secrets, op9_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_byte_bpe, op4_licenses, op5_toxicity, op6_chat_format, op7_nearest, op8_secrets, op9_exact_dedup, op10_sharding)}
 
 ORACLES = {
     "op9_exact_dedup": """
