@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .bpe import stretches
 from .common import Batches, checkpoint, texts
@@ -32,38 +33,55 @@ NEARLY = LENGTH - 8
 #: Groups merged into one in each round.
 FAN = 8
 #: Stretches whose ids a worker remembers. Results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str) -> tuple:
-    """The tokenizer and the remembered ids of stretches, one per Python worker."""
+    """The tokenizer and the remembered ids of stretches, new ones and those before, one per Python worker."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _encoders[path] = tokenizer, {}
+        _encoders[path] = tokenizer, {}, {}
     return _encoders[path]
 
 
+def _encode_new(new: list[str], tokenizer: Tokenizer) -> Iterator[tuple[str, bytes]]:
+    """Each stretch with its ids. Those without a line end are encoded as lines of one text: the pre-tokenizer sets a line end
+    between two other characters apart, and its id cannot come from anything else in them."""
+    line_end = tokenizer.encode("\n", add_special_tokens=False).ids
+    lines = [s for s in new if "\n" not in s and s[0] == " " and not s[1:2].isspace() and not s[-1].isspace()] if len(line_end) == 1 else []
+    for k in range(0, len(lines), 1000):
+        part = lines[k : k + 1000]
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == line_end[0]), len(ids))
+        for s, begin, end in zip(part, np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True):
+            yield s, ids[begin:end].tobytes()
+    rest = [*set(new).difference(lines)]
+    for k in range(0, len(rest), 10_000):
+        for s, got in zip(rest[k : k + 10_000], tokenizer.encode_batch_fast(rest[k : k + 10_000], add_special_tokens=False), strict=True):
+            yield s, np.array(got.ids, "<u4").tobytes()
+
+
 def token_ids(rows: list[str | None], tokenizer_path: str) -> list[bytes]:
     """Ids of each text as 32-bit little-endian bytes, without the closing id. The pre-tokenizer starts anew at stretches."""
-    tokenizer, known = _encoder(tokenizer_path)
+    tokenizer, known, older = _encoder(tokenizer_path)
     cut = [stretches(x) if x else [] for x in rows]
-    new = list({s for parts in cut for s in parts if s not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({s for parts in cut for s in parts})
-    for k in range(0, len(new), 10_000):
-        for s, got in zip(new[k : k + 10_000], tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False), strict=True):
-            known[s] = np.array(got.ids, "<u4").tobytes()
+    new = []
+    for s in {s for parts in cut for s in parts}.difference(known):
+        if (ids := older.get(s)) is not None:
+            known[s] = ids
+        else:
+            new.append(s)
+    known.update(_encode_new(new, tokenizer))
     out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
     for s in new:
-        if len(s) > 200:  # long ones hardly come again
+        if len(s) > 64:  # long ones hardly come again
             del known[s]
+    if len(known) > REMEMBERED:
+        _encoders[tokenizer_path] = tokenizer, {}, known
     return out
 
 
