@@ -78,18 +78,49 @@ def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("alert_transition")
+def _at(now: int) -> str:
+    """The values of all log rules at a time."""
+    high = lambda seconds: f"t >= {now - seconds * NANOS} AND t < {now}"
+    return f"""SELECT 'errors' AS rule_id, '' AS "group", CAST(count(*) AS DOUBLE) AS value FROM logs WHERE {high(172800)} AND severity_text = 'ERROR' UNION ALL
+        SELECT 'by-service', 'service.name=' || service_name, CAST(count(*) AS DOUBLE) FROM logs WHERE {high(172800)} AND event_type = 'purchase' GROUP BY service_name UNION ALL
+        SELECT 'quiet', '', 0.0 UNION ALL
+        SELECT 'not-prod', 'level=' || level, CAST(count(*) AS DOUBLE) FROM logs WHERE {high(259200)} AND env <> 'prod' AND severity_text IN ('WARN', 'ERROR') GROUP BY level"""
+
+
+_MOVED = f"""WITH {LOGS}, early AS (
+        SELECT rule_id, "group", value, CASE WHEN NOT {_HIGH} THEN 'ok' WHEN hold > 0 THEN 'pending' ELSE 'firing' END AS was, {NOW - 2 * DAY} AS was_since
+        FROM ({_at(NOW - 2 * DAY)}) e JOIN {_OPS} ON r.id = e.rule_id
+        UNION ALL SELECT 'by-service', 'service.name=gone', 3.0, 'firing', 5
+    ), late AS (SELECT rule_id, "group", value, {_HIGH} AS high, hold FROM ({_at(NOW)}) v JOIN {_OPS} ON r.id = v.rule_id),
+    merged AS (
+        SELECT coalesce(l.rule_id, e.rule_id) AS rule_id, coalesce(l."group", e."group") AS "group", l.value, e.value AS was_value, coalesce(was, 'none') AS was, was_since,
+               CASE WHEN l.value IS NULL THEN NULL WHEN NOT high THEN 'ok' WHEN was = 'firing' THEN 'firing' WHEN was = 'pending' AND {NOW} - was_since >= CAST(hold AS BIGINT) * 1000000000 THEN 'firing'
+                    WHEN hold > 0 THEN 'pending' ELSE 'firing' END AS status
+        FROM late l FULL OUTER JOIN early e ON e.rule_id = l.rule_id AND e."group" = l."group"
+    ), moved AS (
+        SELECT *, CASE WHEN status = 'firing' AND was <> 'firing' THEN 'firing' WHEN was = 'firing' AND coalesce(status, '') <> 'firing' THEN 'resolved' END AS event FROM merged
+    ), transitions AS (
+        SELECT rule_id, "group", status, CASE WHEN status = was THEN was_since WHEN status IS NOT NULL THEN {NOW} END AS since, value, event,
+               CASE WHEN event IS NOT NULL THEN coalesce(value, was_value) END AS event_value FROM moved
+    )"""
+
+
+@query("alert_transition", f"{_MOVED} SELECT * FROM transitions")
 def alert_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.alert_transition(rules(spark), _previous(spark, sf_dir), _values(spark, sf_dir), NOW)
 
 
-@query("alert_rule_status")
+_NAMES = ", ".join(f"('{r[0]}', '{r[1]}')" for r in RULES)
+
+
+@query("alert_rule_status", f"""{_MOVED} SELECT n.id, n.name, CASE WHEN bool_or(coalesce(status, '') = 'firing') THEN 'firing' WHEN bool_or(coalesce(status, '') = 'pending') THEN 'pending' ELSE 'ok' END AS status,
+    count(*) FILTER (status = 'firing') AS firing FROM (VALUES {_NAMES}) AS n(id, name) LEFT JOIN transitions t ON t.rule_id = n.id GROUP BY n.id, n.name""")
 def alert_rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = alert_transition(spark, sf_dir).filter("status is not null")
     return alerts.rule_status(rules(spark), states)
 
 
-def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alert_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error logs per service and six hours, as values of the rule ``by-service``."""
     rows = derived.logs(spark, sf_dir).filter((F.col("severity_text") == "ERROR") & (F.col("time_unix_nano") >= JAN) & (F.col("time_unix_nano") < FEB))
     tick = F.expr(f"{JAN}L + ((time_unix_nano - {JAN}L) div {6 * HOUR}L + 1) * {6 * HOUR}L")
@@ -108,7 +139,7 @@ _FIRED = f"SELECT 'by-service' AS rule_id, grp AS \"group\", fired_at, CASE WHEN
 
 def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = rules(spark).filter("id = 'by-service'").withColumn("threshold", F.lit(5.0))
-    return alerts.alert_backtest(own, _ticks(spark, sf_dir), 6 * HOUR)
+    return alerts.alert_backtest(own, alert_ticks(spark, sf_dir), 6 * HOUR)
 
 
 @query("alert_backtest", f"WITH {LOGS}, {_ISLANDS} {_FIRED}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.iteration import shared_folder
 from ..sources import derived, payloads, scan, storage
 from ..streaming import jobs
+from .alert_queries import alert_ticks
 from .registry import D10, D20, DAY, FEB, HOUR, JAN, query
 from .views import LOGS, POINTS, SPANS
 
@@ -212,3 +213,20 @@ def stream_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.parquet(f"{root}/out")
     newest = out.agg(F.max("batch").alias("batch"))
     return out.join(newest, "batch", "left_semi").select(F.unix_timestamp("window_end").alias("window_end"), "service_name", "logs")
+
+
+@query("stream_alert_states")
+def stream_alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark)
+    ticks = alert_ticks(spark, sf_dir).select("rule_id", "group", "tick", "value", (F.col("value") >= 5).alias("breached"), F.lit(12 * HOUR).cast("long").alias("hold"))
+    ticks.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(ticks.schema).parquet(f"{root}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = jobs.alert_events(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+        events.trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema("rule_id string, `group` string, event string, at bigint, value double").parquet(f"{root}/out")
