@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .common import Batches, texts
 
-#: Entries that a task's memory of pieces holds before it starts anew. Results do not depend on it.
-REMEMBERED = 300_000
+#: Entries that a worker's memory of stretches (and of pairs) holds before it starts anew. Results do not depend on it.
+REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -120,25 +121,26 @@ class Merges:
 
 
 class Pieces(dict):
-    """Ids (32-bit little-endian bytes) of stretches of text, computed when first asked for."""
+    """Ids (32-bit little-endian bytes) of stretches of text, computed when first asked for.
+
+    When the memory is full it becomes the older one, from which what is asked for again is taken over.
+    """
 
     def __init__(self, merges: Merges, pattern: str):
-        self.merges, self.find, self.words = merges, regex.compile(pattern).findall, {}
+        self.merges, self.find, self.older = merges, regex.compile(pattern).findall, {}
 
     def __missing__(self, stretch: str) -> bytes:
-        out, words = [], self.words
-        for word in self.find(stretch):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.merges.encode(word.encode())
-                if len(word) <= 64:
-                    if len(words) >= REMEMBERED:
-                        words.clear()
-                    words[word] = ids
-            out += ids
-        got = np.array(out, "<i4").tobytes()
+        got = self.older.get(stretch)
+        if got is None:
+            encode = self.merges.encode
+            if stretch.isascii() and stretch[:1] == " " and stretch[1:].isalpha():  # one match of the pattern
+                out = encode(stretch.encode())
+            else:
+                out = [i for word in self.find(stretch) for i in encode(word.encode())]
+            got = np.array(out, "<i4").tobytes()
         if len(stretch) <= 64:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[stretch] = got
         return got
@@ -196,28 +198,48 @@ def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Batches:
     return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
 
 
+def _id_lists(column: pa.Array) -> Iterator[list[int]]:
+    """The ids of each row; null ids are none."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for begin, end, null in zip(offsets[:-1].tolist(), offsets[1:].tolist(), column.is_null().to_pylist(), strict=True):
+        yield [] if null else values[begin:end].tolist()
+
+
+def _tokens(ranks_path: str) -> list[bytes]:
+    ranks = read_ranks(ranks_path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with ``decoded``: the bytes of its ids in order. Null ids are none."""
+    """doc_id, decoded: the bytes of the ids in order. Null ids are none."""
 
     def run(batches: Batches) -> Batches:
-        tokens = {rank: token for token, rank in read_ranks(ranks_path).items()}
+        token = _tokens(ranks_path).__getitem__
         for batch in batches:
             for part in _slices(batch):
-                out = [b"".join(map(tokens.__getitem__, ids or ())) for ids in part.column("ids").to_pylist()]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": part.column("ids"), "decoded": pa.array(out, pa.binary())})
+                out = [b"".join(map(token, ids)) for ids in _id_lists(part.column("ids"))]
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "decoded": pa.array(out, pa.binary())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256."""
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of what they decode to)."""
 
     def run(batches: Batches) -> Batches:
+        tokens = _tokens(ranks_path)
+        token, decimal = tokens.__getitem__, [b"%d" % i for i in range(len(tokens))].__getitem__
         for batch in batches:
             for part in _slices(batch):
-                ids = [x or () for x in part.column("ids").to_pylist()]
-                shas = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-                back = [hashlib.sha256(x or b"").hexdigest() for x in part.column("decoded").to_pylist()]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
-
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                n, shas, back = [], [], []
+                for ids in _id_lists(part.column("ids")):
+                    n.append(len(ids))
+                    shas.append(hashlib.sha256(b",".join(map(decimal, ids))).hexdigest())
+                    back.append(hashlib.sha256(b"".join(map(token, ids))).hexdigest())
+                columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+                yield pa.record_batch({"doc_id": part.column("doc_id"), **columns})
+
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

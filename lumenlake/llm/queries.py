@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
-from .bpe import decode, digests, encode
+from .bpe import digests, encode
 from .chat import format_chats, read_back
 from .common import table
 from .exact_dedup import exact_duplicates
@@ -29,7 +29,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    return digests(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
