@@ -38,6 +38,21 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The stored table ``df`` without the rows numbered ``row`` in ``gone`` (by ``monotonically_increasing_id`` on the same read)."""
+    row = free_name(df, "row")
+    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

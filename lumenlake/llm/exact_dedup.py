@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, as_bytes, checkpoint, texts
+from .common import Batches, as_bytes, checkpoint, texts, without_rows
 
 #: Chunk sizes in bytes: no boundary before LEAST, on average every 1,024 bytes after it, one at MOST.
 LEAST, MASK, MOST = 512, 0x3FF, 8192
@@ -156,5 +156,4 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = checkpoint(recipes(docs, verified_digest(docs)))
     groups = checkpoint(rows.groupBy("recipe").agg(_first().alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    gone = rows.join(groups, "recipe").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    return without_rows(docs, rows.join(groups, "recipe").filter(F.col("row") != F.col("first.row")))

@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Words in a shingle, shingles in a window, its step, bands, and the containment that is a match.
 WORDS, WINDOW, STEP, BANDS, CONTAINED = 5, 16, 8, 48, 0.8
 
@@ -119,9 +121,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     sizes = {name: len(re.findall(r"[^\W_]+", text)) for name, text in templates.items()}
     widths = sorted({min(WORDS, n) for n in sizes.values()}, reverse=True)
     spark = docs.sparkSession
-    worded = docs.withColumn("_words", words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    parts = [_matches(spark, {k: v for k, v in templates.items() if min(WORDS, sizes[k]) == w}, w, F.col("_words")) for w in widths]
-    return worded.withColumn("licenses", F.array_sort(F.concat(*parts))).drop("_words")
+    words = free_name(docs, "words")
+    worded = docs.withColumn(words, words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    parts = [_matches(spark, {k: v for k, v in templates.items() if min(WORDS, sizes[k]) == w}, w, F.col(words)) for w in widths]
+    return worded.withColumn("licenses", F.array_sort(F.concat(*parts))).drop(words)
 
 
 def findings(docs: DataFrame) -> DataFrame:

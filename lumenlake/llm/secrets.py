@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Kinds in the order in which ties at one start are listed. Fixed values.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -102,8 +104,8 @@ def _random(run: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, order, end, kind, found), by start, then kind as listed.
+def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """``docs`` with ``base`` and ``spans`` (or columns named otherwise): arrays of (start, order, end, kind, found), by start, then kind as listed.
 
     ``base`` has the matches of the three patterns, ``spans`` those and the random strings. Null and empty
     texts have none. Rows are independent; nothing is shuffled, and other columns stay as they were.
@@ -112,11 +114,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     assigned = F.filter(_found(whole, "assign", ASSIGN), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
     access = F.filter(_found(whole, "access", ACCESS), lambda s: s["end"] - s["start"] >= ACCESS_LEAST)
     random = F.flatten(F.transform(_found(whole, "entropy_hex", CANDIDATE), _random))
+    extra = free_name(docs, "random")
     return (
-        docs.withColumn("base", F.array_sort(F.concat(assigned, access, _found(whole, "hex", HEX))))
-        .withColumn("_random", random)
-        .withColumn("spans", F.array_sort(F.concat("base", "_random")))
-        .drop("_random")
+        docs.withColumn(base, F.array_sort(F.concat(assigned, access, _found(whole, "hex", HEX))))
+        .withColumn(extra, random)
+        .withColumn(spans, F.array_sort(F.concat(base, extra)))
+        .drop(extra)
     )
 
 
@@ -146,8 +149,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), kept.alias("kept"))
 
     rest = lambda so_far: F.concat(F.array_join(so_far["kept"], ""), F.substring(text, so_far["at"] + 1, F.length(text)))
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")), step, rest)
-    out = scan(docs).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
+    base, spans = free_name(docs, "base"), free_name(docs, "spans")
+    found = F.size(spans) > 0
+    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")), step, rest)
+    out = scan(docs, base=base, spans=spans).withColumn("text", F.when(found, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, as_bytes, checkpoint, texts
+from .common import Batches, as_bytes, checkpoint, texts, without_rows
 from .components import components
 
 #: Words in a shingle, seed of its hash, differing bits that still link, members of a bucket that are paired.
@@ -42,7 +42,7 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (64 bits as a long) of every whole text.
+    """doc_id, row (its number in the stored table), fingerprint (64 bits as a long) of every whole text.
 
     Words are what lies between ASCII white space, with A-Z in lower case; shingles are three words in a row,
     repeats counted; fewer words make one shingle, none (also null text) the fingerprint 0. A bit is set
@@ -65,9 +65,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     part = hashes[k : k + 65_536]
                     set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out.append(int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<i8")[0]))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fingerprint": pa.array(out, pa.int64())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "fingerprint": pa.array(out, pa.int64())})
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = texts(docs.withColumn("_row", F.monotonically_increasing_id()), F.col("_row").alias("row"))
+    return rows.mapInArrow(run, "doc_id long, row long, fingerprint long")
 
 
 def _distance(x: Column, reference: int) -> Column:
@@ -113,26 +114,32 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _grouped(docs: DataFrame, paired: int) -> DataFrame:
+    """doc_id, row, fingerprint, component_id of every document."""
+    rows = checkpoint(fingerprints(docs))
+    prints = checkpoint(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
+    found = components(links(prints.filter(F.col("id").isNotNull()), paired))
+    named = prints.join(found, prints["id"] == found["vertex"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
+    return rows.join(checkpoint(named), "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
     """A row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
-    Rows with a null doc_id link like others but name no component; a component of only such rows has a
-    null id. Repeated rows and equal texts share a fingerprint and so a component. No rows give none.
+    Rows with a null doc_id link through the ids of equal fingerprints and name no component; where all ids of a
+    fingerprint are null, so is the component. Repeated rows and equal texts share a fingerprint and so a
+    component. No rows give none.
     """
-    rows = checkpoint(fingerprints(docs))
-    prints = checkpoint(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
-    found = components(links(prints.filter(F.col("id").isNotNull()), paired))
-    named = checkpoint(
-        prints.join(found, prints["id"] == found["vertex"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    )
-    return rows.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, paired).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the rows whose doc_id names it, and rows without any id; columns as before.
+def keep_one_of_each(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
+    """``docs`` (a stored table) with one row of each component, the first with the id that names it; columns as before.
 
-    Of repeated rows with one doc_id the first in storage stays. ``docs`` is a stored table. Texts are not shuffled.
+    Rows without any id in their component are grouped by fingerprint. Only row numbers are shuffled, no texts.
     """
-    found = near_duplicates(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    rows = checkpoint(_grouped(docs, paired))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
+    kept = rows.groupBy(*group).agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return without_rows(docs, rows.join(kept, "row", "left_anti"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, as_bytes, checkpoint, texts
+from .common import Batches, as_bytes, checkpoint, texts, without_rows
 
 #: What a sign may stand for. Fixed values.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every whole text; null and empty texts get the score of a text without features."""
+    """doc_id, row (its number in the stored table), score of every whole text; null and empty texts get the score of a text without features."""
     weights, bias, counts, numbers, key = model.weights, model.bias, model.counts, model.numbers, model.key
 
     def run(batches: Batches) -> Batches:
@@ -248,5 +248,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` (a stored table) without the rows predicted toxic; columns as before. Only their row numbers are shuffled."""
-    gone = checkpoint(score(docs, train(docs, labels)).filter("score >= 0.5").select(F.col("row").alias("_row")))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    return without_rows(docs, checkpoint(score(docs, train(docs, labels)).filter("score >= 0.5").select("row")))

@@ -85,7 +85,9 @@ def test_op1_small(spark, odd, none):
     by_id = {i: c for i, _, c in found if i}
     assert (by_id[2], by_id[3], by_id[4], by_id[5], by_id[7]) == (2, 2, 2, 1, 6)
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.keep_one_of_each(odd).columns == odd.columns
+    kept = simhash.keep_one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == len({f for _, f, _ in found})
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == sorted({c for i, _, c in found if c})
 
 
 @pytest.mark.parametrize("paired", [1, 32])
@@ -332,6 +334,8 @@ def test_op8_redact(spark, odd):
     kept = {r["doc_id"]: r["text"] for r in secrets.redact(odd).collect() if r["doc_id"]}
     assert kept[10] == 'token'.replace("token", "[assign]") + '" end' and all(kept[i] == t for i, t in ODD if i and i != 10)
     assert secrets.redact(odd).columns == odd.columns
+    assert {(r["base"], r["spans"], r["row"]) for r in secrets.redact(odd).collect()} == {("b", "s", "r")}  # columns of these names stay
+    assert {(r["base"], r["row"]) for r in exact_dedup.drop_exact_duplicates(odd).collect()} == {("b", "r")}
 
 
 # 9 ---------------------------------------------------------------------------------------------------------------
