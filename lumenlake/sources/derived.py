@@ -25,7 +25,7 @@ def _text_map(**entries: Column) -> Column:
     return F.create_map(*pairs)
 
 
-_NO_EVENTS = F.array().cast("array<struct<time_unix_nano:bigint,name:string,attributes:map<string,string>>>")
+_EVENTS = "array<struct<time_unix_nano:bigint,name:string,attributes:map<string,string>>>"
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text_map(service__name=supplier, service__version=version).alias("resource_attributes"),
     )
     both = roots.unionByName(children)
-    return both.withColumn("end_time_unix_nano", F.col("start_time_unix_nano") + F.col("duration_nano")).withColumn("scope_name", F.lit("")).withColumn("events", _NO_EVENTS)
+    return both.withColumn("end_time_unix_nano", F.col("start_time_unix_nano") + F.col("duration_nano")).withColumn("scope_name", F.lit("")).withColumn("events", F.array().cast(_EVENTS))
 
 
 def _service() -> Column:
