@@ -8,6 +8,7 @@ from lumenlake.functions.time import nice_step
 from lumenlake.operators import alerts, insights, logs, metrics, services, traces
 from lumenlake.schema import LOGS_DDL, NANOS, POINTS_DDL, RULES_DDL, SPANS_DDL, STATES_DDL
 from lumenlake.sources import payloads, scan, storage
+from lumenlake.streaming import jobs
 
 T0 = 1_791_378_000 * NANOS  # an hour of October 2026
 MIN, MS = 60 * NANOS, 1_000_000
@@ -237,3 +238,17 @@ def test_empty_inputs(spark):
         insights.compare(spans, "spans", low, high, errors=True), services.deployments(spans, low, high), traces.waterfall(spans), traces.error_origins(spans),
     ):
         assert df.count() == 0
+
+
+def test_live_alert_states(spark, tmp_path):
+    rows = [("r", "api", t * NANOS, float(v), v > 5, 2 * NANOS) for t, v in enumerate((9, 9, 9, 1, 9, 1))] + [("r", "web", 0, 1.0, False, 0), ("r", "web", NANOS, 7.0, True, 0)]
+    schema = "rule_id string, `group` string, tick bigint, value double, breached boolean, hold bigint"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = jobs.alert_events(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c")
+    events.trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    spark.conf.set(provider, before)
+    found = values(spark.read.parquet(f"{tmp_path}/out").select("group", "event", "at", "value"))
+    assert found == [("api", "firing", 2 * NANOS, 9.0), ("api", "resolved", 3 * NANOS, 1.0), ("web", "firing", NANOS, 7.0)]
