@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import alerts
 from ..schema import NANOS, RULES_DDL
 from ..sources import derived
+from .metric_queries import GROWN, histogram_sql, percentile_sql, rate_sql
 from .registry import D20, DAY, FEB, HOUR, JAN, query
-from .views import LOGS
+from .views import LOGS, POINTS
 
 #: Rules of the queries: counts of error logs in two days, by service, and fewer than a number; a percentile by type; and one that is off.
 RULES = [
@@ -50,7 +51,13 @@ def alert_log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir)
 
 
-@query("alert_metric_values")
+_DAY_BEFORE = NOW - DAY
+_METRICS = f"""WITH {POINTS}, rated AS (WITH {rate_sql('sum', GROWN, _DAY_BEFORE, NOW, DAY)}),
+    shaped AS (WITH {histogram_sql(_DAY_BEFORE, NOW, DAY)}, {percentile_sql(95, _DAY_BEFORE, DAY)})
+    SELECT 'cents' AS rule_id, 'service.name=' || "service.name" AS "group", value FROM rated UNION ALL SELECT 'size', 'event.type=' || "event.type", value FROM shaped"""
+
+
+@query("alert_metric_values", _METRICS)
 def alert_metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [{"id": r[0], "metric": r[3], "agg": r[4], "filters": r[5], "group_by": r[7], "window_seconds": r[10]} for r in RULES if r[2] == "metrics"]
     own.append({"id": "cents", "metric": "event.cents", "agg": "", "filters": {}, "group_by": ["service.name"], "window_seconds": 86400})

@@ -53,18 +53,23 @@ for _agg in ("sum", "min", "max", "count"):
 _gauge_query("metric_filtered", "max", "user_id = 7", {"user.id": "7"})
 
 
-def _rate(agg: str, increments: str) -> str:
-    return f"""WITH {POINTS}, lagged AS (
-        SELECT *, lag(total) OVER w AS before, lag(day) OVER w AS before_day FROM cum WHERE t >= {D10 - _BACK} AND t < {D20} WINDOW w AS (PARTITION BY user_id ORDER BY t, day, total)
+def rate_sql(agg: str, increments: str, low: int, high: int, step: int) -> str:
+    """CTEs and a statement of the rates of event.cents per service."""
+    return f"""lagged AS (
+        SELECT *, lag(total) OVER w AS before, lag(day) OVER w AS before_day FROM cum WHERE t >= {low - _BACK} AND t < {high} WINDOW w AS (PARTITION BY user_id ORDER BY t, day, total)
     ), grown AS (SELECT user_id, service_name, t, {increments} AS inc FROM lagged),
-    summed AS (SELECT user_id, service_name, (t - {D10}) // {_STEP} AS n, sum(inc) / 43200.0 AS v FROM grown WHERE t >= {D10} AND t < {D20} AND inc IS NOT NULL GROUP BY ALL)
-    SELECT service_name AS "service.name", {_start(D10)}, round({agg}(v), 6) AS value FROM summed GROUP BY service_name, n"""
+    summed AS (SELECT user_id, service_name, (t - {low}) // {step} AS n, sum(inc) / {step / 1e9!r} AS v FROM grown WHERE t >= {low} AND t < {high} AND inc IS NOT NULL GROUP BY ALL)
+    SELECT service_name AS "service.name", {_start(low, step)}, round({agg}(v), 6) AS value FROM summed GROUP BY service_name, n"""
+
+
+def _rate(agg: str, increments: str) -> str:
+    return f"WITH {POINTS}, {rate_sql(agg, increments, D10, D20, _STEP)}"
 
 
-_GROWN = "CASE WHEN before IS NULL THEN NULL WHEN day <> before_day OR total < before THEN total ELSE total - before END"
+GROWN = "CASE WHEN before IS NULL THEN NULL WHEN day <> before_day OR total < before THEN total ELSE total - before END"
 
 
-@query("metric_counter_rate", _rate("sum", _GROWN))
+@query("metric_counter_rate", _rate("sum", GROWN))
 def metric_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.query_metric(derived.metric_points(spark, sf_dir), "event.cents", D10, D20, None, ["service.name"], None, _STEP)
     return found.withColumn("value", F.round("value", 6))
@@ -85,7 +90,7 @@ def series_prev_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("counter_resets", f"""WITH {POINTS}, lagged AS (SELECT *, lag(total) OVER w AS before, lag(day) OVER w AS before_day FROM cum WINDOW w AS (PARTITION BY user_id ORDER BY t, day, total))
     SELECT user_id AS series_id, count(*) FILTER (before IS NOT NULL AND (day <> before_day OR total < before)) AS resets,
-           CAST(sum({_GROWN}) AS BIGINT) AS increase FROM lagged GROUP BY user_id""")
+           CAST(sum({GROWN}) AS BIGINT) AS increase FROM lagged GROUP BY user_id""")
 def counter_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = derived.metric_points(spark, sf_dir).filter("metric_name = 'event.cents'")
     rows = metrics.counter_increments(points)
@@ -94,14 +99,21 @@ def counter_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LAGS = ", ".join(f"lag(c{k}) OVER w AS b{k}" for k in range(8))
 _DIFFS = ", ".join(f"CASE WHEN day = before_day AND n >= bn THEN c{k} - b{k} ELSE c{k} END AS c{k}" for k in range(8))
-_HIST = f"""WITH {POINTS}, lagged AS (
+
+
+def histogram_sql(low: int, high: int, step: int) -> str:
+    """CTEs up to ``diffed``: what each hour added to the histograms."""
+    return f"""lagged AS (
         SELECT *, lag(n) OVER w AS bn, lag(cents) OVER w AS bcents, lag(day) OVER w AS before_day, {_LAGS}
-        FROM sizes WHERE t >= {D10 - _BACK} AND t < {D20} WINDOW w AS (PARTITION BY event_type ORDER BY t)
+        FROM sizes WHERE t >= {low - _BACK} AND t < {high} WINDOW w AS (PARTITION BY event_type ORDER BY t)
     ), diffed AS (
-        SELECT event_type, (t - {D10}) // {DAY} AS n, CASE WHEN day = before_day AND n >= bn THEN n - bn ELSE n END AS c,
+        SELECT event_type, (t - {low}) // {step} AS n, CASE WHEN day = before_day AND n >= bn THEN n - bn ELSE n END AS c,
                CASE WHEN day = before_day AND n >= bn THEN cents - bcents ELSE cents END AS s, {_DIFFS}
-        FROM lagged WHERE bn IS NOT NULL AND t >= {D10} AND t < {D20}
+        FROM lagged WHERE bn IS NOT NULL AND t >= {low} AND t < {high}
     )"""
+
+
+_HIST = f"WITH {POINTS}, {histogram_sql(D10, D20, DAY)}"
 _BY_TYPE = f'SELECT event_type AS "event.type", {_start(D10, DAY)}'
 
 
@@ -125,11 +137,16 @@ _EDGES = "(VALUES (0, 0.0, 1.0), (1, 1.0, 5.0), (2, 5.0, 10.0), (3, 10.0, 25.0),
 _SLOTS = " UNION ALL ".join(f"SELECT event_type, n, {k} AS slot, sum(c{k}) AS c FROM diffed GROUP BY event_type, n" for k in range(8))
 
 
-def _percentile(p: int) -> str:
-    return f"""{_HIST}, slots AS ({_SLOTS}), running AS (
+def percentile_sql(p: int, low: int, step: int) -> str:
+    """CTEs after ``diffed`` and a statement of a percentile per event type."""
+    return f"""slots AS ({_SLOTS}), running AS (
         SELECT *, sum(c) OVER (PARTITION BY event_type, n ORDER BY slot) AS upto, sum(c) OVER (PARTITION BY event_type, n) AS total FROM slots
     ), hit AS (SELECT *, row_number() OVER (PARTITION BY event_type, n ORDER BY slot) AS r FROM running WHERE c > 0 AND upto >= {p / 100} * total AND total > 0)
-    SELECT event_type AS "event.type", {_start(D10, DAY)}, round(lo + (hi - lo) * (({p / 100} * total - (upto - c)) / c), 6) AS value FROM hit JOIN {_EDGES} ON e.slot = hit.slot WHERE r = 1"""
+    SELECT event_type AS "event.type", {_start(low, step)}, round(lo + (hi - lo) * (({p / 100} * total - (upto - c)) / c), 6) AS value FROM hit JOIN {_EDGES} ON e.slot = hit.slot WHERE r = 1"""
+
+
+def _percentile(p: int) -> str:
+    return f"{_HIST}, {percentile_sql(p, D10, DAY)}"
 
 
 for _p in (50, 95, 99):
