@@ -33,8 +33,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows in a batch that goes to Python. Whole texts are long; Spark's own limit counts rows, not bytes.
+BATCH_ROWS = 1000
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id`` as long and ``text`` as it is: no other column reaches the operators."""
+    """``doc_id`` as long and ``text`` as it is: no other column reaches the operators, and batches are small."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
