@@ -174,10 +174,9 @@ def merge_underfull(bins: DataFrame, in_task: int = IN_TASK, fan: int = FAN) ->
     while left > 1:
         parts = items.agg(F.max("part")).first()[0] + 1 if groups is None else groups
         groups = max(math.ceil(parts / fan), math.ceil(left / in_task), 1)
-        # neighbours first, as in a tree; once the count of groups stands still, other neighbours each round
-        group = F.col("part") % groups if groups >= parts else F.floor(F.col("part") * groups / parts)
-        grouped = items.withColumn("part", F.coalesce(group, F.lit(0)).cast("long"))
-        grouped = grouped.withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)) if groups >= parts else F.col("part"))
+        # neighbours are merged, as in a tree; once the count of groups stands still, by chance, anew each round
+        group = F.floor(F.col("part") * groups / parts) if groups < parts else F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups))
+        grouped = items.withColumn("part", group.cast("long"))
         moved = checkpoint(grouped.groupBy("part").applyInPandas(fit, "sequence_id long, into long, shift long, filled long, part long"))
         placed = checkpoint(
             placed.join(moved.select("sequence_id", "into", "shift"), "sequence_id", "left").select(
