@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,7 +39,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """``doc_id`` as long and ``text`` as it is: no other column reaches the operators, and batches are small."""
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
@@ -53,11 +55,36 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
-    """The stored table ``df`` without the rows numbered ``row`` in ``gone`` (by ``monotonically_increasing_id`` on the same read)."""
+#: What names a stored row: a hash of its file's path, and its place in the file.
+PLACE = "struct<file:long,at:long>"
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` as a table of Parquet files, and the column (``PLACE``) that names a row in every read of it, however files are split.
+
+    A table that is not read from Parquet is written to the shared folder first.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        df.select(place)
+    except AnalysisException:
+        folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        df = df.sparkSession.read.parquet(folder)
+    return df, place
+
+
+def texts_by_row(docs: DataFrame, row: Column | None) -> tuple[DataFrame, str]:
+    """``texts`` with ``row`` (that of ``stored``; without it a number that holds in this read alone), and its type."""
+    if row is not None:
+        return texts(docs, row.alias("row")), PLACE
+    return texts(docs.withColumn("_row", F.monotonically_increasing_id()), F.col("_row").alias("row")), "long"
+
+
+def without_rows(df: DataFrame, place: Column, gone: DataFrame) -> DataFrame:
+    """The table ``df`` without the rows whose ``place`` (both from ``stored``) is a ``row`` of ``gone``."""
     row = free_name(df, "row")
-    numbered = df.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
+    return df.withColumn(row, place).join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, as_bytes, checkpoint, texts, without_rows
+from .common import Batches, as_bytes, checkpoint, stored, texts, texts_by_row, without_rows
 
 #: Chunk sizes in bytes: no boundary before LEAST, on average every 1,024 bytes after it, one at MOST.
 LEAST, MASK, MOST = 512, 0x3FF, 8192
@@ -105,10 +105,10 @@ def verified_digest(docs: DataFrame, digests: dict[str, Callable[[bytes], bytes]
     raise ValueError("different chunks share an identifier under every digest")
 
 
-def recipes(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
-    """A row per document: doc_id, row (a number of its own), recipe (identifiers in order), text_sha256 (normalised text).
+def recipes(docs: DataFrame, digest: Callable[[bytes], bytes], row: Column | None = None) -> DataFrame:
+    """A row per document: doc_id, row, recipe (identifiers in order), text_sha256 (normalised text).
 
-    ``row`` is Spark's partition-wise row number: the same whenever the same stored table is read again.
+    ``row`` is the given one; without it, Spark's partition-wise row number, which another read may deal otherwise.
     """
 
     def cook(batches: Batches) -> Batches:
@@ -121,8 +121,8 @@ def recipes(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
                 {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "recipe": pa.array(made, pa.binary()), "text_sha256": pa.array(shas, pa.string())}
             )
 
-    rows = texts(docs.withColumn("_row", F.monotonically_increasing_id()), F.col("_row").alias("row"))
-    return rows.mapInArrow(cook, "doc_id long, row long, recipe binary, text_sha256 string")
+    rows, kind = texts_by_row(docs, row)
+    return rows.mapInArrow(cook, f"doc_id long, row {kind}, recipe binary, text_sha256 string")
 
 
 def _first() -> Column:
@@ -151,9 +151,10 @@ def exact_duplicates(docs: DataFrame, digests: dict[str, Callable[[bytes], bytes
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one that ``exact_duplicates`` keeps; columns as before.
 
-    ``docs`` is a stored table (a Parquet read): its rows are numbered by place. Texts are not shuffled,
-    only the numbers of the rows that go, which an anti join removes.
+    Rows are named by file and place in it, which no other split of the files changes. Texts are not shuffled,
+    only the names of the rows that go, which an anti join removes.
     """
-    rows = checkpoint(recipes(docs, verified_digest(docs)))
+    docs, row = stored(docs)
+    rows = checkpoint(recipes(docs, verified_digest(docs), row))
     groups = checkpoint(rows.groupBy("recipe").agg(_first().alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    return without_rows(docs, rows.join(groups, "recipe").filter(F.col("row") != F.col("first.row")))
+    return without_rows(docs, row, rows.join(groups, "recipe").filter(F.col("row") != F.col("first.row")))

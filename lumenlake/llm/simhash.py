@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, as_bytes, checkpoint, texts, without_rows
+from .common import Batches, as_bytes, checkpoint, stored, texts_by_row, without_rows
 from .components import components
 
 #: Words in a shingle, seed of its hash, differing bits that still link, members of a bucket that are paired.
@@ -41,8 +41,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (its number in the stored table), fingerprint (64 bits as a long) of every whole text.
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, row (as in ``texts_by_row``), fingerprint (64 bits as a long) of every whole text.
 
     Words are what lies between ASCII white space, with A-Z in lower case; shingles are three words in a row,
     repeats counted; fewer words make one shingle, none (also null text) the fingerprint 0. A bit is set
@@ -67,8 +67,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 out.append(int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<i8")[0]))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "fingerprint": pa.array(out, pa.int64())})
 
-    rows = texts(docs.withColumn("_row", F.monotonically_increasing_id()), F.col("_row").alias("row"))
-    return rows.mapInArrow(run, "doc_id long, row long, fingerprint long")
+    rows, kind = texts_by_row(docs, row)
+    return rows.mapInArrow(run, f"doc_id long, row {kind}, fingerprint long")
 
 
 def _distance(x: Column, reference: int) -> Column:
@@ -114,9 +114,9 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def _grouped(docs: DataFrame, paired: int) -> DataFrame:
+def _grouped(docs: DataFrame, paired: int, row: Column | None = None) -> DataFrame:
     """doc_id, row, fingerprint, component_id of every document."""
-    rows = checkpoint(fingerprints(docs))
+    rows = checkpoint(fingerprints(docs, row))
     prints = checkpoint(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
     found = components(links(prints.filter(F.col("id").isNotNull()), paired))
     named = prints.join(found, prints["id"] == found["vertex"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
@@ -134,12 +134,13 @@ def near_duplicates(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """``docs`` (a stored table) with one row of each component, the first with the id that names it; columns as before.
+    """``docs`` with one row of each component, the first with the id that names it; columns as before.
 
-    Rows without any id in their component are grouped by fingerprint. Only row numbers are shuffled, no texts.
+    Rows without any id in their component are grouped by fingerprint. Only names of rows are shuffled, no texts.
     """
-    rows = checkpoint(_grouped(docs, paired))
+    docs, row = stored(docs)
+    rows = checkpoint(_grouped(docs, paired, row))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
     kept = rows.groupBy(*group).agg(first.alias("first")).select(F.col("first.row").alias("row"))
-    return without_rows(docs, rows.join(kept, "row", "left_anti"))
+    return without_rows(docs, row, rows.join(kept, "row", "left_anti"))

@@ -15,10 +15,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, as_bytes, checkpoint, texts, without_rows
+from .common import Batches, as_bytes, checkpoint, stored, texts, texts_by_row, without_rows
 
 #: What a sign may stand for. Fixed values.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
@@ -221,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(counts, features, weights, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, row (its number in the stored table), score of every whole text; null and empty texts get the score of a text without features."""
+def score(docs: DataFrame, model: Model, row: Column | None = None) -> DataFrame:
+    """doc_id, row (as in ``texts_by_row``), score of every whole text; null and empty texts get the score of a text without features."""
     weights, bias, counts, numbers, key = model.weights, model.bias, model.counts, model.numbers, model.key
 
     def run(batches: Batches) -> Batches:
@@ -231,8 +231,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = [bias + float(weights[list(found)].sum()) if (found := of(text)) else bias for text in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "score": pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))), pa.float64())})
 
-    rows = texts(docs.withColumn("_row", F.monotonically_increasing_id()), F.col("_row").alias("row"))
-    return rows.mapInArrow(run, "doc_id long, row long, score double")
+    rows, kind = texts_by_row(docs, row)
+    return rows.mapInArrow(run, f"doc_id long, row {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,5 +247,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (a stored table) without the rows predicted toxic; columns as before. Only their row numbers are shuffled."""
-    return without_rows(docs, checkpoint(score(docs, train(docs, labels)).filter("score >= 0.5").select("row")))
+    """``docs`` without the rows predicted toxic; columns as before. Only the names of their rows are shuffled."""
+    docs, row = stored(docs)
+    return without_rows(docs, row, checkpoint(score(docs, train(docs, labels), row).filter("score >= 0.5").select("row")))
