@@ -1,8 +1,8 @@
 """Toxicity scores of texts whose disguises are undone first by a noisy channel.
 
 A word that may be disguised (digits or signs for letters, drawn-out letters, separators or spaces between
-letters) is read as a lattice: each sign may stand for letters, each long run for one or two, a
-separator for nothing. Viterbi search finds the letters most likely under a character trigram model, counted
+letters) is read as a lattice: each sign may stand for letters, each run for one or two, a
+separator for nothing, white space between single characters for nothing or the end of a word. Viterbi search finds the letters most likely under a character trigram model, counted
 over all documents, and what the channel does to them. The restored words are scored by a logistic model
 over words and word beginnings, fitted to a bounded sample of labelled rows.
 """
@@ -24,10 +24,12 @@ from .common import Batches, as_bytes, checkpoint, stored, texts, texts_by_row,
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
 #: Signs that may stand between the letters of a word and mean nothing.
 SEPARATORS = ".-_*~'`^/\\"
-#: Costs (minus log probabilities) of a sign for a letter, a separator for nothing, a run for two letters instead of one.
+#: Costs (minus log probabilities) of a sign for a letter, a separator for nothing, a long run for two letters instead of one (or two letters for one).
 SIGN_COST, SEPARATOR_COST, DOUBLE_COST = 2.0, 1.0, 1.0
-#: Longest word that is decoded; longer strings are no words.
+#: Longest word that is decoded, its long runs shortened; longer strings are no words.
 WORD = 40
+#: Letters of a spaced-out run that are settled at a time, and those after them that are looked at before.
+SETTLED, AHEAD = 256, 64
 #: Labelled rows that the classifier is fitted to at most, features it chooses at most, and rows a feature is in at least.
 SAMPLE, FEATURES, SUPPORT = 20_000, 1024, 3
 #: Word beginnings that are features.
@@ -35,8 +37,9 @@ BEGINNINGS = (3, 4, 5, 6)
 REMEMBERED = 300_000
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
-_long_run = re.compile(r"(.)\1\1")
-_spaced = re.compile(r"(?<!\S)(?:\S )+\S(?!\S)")
+_longer_run = re.compile(r"(.)\1{3,}")
+_run = re.compile(r"(.)\1")
+_spaced = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _letter = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 0 for c in range(256))
 
 
@@ -70,7 +73,7 @@ class Channel:
 
     @staticmethod
     def disguised(word: str) -> bool:
-        return 1 < len(word) <= WORD and not word.isalpha() and any(map(str.isalpha, word)) or bool(_long_run.search(word)) and len(word) <= WORD
+        return 1 < len(word) <= WORD and not word.isalpha() and any(map(str.isalpha, word)) or bool(_run.search(word)) and len(word) <= WORD
 
     def restore(self, word: str) -> str:
         """The most likely letters behind a lower-case ``word``; other letters than a-z stand for themselves, at no cost."""
@@ -83,7 +86,10 @@ class Channel:
             run = end - k
             k = end
             choices = [(0.0, c)] if c.isalpha() else [(SIGN_COST * run, x) for x in SIGNS.get(c, "")]
-            options = [(cost, x * min(run, 2)) for cost, x in choices] if run < 3 else [o for cost, x in choices for o in ((cost, x), (cost + DOUBLE_COST, x + x))]
+            if run == 1:
+                options = choices
+            else:  # two are likelier two, more are likelier one
+                options = [o for cost, x in choices for o in ((cost + DOUBLE_COST * (run < 3), x), (cost + DOUBLE_COST * (run > 2), x + x))]
             if c in SEPARATORS or not choices:
                 options.append((SEPARATOR_COST * run, ""))
             best: dict[tuple[int, int], tuple[float, str]] = {}
@@ -99,6 +105,45 @@ class Channel:
             paths = best
         return min((cost + self.cost[p][q][0], made) for (p, q), (cost, made) in paths.items())[1]
 
+    def words(self, signs: str) -> list[str]:
+        """The most likely words behind lower-case ``signs`` that stood apart from each other, as many as there are."""
+        at, state, made = 0, (0, 0), []
+        while at < len(signs):
+            part, last = signs[at : at + SETTLED + AHEAD], at + SETTLED + AHEAD >= len(signs)
+            steps = []  # for each sign: state -> cost, letters (with the word's end before them), state before
+            paths = {state: 0.0}
+            for k, c in enumerate(part):
+                choices = [(0.0, c)] if c.isalpha() else [(SIGN_COST, x) for x in SIGNS.get(c, "")]
+                options = [(cost, gap + x) for cost, x in choices for gap in (("", " ") if at + k else ("",))]
+                if c in SEPARATORS or not choices:
+                    options += [(SEPARATOR_COST, gap) for gap in ("", " ")]
+                if at + k and signs[at + k - 1] == c:
+                    options.append((DOUBLE_COST, ""))
+                best: dict[tuple[int, int], tuple[float, str, tuple[int, int]]] = {}
+                for (a, b), cost in paths.items():
+                    for more, letters in options:
+                        p, q, total = a, b, cost + more
+                        for x in letters:
+                            code = ord(x) - 96 if "a" <= x <= "z" else 0
+                            total += self.cost[p][q][code] if code or x == " " else 0.0
+                            p, q = q, code
+                        if (p, q) not in best or total < best[p, q][0]:
+                            best[p, q] = total, letters, (a, b)
+                steps.append(best)
+                paths = {s: cost for s, (cost, _, _) in best.items()}
+            on = min(paths, key=lambda s: (paths[s] + (self.cost[s[0]][s[1]][0] if last else 0.0), s))
+            settled = len(part) if last else SETTLED
+            letters = []
+            for k in range(len(part) - 1, -1, -1):
+                if k == settled - 1:
+                    state = on
+                if k < settled:
+                    letters.append(steps[k][on][1])
+                on = steps[k][on][2]
+            made += reversed(letters)
+            at += settled
+        return "".join(made).split()
+
 
 class Features(dict):
     """The features of a lower-case token, restored if need be: a tuple of words and beginnings, or of their numbers."""
@@ -106,7 +151,10 @@ class Features(dict):
     def __init__(self, channel: Channel, numbers: dict[str, int] | None = None):
         self.channel, self.numbers = channel, numbers
 
-    def __missing__(self, token: str) -> tuple:
+    def __missing__(self, asked: str) -> tuple:
+        token = asked
+        if len(token) > WORD:
+            token = _longer_run.sub(r"\1\1\1", token)
         word = token.strip(_EDGES)
         words = {word}
         for form in (word, token):  # a sign at the edge may be a letter or not
@@ -116,14 +164,15 @@ class Features(dict):
         out = tuple(found) if self.numbers is None else tuple(self.numbers[f] for f in found if f in self.numbers)
         if len(self) >= REMEMBERED:
             self.clear()
-        self[token] = out
+        self[asked] = out
         return out
 
     def of(self, text: str | None) -> set:
-        """All features of a text, each once. Letters spaced out are also read as one word."""
+        """All features of a text, each once. Letters spaced out are also read as words."""
         text = (text or "").lower()
         tokens = set(text.split())
-        tokens.update(run.replace(" ", "") for run in _spaced.findall(text) if 4 < len(run) <= 2 * WORD)
+        for run in _spaced.findall(text):
+            tokens.update(self.channel.words("".join(run.split())))
         out: set = set()
         for found in map(self.__getitem__, tokens):
             out.update(found)
