@@ -40,17 +40,30 @@ def timestamp(time: str) -> Column:
     return F.timestamp_micros(F.expr(f"{time} div 1000L"))
 
 
+def utc_date(time: str) -> Column:
+    """The UTC date of a time, whatever the session's time zone."""
+    return F.date_from_unix_date(F.expr(f"cast(({time} - pmod({time}, {24 * HOUR}L)) div {24 * HOUR}L as int)"))
+
+
+def utc_hour(time: str) -> Column:
+    """The UTC hour of a time as two digits."""
+    return F.lpad(F.expr(f"cast(pmod({time}, {24 * HOUR}L) div {HOUR}L as string)"), 2, "0")
+
+
+def hour_number() -> Column:
+    """Hours since the epoch of the partition columns ``date`` and ``hour``, which are UTC."""
+    return F.unix_date("date").cast("long") * 24 + F.col("hour").cast("long")
+
+
 def hours_between(from_ns: int | None, to_ns: int | None) -> Column:
     """The predicate on the partition columns ``date`` and ``hour`` of all hours that touch the range."""
-    hour = F.unix_timestamp(F.col("date").cast("timestamp")) + F.col("hour").cast("long") * 3600
+    day = lambda ns: F.date_from_unix_date(F.lit(ns // (24 * HOUR)))
     out = F.lit(True)
     if from_ns is not None:
-        out &= (hour + 3600) * NANOS > from_ns
-        out &= F.col("date") >= F.to_date(F.timestamp_seconds(F.lit(from_ns // NANOS)))
+        out &= (hour_number() >= from_ns // HOUR) & (F.col("date") >= day(from_ns))
     if to_ns is not None:
-        out &= hour * NANOS < to_ns
-        out &= F.col("date") <= F.to_date(F.timestamp_seconds(F.lit(to_ns // NANOS)))
+        out &= (hour_number() <= (to_ns - 1) // HOUR) & (F.col("date") <= day(to_ns))
     return out
 
 
-__all__ = ["HOUR", "NANOS", "bucket", "bucket_start", "hours_between", "in_range", "nice_step", "timestamp"]
+__all__ = ["HOUR", "NANOS", "bucket", "bucket_start", "hour_number", "hours_between", "in_range", "nice_step", "timestamp", "utc_date", "utc_hour"]

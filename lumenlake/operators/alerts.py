@@ -6,6 +6,7 @@ Labels are shown as ``k=v,k=v``: a group. Times are nanoseconds.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.predicates import attribute, severity
 from ..functions.text import labels_text
 from ..schema import NANOS
-from .metrics import query_metric
+from .metrics import LOOKBACK, bucket_quantile, counter_increments, distribution_increments, merged_buckets
 
 EVENTS, MOST_EVENTS = 50, 1000
+#: Rules that are broadcast at a time.
+AT_ONCE = 10_000
 
 
 def breached(value: Column, op: Column, threshold: Column) -> Column:
@@ -41,35 +44,83 @@ def _term_holds(term: Column) -> Column:
 def log_rule_values(logs: DataFrame, rules: DataFrame, now: int) -> DataFrame:
     """rule_id, group, value: for each enabled log rule the matching logs of its window, per group.
 
-    One pass over the logs of the longest window. Rules are a configuration of bounded size and are checked to be;
-    they are broadcast, and each log is tried against the rules of its time alone. Rules without groups yield 0 if nothing matches.
+    One pass over the logs of the longest window for every AT_ONCE rules, which are broadcast. Rules that name a service are
+    joined on it; each log is tried against the rules of its service and time alone. Rules without groups yield 0 if nothing matches.
     """
     own = rules.filter("enabled and kind = 'logs'").select("id", "terms", "group_by", "window_seconds")
-    longest = own.agg(F.max("window_seconds")).first()[0] or 0
-    if own.count() > 10_000:
-        raise ValueError("more rules than one pass can broadcast")
+    about = own.agg(F.max("window_seconds"), F.count(F.lit(1))).first()
+    longest, turns = about[0] or 0, max(1, -(-about[1] // AT_ONCE))
     recent = logs.filter((F.col("time_unix_nano") >= now - longest * NANOS) & (F.col("time_unix_nano") < now))
     in_window = F.col("time_unix_nano") >= F.lit(now) - F.col("window_seconds").cast("long") * NANOS
-    matched = recent.join(F.broadcast(own), in_window & F.forall("terms", _term_holds))
+    holds = in_window & F.forall("terms", _term_holds)
+    named = F.filter("terms", lambda t: (F.lower(t["key"]) == "service") & ~t["negated"])
+    own = own.withColumn("service", F.get(named, 0)["value"]).withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)))
+    matched = []
+    for turn in range(turns):
+        some = own.filter(F.col("turn") == turn)
+        of_service, of_any = F.broadcast(some.filter("service is not null")), F.broadcast(some.filter("service is null"))
+        matched += [recent.join(of_service, (recent["service_name"] == F.col("service")) & holds), recent.join(of_any, holds)]
     value_of = lambda k: F.when(k == "level", severity()).otherwise(F.coalesce(F.element_at("attributes", k), F.element_at("resource_attributes", k), F.lit("")))
     group = F.array_join(F.transform(F.array_sort("group_by"), lambda k: F.concat(k, F.lit("="), value_of(k))), ",")
-    counts = matched.select(F.col("id").alias("rule_id"), group.alias("group")).groupBy("rule_id", "group").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    hits = reduce(DataFrame.union, (rows.select(F.col("id").alias("rule_id"), group.alias("group")) for rows in matched))
+    counts = hits.groupBy("rule_id", "group").agg(F.count(F.lit(1)).cast("double").alias("value"))
     ungrouped = own.filter(F.size("group_by") == 0).select(F.col("id").alias("rule_id"), F.lit("").alias("group"))
     zero = ungrouped.join(counts, ["rule_id", "group"], "left_anti").withColumn("value", F.lit(0.0))
     return counts.unionByName(zero)
 
 
+_METRIC_RULE = "rule_id string, metric_name string, agg string, filters map<string,string>, group_by array<string>, seconds long"
+
+
 def metric_rule_values(points: DataFrame, rules: Iterable[dict], now: int) -> DataFrame:
-    """rule_id, group, value of metric rules (their rows as dicts): the metric's single step over each rule's window."""
-    out = None
-    for rule in rules:
-        window = rule["window_seconds"] * NANOS
-        keys = sorted(rule.get("group_by") or ())
-        series = query_metric(points, rule["metric"], now - window, now, rule.get("agg") or None, keys, rule.get("filters"), window)
-        group = F.concat_ws(",", *(F.concat(F.lit(f"{k}="), F.col(f"`{k}`")) for k in keys)) if keys else F.lit("")
-        values = series.select(F.lit(rule["id"]).alias("rule_id"), group.alias("group"), "value")
-        out = values if out is None else out.unionByName(values)
-    return out
+    """rule_id, group, value of metric rules (their rows as dicts): the metric's single step over each rule's window.
+
+    All rules are answered in one pass over the points for each way of reading a metric (gauge, counter, distribution; differenced
+    or not), of which there are five.
+    """
+    listed = [(r["id"], r["metric"], r.get("agg") or None, r.get("filters") or {}, sorted(r.get("group_by") or ()), r["window_seconds"]) for r in rules]
+    spark = points.sparkSession
+    if not listed:
+        return spark.createDataFrame([], "rule_id string, `group` string, value double")
+    own = F.broadcast(spark.createDataFrame(listed, _METRIC_RULE))
+    low = F.lit(now) - F.col("seconds") * NANOS
+    time = F.col("time_unix_nano")
+    longest = max(r[5] for r in listed) * NANOS
+    attribute_of = lambda k: F.coalesce(F.element_at("attributes", k), F.element_at("resource_attributes", k))
+    rows = points.filter((time >= now - longest - LOOKBACK) & (time < now)).join(own, "metric_name").filter(time >= low - LOOKBACK)
+    kinds = rows.groupBy("rule_id").agg(F.max("type").alias("kind"), F.max("temporality").alias("how"), F.bool_or("is_monotonic").alias("grows"))  # a row per rule
+    shape = (
+        F.when(F.col("kind").isin("Histogram", "ExponentialHistogram", "Summary"), F.when((F.col("kind") == "Summary") | (F.col("how") == "Delta"), "whole").otherwise("differenced"))
+        .when((F.col("kind") == "Sum") & F.col("grows"), F.when(F.col("how") == "Delta", "delta").otherwise("counter"))
+        .otherwise("gauge")
+    )
+    rows = rows.join(F.broadcast(kinds.select("rule_id", shape.alias("shape"))), "rule_id")
+    rows = rows.filter(F.forall(F.map_entries("filters"), lambda e: F.coalesce(attribute_of(e["key"]) == e["value"], F.lit(False))))
+    group = F.array_join(F.transform("group_by", lambda k: F.concat(k, F.lit("="), F.coalesce(attribute_of(k), F.lit("")))), ",")
+    rows = rows.select(
+        "rule_id", group.alias("group"), "shape", "agg", "seconds", (time >= low).alias("inside"), "series_id", "start_time_unix_nano", "time_unix_nano", "value", "count", "sum",
+        "explicit_bounds", "bucket_counts",
+    )
+    of, keys, whole = lambda shape: rows.filter(F.col("shape") == shape), ["rule_id", "series_id"], ["rule_id", "group", "agg", "seconds"]
+
+    def reduced(series: DataFrame, default: str) -> DataFrame:
+        named = {"sum": F.sum("value"), "avg": F.avg("value"), "min": F.min("value"), "max": F.max("value"), "count": F.count("value").cast("double")}
+        found = series.groupBy("rule_id", "group", "agg").agg(F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))).alias("by"))
+        return found.select("rule_id", "group", F.element_at("by", F.coalesce("agg", F.lit(default))).alias("value"))
+
+    last = of("gauge").filter("inside").groupBy(*whole, "series_id").agg(F.max_by("value", F.struct("time_unix_nano", "value")).alias("value"))
+    out = [reduced(last, "avg")]
+    for shape, delta in (("counter", False), ("delta", True)):
+        grown = counter_increments(of(shape), delta, keys).filter("inside and increment is not null")
+        out.append(reduced(grown.groupBy(*whole, "series_id").agg((F.sum("increment") / F.col("seconds")).alias("value")), "sum"))
+    for shape, differenced in (("differenced", True), ("whole", False)):
+        seen = distribution_increments(of(shape), differenced, keys).filter("inside").withColumn("agg", F.coalesce("agg", F.lit("avg")))
+        value = F.when(F.col("agg") == "count", F.sum("count") / F.col("seconds")).when((F.col("agg") == "avg") & (F.sum("count") != 0), F.sum("sum") / F.sum("count"))
+        out.append(seen.filter("agg in ('count', 'avg')").groupBy(*whole).agg(value.alias("value")).select("rule_id", "group", "value"))
+        share = F.regexp_extract("agg", r"^p([0-9.]+)$", 1).try_cast("double") / 100
+        merged = merged_buckets(seen.withColumn("share", share).filter("share > 0 and share < 1"), ["rule_id", "group", "share"])
+        out.append(bucket_quantile(merged, ["rule_id", "group"], F.col("share")))
+    return reduce(DataFrame.union, out).filter("value is not null")
 
 
 def preview(values: DataFrame, rules: DataFrame) -> DataFrame:

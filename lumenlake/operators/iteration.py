@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one if the session names none, as in tests."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only a local session may name none; it gets a temporary one."""
     context = df.sparkSession.sparkContext
     if not (known := context._jsc.sc().getCheckpointDir()).isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[[^-]*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get()
 

@@ -34,15 +34,15 @@ def selected(points: DataFrame, metric: str, from_ns: int, to_ns: int, group_by:
     return rows.select("series_id", "start_time_unix_nano", "time_unix_nano", "value", "count", "sum", "explicit_bounds", "bucket_counts", "type", "temporality", *keys)
 
 
-def previous_points(rows: DataFrame, *fields: str) -> DataFrame:
-    """``rows`` with ``before``: start and ``fields`` of the series' point before. Points of one time go by value."""
-    by_time = Window.partitionBy("series_id").orderBy("time_unix_nano", "start_time_unix_nano", *fields)
+def previous_points(rows: DataFrame, *fields: str, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """``rows`` with ``before``: start and ``fields`` of the point before in the series, which ``keys`` tell apart. Points of one time go by value."""
+    by_time = Window.partitionBy(*keys).orderBy("time_unix_nano", "start_time_unix_nano", *fields)
     return rows.withColumn("before", F.lag(F.struct("start_time_unix_nano", *fields)).over(by_time))
 
 
-def counter_increments(rows: DataFrame, delta: bool = False) -> DataFrame:
+def counter_increments(rows: DataFrame, delta: bool = False, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """``rows`` with ``increment``: null at a cumulative series' first point, the full value after a reset."""
-    rows = previous_points(rows, "value")
+    rows = previous_points(rows, "value", keys=keys)
     reset = (F.col("start_time_unix_nano") != F.col("before.start_time_unix_nano")) | (F.col("value") < F.col("before.value"))
     grown = F.when(F.col("before").isNull(), None).when(reset, F.col("value")).otherwise(F.col("value") - F.col("before.value"))
     return rows.withColumn("reset", F.coalesce(reset, F.lit(False))).withColumn("increment", F.col("value") if delta else grown)
@@ -83,11 +83,11 @@ def counter_rate(
     return _named(reduce_series(summed, [*_groups(group_by), "n"], agg), group_by, from_ns, step_ns)
 
 
-def distribution_increments(rows: DataFrame, differenced: bool = True) -> DataFrame:
+def distribution_increments(rows: DataFrame, differenced: bool = True, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """``rows`` with count, sum and bucket_counts since the point before; a cumulative series' first point goes."""
     if not differenced:
         return rows
-    rows = previous_points(rows, "count", "sum", "bucket_counts").filter("before is not null")
+    rows = previous_points(rows, "count", "sum", "bucket_counts", keys=keys).filter("before is not null")
     going_on = (F.col("start_time_unix_nano") == F.col("before.start_time_unix_nano")) & (F.col("count") >= F.col("before.count"))
     same = going_on & (F.size("before.bucket_counts") == F.size("bucket_counts"))
     less = lambda c: F.when(going_on, F.col(c) - F.col(f"before.{c}")).otherwise(F.col(c))
@@ -97,7 +97,7 @@ def distribution_increments(rows: DataFrame, differenced: bool = True) -> DataFr
     )
 
 
-def bucket_quantile(rows: DataFrame, groups: Sequence[str], q: float, bounds: str = "bounds", counts: str = "counts") -> DataFrame:
+def bucket_quantile(rows: DataFrame, groups: Sequence[str], q: float | Column, bounds: str = "bounds", counts: str = "counts") -> DataFrame:
     """``rows`` (a merged histogram each) with ``value``: the q-quantile, interpolated in the bucket that holds its rank.
 
     Rows without counts, without bounds, or with lengths that do not fit are left out.
@@ -136,11 +136,15 @@ def histogram_series(
         q = 0.0
     if not 0 < q < 1:
         return _named(rows.select(*groups, F.lit(0.0).alias("value")).filter(F.lit(False)), group_by, from_ns, step_ns)
+    return _named(bucket_quantile(merged_buckets(rows, groups), groups, q), group_by, from_ns, step_ns)
+
+
+def merged_buckets(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Each group's buckets summed by position: ``bounds`` (the smallest array of the group) and ``counts``."""
     slots = rows.filter(F.size("explicit_bounds") > 0).select(*groups, F.col("explicit_bounds").alias("bounds"), F.posexplode("bucket_counts").alias("slot", "c"))
     summed = slots.groupBy(*groups, "bounds", "slot").agg(F.sum("c").cast("double").alias("c"))
     by_bounds = summed.groupBy(*groups, "bounds").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "c"))), lambda x: x["c"]).alias("counts"))
-    merged = by_bounds.groupBy(*groups).agg(F.min("bounds").alias("bounds"), F.min_by("counts", "bounds").alias("counts"))
-    return _named(bucket_quantile(merged, groups, q), group_by, from_ns, step_ns)
+    return by_bounds.groupBy(*groups).agg(F.min("bounds").alias("bounds"), F.min_by("counts", "bounds").alias("counts"))
 
 
 def query_metric(
@@ -148,7 +152,8 @@ def query_metric(
 ) -> DataFrame:
     """The series of a metric of any kind, by the kind's own rules; a metric without points gives no rows."""
     step_ns = step_ns or nice_step(to_ns - from_ns, 120)
-    kind = points.filter(F.col("metric_name") == metric).agg(F.max("type").alias("type"), F.max("temporality").alias("temporality"), F.bool_or("is_monotonic").alias("monotonic")).first()
+    near = points.filter(F.col("metric_name") == metric).filter(in_range("time_unix_nano", from_ns - LOOKBACK, to_ns))
+    kind = near.agg(F.max("type").alias("type"), F.max("temporality").alias("temporality"), F.bool_or("is_monotonic").alias("monotonic")).first()
     more = {"group_by": group_by, "filters": filters}
     if kind["type"] in ("Histogram", "ExponentialHistogram", "Summary"):
         differenced = kind["type"] != "Summary" and kind["temporality"] != "Delta"
@@ -178,9 +183,13 @@ def series_dictionary(points: DataFrame) -> DataFrame:
 def cardinality_guard(points: DataFrame, limit: int) -> DataFrame:
     """``points`` with ``series``: its id as text, or ``__overflow__`` for series beyond the first ``limit`` of their metric.
 
-    Series are ranked by first point; only one row per series is ranked, so no metric's points meet in one task.
+    Series are ranked by first point. Counts by hour tell which hours lie within the limit, so that only the series
+    of those are ranked, an hour at a time.
     """
-    first = points.groupBy("metric_name", "series_id").agg(F.min("time_unix_nano").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("metric_name").orderBy("first", "series_id"))
-    kept = first.withColumn("rank", rank).filter(F.col("rank") <= limit).select("metric_name", "series_id", F.lit(True).alias("kept"))
+    first = points.groupBy("metric_name", "series_id").agg(F.min("time_unix_nano").alias("first")).withColumn("hour", F.expr(f"first div {3600 * NANOS}L"))
+    hours = first.groupBy("metric_name", "hour").agg(F.count(F.lit(1)).alias("n"))
+    up_to = Window.partitionBy("metric_name").orderBy("hour")
+    hours = hours.withColumn("before", F.sum("n").over(up_to) - F.col("n")).filter(F.col("before") < limit).drop("n")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("metric_name", "hour").orderBy("first", "series_id"))
+    kept = first.join(hours, ["metric_name", "hour"]).withColumn("rank", rank).filter(F.col("rank") <= limit).select("metric_name", "series_id", F.lit(True).alias("kept"))
     return points.join(kept, ["metric_name", "series_id"], "left").withColumn("series", F.when(F.col("kept"), F.col("series_id").cast("string")).otherwise("__overflow__")).drop("kept")

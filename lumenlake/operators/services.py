@@ -17,20 +17,43 @@ def entries(spans: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
     return spans.filter(in_range("start_time_unix_nano", from_ns, to_ns)).filter(is_entry())
 
 
-def _ms(share: float) -> Column:
-    """An exact percentile of the duration in ms. The nanoseconds are rounded first, so that engines agree to the last bit."""
-    return (F.round(F.percentile("duration_nano", share), 3) / 1e6).alias(f"p{share * 100:g}_ms")
+def _figures(rows: DataFrame, keys: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """``keys``, requests, errors, and exact percentiles of the duration in ms (interpolated between neighbours, as p50_ms etc.).
 
+    Durations are counted by value, then by steps of their leading eleven bits. Sums over the steps of a key tell in which ones
+    the ranks lie that are asked for; only the values within these are put in order. So no buffer or task holds all of a key's durations.
+    """
+    counts = rows.groupBy(*keys, F.col("duration_nano").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if(span_is_error()).alias("failed"))
+    shift = F.greatest(F.length(F.bin("v")) - 11, F.lit(0))
+    counts = counts.withColumn("step", shift * 1024 + F.expr("shiftright(v, cast(greatest(length(bin(v)) - 11, 0) as int))"))
+    steps = counts.groupBy(*keys, "step").agg(F.sum("n").alias("m"), F.sum("failed").alias("failed"))  # at most 55,000 a key
+    up_to, whole = Window.partitionBy(*keys).orderBy("step"), Window.partitionBy(*keys)
+    steps = steps.select(
+        *keys, "step", "m", (F.sum("m").over(up_to) - F.col("m")).alias("before"), F.sum("m").over(whole).alias("requests"), F.sum("failed").over(whole).alias("errors")
+    )
+    place = lambda share: (F.col("requests") - 1) * F.lit(share)
+    ranks = F.array(*(f(place(share)).cast("long") for share in shares for f in (F.floor, F.ceil)))
+    inside = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m")))
+    asked = steps.withColumn("ranks", inside).filter(F.size("ranks") > 0).drop("m")
+    so_far = Window.partitionBy(*keys, "step").orderBy("v")
+    values = counts.drop("failed").join(asked, [*keys, "step"]).withColumn("last", F.col("before") + F.sum("n").over(so_far))
+    found = values.select(*keys, "requests", "errors", "v", F.explode("ranks").alias("rank"), "last", "n").filter("rank < last and rank >= last - n")
+    by_rank = found.groupBy(*keys, "requests", "errors").agg(F.map_from_entries(F.collect_set(F.struct("rank", "v"))).alias("at"))  # two a share at most
 
-def _requests() -> list[Column]:
-    return [F.count(F.lit(1)).alias("requests"), F.count_if(span_is_error()).alias("errors")]
+    def percentile(share: float) -> Column:
+        low, high = F.floor(place(share)).cast("long"), F.ceil(place(share)).cast("long")
+        value = lambda rank: F.element_at("at", rank).cast("double")
+        exact = F.when(low == high, value(low)).otherwise((high - place(share)) * value(low) + (place(share) - low) * value(high))
+        return (F.round(exact, 3) / 1e6).alias(f"p{share * 100:g}_ms")  # nanoseconds are rounded first, so that engines agree to the last bit
+
+    return by_rank.select(*keys, "requests", "errors", *map(percentile, shares))
 
 
 def services(spans: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
     """Per service: requests, errors, error rate, requests a second, p50, p95 and p99 in ms; most requests first."""
-    rows = entries(spans, from_ns, to_ns).groupBy("service_name").agg(*_requests(), _ms(0.5), _ms(0.95), _ms(0.99))
     return (
-        rows.withColumn("error_rate", F.col("errors") / F.col("requests"))
+        _figures(entries(spans, from_ns, to_ns), ["service_name"], (0.5, 0.95, 0.99))
+        .withColumn("error_rate", F.col("errors") / F.col("requests"))
         .withColumn("rate", F.col("requests") / F.lit((to_ns - from_ns) / NANOS))
         .orderBy(F.desc("requests"), "service_name")
     )
@@ -39,16 +62,16 @@ def services(spans: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
 def service_timeline(spans: DataFrame, name: str, from_ns: int, to_ns: int, step_ns: int | None = None) -> DataFrame:
     """The figures of one service for each step that has requests."""
     step_ns = step_ns or nice_step(to_ns - from_ns, 60)
-    rows = entries(spans, from_ns, to_ns).filter(F.col("service_name") == name)
-    rows = rows.groupBy(bucket("start_time_unix_nano", from_ns, step_ns).alias("n")).agg(*_requests(), _ms(0.5), _ms(0.95), _ms(0.99))
+    rows = entries(spans, from_ns, to_ns).filter(F.col("service_name") == name).withColumn("bucket", bucket("start_time_unix_nano", from_ns, step_ns))
     rate = F.col("requests") / F.lit(step_ns / NANOS)
-    return rows.select(bucket_start("n", from_ns, step_ns).alias("bucket_start"), "requests", "errors", "p50_ms", "p95_ms", "p99_ms", rate.alias("rate")).orderBy("bucket_start")
+    found = _figures(rows, ["bucket"], (0.5, 0.95, 0.99))
+    return found.select(bucket_start("bucket", from_ns, step_ns).alias("bucket_start"), "requests", "errors", "p50_ms", "p95_ms", "p99_ms", rate.alias("rate")).orderBy("bucket_start")
 
 
 def service_operations(spans: DataFrame, name: str, from_ns: int, to_ns: int, limit: int = 50) -> DataFrame:
     """Per span name of a service's entry spans: requests, errors, p50, p95; most requests first."""
     rows = entries(spans, from_ns, to_ns).filter(F.col("service_name") == name)
-    return rows.groupBy("name").agg(*_requests(), _ms(0.5), _ms(0.95)).orderBy(F.desc("requests"), "name").limit(limit)
+    return _figures(rows, ["name"], (0.5, 0.95)).orderBy(F.desc("requests"), "name").limit(limit)
 
 
 def service_map(spans: DataFrame, from_ns: int | None, to_ns: int | None) -> DataFrame:

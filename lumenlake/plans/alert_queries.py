@@ -134,7 +134,7 @@ def alert_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.lit("by-service").alias("rule_id"), F.col("service_name").alias("group"), tick.alias("tick")).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
-_ISLANDS = f"""ticks AS (
+ISLANDS = f"""ticks AS (
         SELECT service_name AS grp, {JAN} + ((t - {JAN}) // {6 * HOUR} + 1) * {6 * HOUR} AS tick, CAST(count(*) AS DOUBLE) AS value
         FROM logs WHERE severity_text = 'ERROR' AND t >= {JAN} AND t < {FEB} GROUP BY 1, 2
     ), marked AS (SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY grp ORDER BY tick) = {6 * HOUR} THEN 0 ELSE 1 END AS b FROM ticks WHERE value >= 5),
@@ -149,12 +149,12 @@ def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.alert_backtest(own, alert_ticks(spark, sf_dir), 6 * HOUR)
 
 
-@query("alert_backtest", f"WITH {LOGS}, {_ISLANDS} {_FIRED}")
+@query("alert_backtest", f"WITH {LOGS}, {ISLANDS} {_FIRED}")
 def alert_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tested(spark, sf_dir)
 
 
-@query("alert_events_latest", f"""WITH {LOGS}, {_ISLANDS}, tested AS ({_FIRED}), happened AS (
+@query("alert_events_latest", f"""WITH {LOGS}, {ISLANDS}, tested AS ({_FIRED}), happened AS (
         SELECT rule_id, "group", 'firing' AS event, fired_at AS "at" FROM tested UNION ALL SELECT rule_id, "group", 'resolved', resolved_at FROM tested WHERE resolved_at IS NOT NULL
     ) SELECT * FROM happened ORDER BY "at" DESC, rule_id, "group", event LIMIT 50""")
 def alert_events_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.iteration import shared_folder
 from ..sources import derived, payloads, scan, storage
 from ..streaming import jobs
-from .alert_queries import alert_ticks
+from .alert_queries import ISLANDS, alert_ticks
 from .registry import D10, D20, DAY, FEB, HOUR, JAN, query
 from .views import LOGS, POINTS, SPANS
 
@@ -75,6 +75,13 @@ def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.expired_partitions(_files(spark, sf_dir), D20)
 
 
+@query("retention_deletes", f"WITH {LOGS}, kept AS (SELECT t // {HOUR} AS h FROM logs WHERE (t // {HOUR} + 1) * {HOUR} > {D20 - storage.RETENTION}) SELECT CAST(h // 24 AS INTEGER) AS day, count(*) AS logs FROM kept GROUP BY 1")
+def retention_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _stored(spark, derived.logs(spark, sf_dir))
+    storage.expire(spark, root, "logs", D20)
+    return scan.read_signal(spark, root, "logs").groupBy(F.unix_date("date").alias("day")).agg(F.count(F.lit(1)).alias("logs"))
+
+
 @query("retention_by_signal", f"WITH {LOGS}, {_HOURS} {_FILE} WHERE (h + 1) * {HOUR} <= {D20 - 2 * DAY}")
 def retention_by_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.expired_partitions(_files(spark, sf_dir), D20, {"logs": 2 * DAY, "spans": 0})
@@ -92,35 +99,78 @@ def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("signal_counts", f"""WITH {SPANS}, {LOGS}, {POINTS} SELECT 'logs' AS signal, count(*) AS items FROM logs UNION ALL SELECT 'spans', count(*) FROM spans UNION ALL
-    SELECT 'metrics', (SELECT count(*) FROM ev) * 3 + (SELECT count(*) FROM sizes) * 3""")
+    SELECT 'metric_points', (SELECT count(*) FROM ev) * 3 + (SELECT count(*) FROM sizes) * 3""")
 def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.signal_counts(derived.logs(spark, sf_dir), derived.spans(spark, sf_dir), derived.metric_points(spark, sf_dir))
 
 
-def _attributes(*columns: str) -> Column:
+def _value(**kinds: Column) -> Column:
+    """A typed value of the kind whose column is not null."""
+    return F.struct(*(c.alias(k) for k, c in kinds.items()))
+
+
+def _text(value: Column) -> Column:
+    return _value(stringValue=value)
+
+
+def _attributes(*columns: str | Column) -> Column:
     """Payload attributes of maps, in the form of typed lists."""
-    entry = lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value"))
+    entry = lambda e: F.struct(e["key"].alias("key"), _text(e["value"]).alias("value"))
     return F.flatten(F.array(*(F.transform(F.map_entries(c), entry) for c in columns)))
 
 
+def _payload(rows: DataFrame, keys: list[Column], kind: str, records: str, record: Column, *more: Column) -> DataFrame:
+    """Nested payloads as JSON: a resource and a scope around the records of each group of ``keys``, which bound a payload's size.
+
+    Strings of a # and digits become numbers, as exporters write enums.
+    """
+    resource = F.transform_values("resource_attributes", lambda k, v: F.when((k == "service.name") & (v == "svc-4"), "").otherwise(v))
+    grouped = rows.groupBy(_attributes(resource).alias("resource"), *keys).agg(F.collect_list(record).alias(records))
+    scope = F.array(F.struct(F.struct(F.lit("derived").alias("name")).alias("scope"), *(more or (F.col(records),))))
+    tree = F.struct(F.array(F.struct(F.struct(F.col("resource").alias("attributes")).alias("resource"), scope.alias(f"scope{kind}"))).alias(f"resource{kind}"))
+    return grouped.withColumn("payload", F.regexp_replace(F.to_json(tree), '"#([0-9]+)"', "$1"))
+
+
+def _numbered() -> Column:
+    return F.col("span_id").cast("long")
+
+
+#: Records in a payload at most.
+RECORDS = 500
+
+
+def _body() -> Column:
+    """The body of a log as a typed value: text, whole number, fraction, truth, list or map by turns."""
+    turn = lambda k: _numbered() % 6 == k
+    half = _value(doubleValue=_numbered().cast("double") / 2)
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    inner = F.struct(F.array(pair("z", _value(intValue=F.col("span_id")).withField("stringValue", F.lit(None).cast("string"))), pair("a", _value(intValue=F.lit(None).cast("string")).withField("stringValue", F.lit("<x>")))).alias("values"))
+    return _value(
+        stringValue=F.when(turn(0), F.col("body")), intValue=F.when(turn(1), F.col("span_id")), doubleValue=F.when(turn(2), _numbered().cast("double") / 4),
+        boolValue=F.when(turn(3), F.col("trace_id") == ""), arrayValue=F.when(turn(4), F.struct(F.array(half, half).alias("values"))), kvlistValue=F.when(turn(5), inner),
+    )
+
+
 def log_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived logs as nested payloads, one per resource and hour; every third log has only an observed time and a number for its level."""
-    logs = derived.logs(spark, sf_dir)
-    odd = F.col("span_id").cast("long") % 3 == 0
+    """The derived logs as nested payloads of a resource; every third log has only an observed time and a number for its level."""
+    odd = _numbered() % 3 == 0
+    level = F.when(odd & (F.col("severity_number") == 17), "SEVERITY_NUMBER_ERROR").otherwise(F.concat(F.lit("#"), F.col("severity_number").cast("string")))
     record = F.struct(
         F.when(~odd, F.col("time_unix_nano").cast("string")).alias("timeUnixNano"), F.col("time_unix_nano").cast("string").alias("observedTimeUnixNano"),
-        F.col("severity_number").alias("severityNumber"), F.when(~odd, F.col("severity_text")).alias("severityText"), F.struct(F.col("body").alias("stringValue")).alias("body"),
+        level.alias("severityNumber"), F.when(~odd, F.col("severity_text")).alias("severityText"), _body().alias("body"),
         F.coalesce(F.nullif("trace_id", F.lit("")), F.lit("0000")).alias("traceId"), F.col("span_id").alias("spanId"), _attributes("attributes").alias("attributes"),
     )
-    resource = _attributes("resource_attributes")
-    grouped = logs.groupBy(resource.alias("resource"), F.expr(f"time_unix_nano div {HOUR}L").alias("hour")).agg(F.collect_list(record).alias("logRecords"))
-    scope = F.array(F.struct(F.struct(F.lit("derived").alias("name")).alias("scope"), F.col("logRecords")))
-    tree = F.struct(F.array(F.struct(F.struct(F.col("resource").alias("attributes")).alias("resource"), scope.alias("scopeLogs"))).alias("resourceLogs"))
-    return grouped.select(F.to_json(tree).alias("payload"), (F.col("hour") * HOUR).alias("received"))
+    keys = [F.expr(f"time_unix_nano div {HOUR}L").alias("hour"), F.expr(f"cast(span_id as bigint) div {RECORDS}L").alias("part")]
+    return _payload(derived.logs(spark, sf_dir), keys, "Logs", "logRecords", record).select("payload", (F.col("hour") * HOUR).alias("received"))
 
 
-_FLAT_LOGS = f"""WITH {LOGS} SELECT t AS time_unix_nano, service_name, severity_number, body, CASE WHEN trim(trace_id, '0') = '' THEN '' ELSE trace_id END AS trace_id,
-    CASE WHEN CAST(span_id AS BIGINT) = 0 THEN '' ELSE span_id END AS span_id,
+_SHOWN_BODY = """CASE CAST(span_id AS BIGINT) % 6 WHEN 0 THEN body WHEN 1 THEN span_id
+        WHEN 2 THEN CAST(CAST(span_id AS BIGINT) // 4 AS VARCHAR) || CASE CAST(span_id AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END
+        WHEN 3 THEN CASE WHEN trace_id = '' THEN 'true' ELSE 'false' END
+        WHEN 4 THEN '[' || CAST(CAST(span_id AS BIGINT) // 2 AS VARCHAR) || ',' || CAST(CAST(span_id AS BIGINT) // 2 AS VARCHAR) || ']'
+        ELSE '{"a":"\\u003cx\\u003e","z":' || span_id || '}' END"""
+_FLAT_LOGS = f"""WITH {LOGS} SELECT t AS time_unix_nano, CASE WHEN service_name = 'svc-4' THEN 'unknown_service' ELSE service_name END AS service_name, severity_number, {_SHOWN_BODY} AS body,
+    CASE WHEN trim(trace_id, '0') = '' THEN '' ELSE trace_id END AS trace_id, CASE WHEN CAST(span_id AS BIGINT) = 0 THEN '' ELSE span_id END AS span_id,
     CASE WHEN CAST(span_id AS BIGINT) % 3 = 0 OR severity_text = '' THEN CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' WHEN 'click' THEN 'DEBUG' ELSE '' END
          ELSE severity_text END AS severity_text, event_type, coalesce(k, '') AS k, env FROM logs"""
 
@@ -137,56 +187,91 @@ def flatten_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(payloads.flatten_logs(log_payloads(spark, sf_dir)))
 
 
+def _named_or_numbered(names: tuple[str, ...], prefix: str, value: Column) -> Column:
+    """An enum value as exporters write it: by its number in even traces, by its prefixed name in odd ones."""
+    number = F.array_position(F.array(*map(F.lit, names)), value) - 1
+    return F.when(F.col("trace_id").cast("long") % 2 == 0, F.concat(F.lit("#"), number.cast("string"))).otherwise(F.concat(F.lit(prefix), F.upper(value)))
+
+
 @query("flatten_spans", f"""WITH {SPANS} SELECT CASE WHEN trim(trace_id, '0') = '' THEN '' ELSE trace_id END AS trace_id, CASE WHEN trim(span_id, '0') = '' THEN '' ELSE span_id END AS span_id,
     CASE WHEN trim(parent_span_id, '0') = '' THEN '' ELSE parent_span_id END AS parent_span_id, name, kind, t AS start_time_unix_nano,
-    CASE WHEN CAST(trace_id AS BIGINT) % 7 = 0 THEN 0 ELSE d END AS duration_nano, status_code, status_message, service_name, version FROM spans""")
+    CASE WHEN CAST(trace_id AS BIGINT) % 7 = 0 THEN 0 ELSE d END AS duration_nano, status_code, status_message, service_name, version,
+    '[' || CAST(d AS VARCHAR) || ',"' || v1 || '",null]' AS listed FROM spans""")
 def flatten_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = derived.spans(spark, sf_dir)
     end = F.when(F.col("trace_id").cast("long") % 7 == 0, F.col("start_time_unix_nano") - 1).otherwise(F.col("end_time_unix_nano"))
+    null = F.lit(None).cast("string")
+    values = [_value(intValue=F.col("duration_nano").cast("string"), stringValue=null), _value(intValue=null, stringValue=F.coalesce(*(F.col("attributes")[k] for k in ("order.status", "line.status")))), _value(intValue=null, stringValue=null)]
+    listed = F.struct(F.lit("listed").alias("key"), _value(stringValue=null, arrayValue=F.struct(F.array(*values).alias("values"))).alias("value"))
+    own = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), _value(stringValue=e["value"], arrayValue=F.lit(None).cast("struct<values:array<struct<intValue:string,stringValue:string>>>")).alias("value")))
     record = F.struct(
-        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", "kind",
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name",
+        _named_or_numbered(payloads.KINDS, "SPAN_KIND_", F.col("kind")).alias("kind"),
         F.col("start_time_unix_nano").cast("string").alias("startTimeUnixNano"), end.cast("string").alias("endTimeUnixNano"),
-        F.struct(F.col("status_code").alias("code"), F.col("status_message").alias("message")).alias("status"), _attributes("attributes").alias("attributes"),
+        F.struct(_named_or_numbered(payloads.STATUS_CODES, "STATUS_CODE_", F.col("status_code")).alias("code"), F.col("status_message").alias("message")).alias("status"),
+        F.concat(own, F.array(listed)).alias("attributes"),
     )
-    grouped = spans.groupBy(_attributes("resource_attributes").alias("resource"), F.expr(f"start_time_unix_nano div {7 * DAY}L").alias("week")).agg(F.collect_list(record).alias("spans"))
-    scope = F.array(F.struct(F.struct(F.lit("derived").alias("name")).alias("scope"), F.col("spans")))
-    tree = F.struct(F.array(F.struct(F.struct(F.col("resource").alias("attributes")).alias("resource"), scope.alias("scopeSpans"))).alias("resourceSpans"))
-    flat = payloads.flatten_spans(grouped.select(F.to_json(tree).alias("payload")))
-    version = F.col("resource_attributes")["service.version"].alias("version")
-    return flat.select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_time_unix_nano", "duration_nano", "status_code", "status_message", "service_name", version)
+    parts = [F.expr(f"cast(trace_id as bigint) div {RECORDS // 10}L").alias("part")]  # under ten spans a trace
+    flat = payloads.flatten_spans(_payload(derived.spans(spark, sf_dir), parts, "Spans", "spans", record))
+    version, listed = F.col("resource_attributes")["service.version"].alias("version"), F.col("attributes")["listed"].alias("listed")
+    return flat.select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_time_unix_nano", "duration_nano", "status_code", "status_message", "service_name", version, listed)
+
+
+_COUNTED = "t, NULL AS value, n AS \"count\", CAST(cents AS DOUBLE) AS \"sum\", event_type AS series"
+_POINT_SERVICE = "CASE WHEN service_name = 'svc-4' THEN 'unknown_service' ELSE service_name END"
 
 
-@query("flatten_metric_points", f"""WITH {POINTS} SELECT 'event.value' AS metric_name, 'Gauge' AS type, '' AS temporality, FALSE AS is_monotonic, service_name, t AS time_unix_nano, value,
-    CAST(user_id AS VARCHAR) AS "user" FROM ev UNION ALL
-    SELECT 'event.cents', 'Sum', 'Cumulative', TRUE, service_name, t, CAST(total AS DOUBLE), CAST(user_id AS VARCHAR) FROM cum""")
+@query("flatten_metric_points", f"""WITH {POINTS}, flat AS (
+    SELECT 'event.value' AS metric_name, 'Gauge' AS type, '' AS temporality, FALSE AS is_monotonic, {_POINT_SERVICE} AS service_name, t AS time_unix_nano, value,
+        NULL AS "count", NULL AS "sum", CAST(user_id AS VARCHAR) AS series, '' AS buckets, '' AS bounds FROM ev UNION ALL
+    SELECT 'event.cents', 'Sum', 'Cumulative', TRUE, {_POINT_SERVICE}, t, CAST(total AS DOUBLE), NULL, NULL, CAST(user_id AS VARCHAR), '', '' FROM cum UNION ALL
+    SELECT 'event.cents.delta', 'Sum', 'Delta', TRUE, {_POINT_SERVICE}, t, CAST(cents AS DOUBLE), NULL, NULL, CAST(user_id AS VARCHAR), '', '' FROM ev UNION ALL
+    SELECT 'event.size', 'Histogram', 'Cumulative', FALSE, 'svc-events', {_COUNTED}, concat_ws(',', c0, c1, c2, c3, c4, c5, c6, c7), '1,5,10,25,50,100,250' FROM sizes UNION ALL
+    SELECT 'event.size.exp', 'ExponentialHistogram', 'Cumulative', FALSE, 'svc-events', {_COUNTED}, '', '' FROM sizes UNION ALL
+    SELECT 'event.size.summary', 'Summary', '', FALSE, 'svc-events', {_COUNTED}, '', '' FROM sizes)
+    SELECT metric_name, type, temporality, is_monotonic, service_name, time_unix_nano, value, CAST("count" AS BIGINT) AS "count", "sum", series, buckets, bounds FROM flat""")
 def flatten_metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = derived.metric_points(spark, sf_dir).filter("metric_name in ('event.value', 'event.cents')")
-    gauge = F.col("type") == "Gauge"
-    number = F.struct(
-        _attributes("attributes").alias("attributes"), F.col("start_time_unix_nano").cast("string").alias("startTimeUnixNano"),
-        F.col("time_unix_nano").cast("string").alias("timeUnixNano"), F.when(gauge, F.col("value")).alias("asDouble"), F.when(~gauge, F.col("value").cast("long").cast("string")).alias("asInt"),
+    points = derived.metric_points(spark, sf_dir)
+    kind = F.col("type")
+    whole = F.when(kind == "Sum", F.col("value").cast("long").cast("string"))
+    texts = lambda c: F.transform(c, lambda x: x.cast("string"))
+    point = F.struct(
+        _attributes("attributes").alias("attributes"), F.col("start_time_unix_nano").cast("string").alias("startTimeUnixNano"), F.col("time_unix_nano").cast("string").alias("timeUnixNano"),
+        F.when(kind == "Gauge", F.col("value")).alias("asDouble"), whole.alias("asInt"), F.col("count").cast("string").alias("count"), "sum",
+        F.when(kind == "Histogram", F.col("explicit_bounds")).alias("explicitBounds"), F.when(kind == "Histogram", texts("bucket_counts")).alias("bucketCounts"),
     )
-    keys = ["metric_name", "type", "temporality", "is_monotonic", _attributes("resource_attributes").alias("resource"), F.expr(f"time_unix_nano div {DAY}L").alias("day")]
-    grouped = points.groupBy(*keys).agg(F.collect_list(number).alias("dataPoints"))
-    data = F.struct("dataPoints")
-    total = F.struct("dataPoints", F.col("temporality").alias("aggregationTemporality"), F.col("is_monotonic").alias("isMonotonic"))
-    metric = F.struct(F.col("metric_name").alias("name"), F.lit("1").alias("unit"), F.when(gauge, data).alias("gauge"), F.when(~gauge, total).alias("sum"))
-    scope = F.array(F.struct(F.struct(F.lit("derived").alias("name")).alias("scope"), F.array(metric).alias("metrics")))
-    tree = F.struct(F.array(F.struct(F.struct(F.col("resource").alias("attributes")).alias("resource"), scope.alias("scopeMetrics"))).alias("resourceMetrics"))
-    flat = payloads.flatten_metric_points(grouped.select(F.to_json(tree).alias("payload")))
-    return flat.select("metric_name", "type", "temporality", "is_monotonic", "service_name", "time_unix_nano", "value", F.col("attributes")["user.id"].alias("user"))
-
-
-@query("attrs_to_map", f"WITH {LOGS} SELECT span_id, event_type || '2' AS event_type, coalesce(k, '') AS k FROM logs")
+    name = F.when(F.col("temporality") == "Delta", "#1").when(F.col("metric_name") == "event.size.exp", "AGGREGATION_TEMPORALITY_CUMULATIVE").otherwise("#2")
+    bodies = [
+        F.when(kind == k, F.struct("dataPoints", *([name.alias("aggregationTemporality")] if k not in ("Gauge", "Summary") else []), *([F.col("is_monotonic").alias("isMonotonic")] if k == "Sum" else []))).alias(field)
+        for field, k in (("gauge", "Gauge"), ("sum", "Sum"), ("histogram", "Histogram"), ("exponentialHistogram", "ExponentialHistogram"), ("summary", "Summary"))
+    ]
+    metric = F.array(F.struct(F.col("metric_name").alias("name"), F.lit("1").alias("unit"), *bodies)).alias("metrics")
+    keys = ["metric_name", "type", "temporality", "is_monotonic", F.expr(f"time_unix_nano div {HOUR}L").alias("hour"), F.pmod("series_id", F.lit(64)).alias("part")]
+    flat = payloads.flatten_metric_points(_payload(points, keys, "Metrics", "dataPoints", point, metric))
+    series = F.coalesce(F.col("attributes")["user.id"], F.col("attributes")["event.type"]).alias("series")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
+    return flat.select(
+        "metric_name", "type", "temporality", "is_monotonic", "service_name", "time_unix_nano", "value", "count", "sum", series,
+        joined("bucket_counts").alias("buckets"), joined("explicit_bounds").alias("bounds"),
+    )
+
+
+@query("attrs_to_map", f"""WITH {LOGS} SELECT span_id, event_type || '2' AS event_type, coalesce(k, '') AS k, span_id AS whole, CAST(CAST(span_id AS BIGINT) // 2 AS VARCHAR) || CASE CAST(span_id AS BIGINT) % 2 WHEN 0 THEN '' ELSE '.5' END AS half,
+    CASE WHEN trace_id = '' THEN 'true' ELSE 'false' END AS truth, '["' || event_type || '",' || span_id || ',{{"in":["' || env || '"]}}]' AS listed, 'AAE=' AS bytes, '' AS none FROM logs""")
 def attrs_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    null = lambda kind: F.lit(None).cast(kind)
-    value = lambda text: F.struct(text.alias("stringValue"), null("string").alias("intValue"), null("double").alias("doubleValue"), null("boolean").alias("boolValue"))
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    text = lambda c: F.to_json(_text(c))
+    inside = F.concat(F.lit('{"kvlistValue":{"values":[{"key":"in","value":{"arrayValue":{"values":['), text(F.col("resource_attributes")["deployment.environment.name"]), F.lit("]}}}]}}"))
+    listed = F.concat(F.lit('{"arrayValue":{"values":['), text(F.col("attributes")["event.type"]), F.lit(","), F.to_json(_value(intValue=F.col("span_id"))), F.lit(","), inside, F.lit("]}}"))
     typed = lambda suffix: F.transform(
-        F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), value(F.when(e["key"] == "event.type", F.concat(e["value"], F.lit(suffix))).otherwise(e["value"])).alias("value"))
+        F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), text(F.when(e["key"] == "event.type", F.concat(e["value"], F.lit(suffix))).otherwise(e["value"])).alias("value"))
     )
-    twice = F.concat(typed("1"), typed("2"))
-    made = derived.logs(spark, sf_dir).select("span_id", payloads.attrs_to_map(twice).alias("m"))
-    return made.select("span_id", F.col("m")["event.type"].alias("event_type"), F.coalesce(F.col("m")["k"], F.lit("")).alias("k"))
+    kinds = F.array(
+        pair("whole", F.to_json(_value(intValue=_numbered()))), pair("half", F.to_json(_value(doubleValue=_numbered().cast("double") / 2))), pair("truth", F.to_json(_value(boolValue=F.col("trace_id") == ""))),
+        pair("listed", listed), pair("bytes", F.to_json(_value(bytesValue=F.lit("AAE=")))), pair("none", F.lit("{}")),
+    )
+    made = derived.logs(spark, sf_dir).select("span_id", payloads.attrs_to_map(F.concat(typed("1"), typed("2"), kinds)).alias("m"))
+    whole = [F.col("m")[k].alias(k) for k in ("whole", "half", "truth", "listed", "bytes", "none")]
+    return made.select("span_id", F.col("m")["event.type"].alias("event_type"), F.coalesce(F.col("m")["k"], F.lit("")).alias("k"), *whole)
 
 
 @query("stream_land", _FLAT_LOGS)
@@ -198,34 +283,62 @@ def stream_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(scan.read_signal(spark, root, "logs"))
 
 
-@query("stream_log_counts", f"""WITH {LOGS}, ends AS (SELECT service_name, (t // {6 * HOUR} + i) * {6 * HOUR} AS e FROM logs, (VALUES (1), (2), (3), (4)) AS v(i) WHERE severity_text = 'ERROR')
-    SELECT CAST(e // 1000000000 AS BIGINT) AS window_end, service_name, count(*) AS logs FROM ends GROUP BY 1, 2""")
+def _in_order(df: DataFrame, time: str, root: str, turns: int) -> str:
+    """``df`` as files by turns of time, written one after the other, as a stream would bring them."""
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    step = (high - low) // turns + 1 if low is not None else 1
+    for turn in range(turns):
+        df.filter(F.expr(f"({time} - {low or 0}L) div {step}L = {turn}")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return f"{root}/in"
+
+
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_log_counts", f"""WITH {LOGS}, failed AS (SELECT * FROM logs WHERE severity_text = 'ERROR'),
+    ends AS (SELECT service_name, (t // {6 * HOUR} + i) * {6 * HOUR} AS e FROM failed, (VALUES (1), (2), (3), (4)) AS v(i))
+    SELECT CAST(e // 1000000000 AS BIGINT) AS window_end, service_name, count(*) AS logs FROM ends
+    WHERE e // 1000000 <= (SELECT max(t) FROM failed) // 1000000 - 300000 GROUP BY 1, 2""")
 def stream_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that are over, the grace included, are written once and leave the state."""
     root = _folder(spark)
-    derived.logs(spark, sf_dir).select("time_unix_nano", "service_name", "severity_text", "body", "attributes", "resource_attributes").write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
-    counts = jobs.window_counts(stream, [("level", "error", False)], "24 hours", "6 hours", "365 days")
+    rows = derived.logs(spark, sf_dir).select("time_unix_nano", "service_name", "severity_text", "body", "attributes", "resource_attributes")
+    counts = jobs.window_counts(_stream(spark, _in_order(rows, "time_unix_nano", root, 4)), [("level", "error", False)], "24 hours", "6 hours")
+    done = counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
+    done.awaitTermination()
+    out = spark.read.schema("window_end timestamp, service_name string, logs bigint").parquet(f"{root}/out")
+    return out.select(F.unix_timestamp("window_end").alias("window_end"), "service_name", "logs")
 
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    counts.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    newest = out.agg(F.max("batch").alias("batch"))
-    return out.join(newest, "batch", "left_semi").select(F.unix_timestamp("window_end").alias("window_end"), "service_name", "logs")
+@query("stream_service_map", f"""WITH {SPANS} SELECT p.service_name AS from_service, c.service_name AS to_service, count(*) AS requests, count(*) FILTER (c.status_code = 'Error') AS errors
+    FROM spans c JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE c.parent_span_id <> '' AND p.service_name <> c.service_name GROUP BY 1, 2""")
+def stream_service_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark)
+    rows = derived.spans(spark, sf_dir).select("trace_id", "span_id", "parent_span_id", "service_name", "status_code", "start_time_unix_nano")
+    jobs.land_edges(_stream(spark, _in_order(rows, "start_time_unix_nano", root, 3)), f"{root}/edges", f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
+    edges = spark.read.schema("from_service string, to_service string, hour timestamp, requests bigint, errors bigint, batch int").parquet(f"{root}/edges")
+    return edges.groupBy("from_service", "to_service").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"))
+
+
+_LIVE = f"""WITH {LOGS}, {ISLANDS}, over AS (
+        SELECT f.grp, f.fired_at, f.last + {6 * HOUR} AS resolved_at, n.value AS value, l.value AS last_value, (SELECT max(tick) FROM ticks) AS newest
+        FROM fired f JOIN ticks l ON l.grp = f.grp AND l.tick = f.last LEFT JOIN ticks n ON n.grp = f.grp AND n.tick = f.last + {6 * HOUR} WHERE f.fired_at IS NOT NULL
+    )
+    SELECT 'by-service' AS rule_id, o.grp AS "group", 'firing' AS event, o.fired_at AS "at", t.value FROM over o JOIN ticks t ON t.grp = o.grp AND t.tick = o.fired_at UNION ALL
+    SELECT 'by-service', grp, 'resolved', resolved_at, coalesce(value, last_value) FROM over WHERE value IS NOT NULL OR newest - {5 * HOUR // 60} >= resolved_at"""
 
 
-@query("stream_alert_states")
+@query("stream_alert_states", _LIVE)
 def stream_alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark)
     ticks = alert_ticks(spark, sf_dir).select("rule_id", "group", "tick", "value", (F.col("value") >= 5).alias("breached"), F.lit(12 * HOUR).cast("long").alias("hold"))
-    ticks.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(ticks.schema).parquet(f"{root}/in")
+    stream = _stream(spark, _in_order(ticks, "tick", root, 3))
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        events = jobs.alert_events(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+        events = jobs.alert_events(stream, 6 * HOUR).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
         events.trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
     finally:
         spark.conf.set(provider, before)

@@ -16,14 +16,15 @@ POINTS_DDL = (
     "attributes map<string,string>, resource_attributes map<string,string>, start_time_unix_nano bigint, time_unix_nano bigint, value double, "
     "count bigint, sum double, min double, max double, explicit_bounds array<double>, bucket_counts array<bigint>"
 )
-SCHEMAS = {"logs": LOGS_DDL, "spans": SPANS_DDL, "metrics": POINTS_DDL}
+#: By signal, which is also the name of its folder.
+SCHEMAS = {"logs": LOGS_DDL, "spans": SPANS_DDL, "metric_points": POINTS_DDL}
 
 #: The time by which a row is partitioned and selected, and the order within a file, by signal.
-TIME = {"logs": "time_unix_nano", "spans": "start_time_unix_nano", "metrics": "time_unix_nano"}
+TIME = {"logs": "time_unix_nano", "spans": "start_time_unix_nano", "metric_points": "time_unix_nano"}
 SORTED_BY = {
     "logs": ["service_name", "time_unix_nano"],
     "spans": ["trace_id", "start_time_unix_nano"],
-    "metrics": ["metric_name", "series_id", "time_unix_nano"],
+    "metric_points": ["metric_name", "series_id", "time_unix_nano"],
 }
 
 RULES_DDL = (

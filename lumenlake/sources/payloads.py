@@ -8,37 +8,109 @@ from pyspark.sql import functions as F
 from ..functions.text import severity_of
 from ..schema import UNKNOWN_SERVICE
 
-_ANY = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
-_ATTRIBUTES = f"array<struct<key:string,value:{_ANY}>>"
+#: A typed value is kept as JSON text until it is shown.
+_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string,arrayValue:struct<values:array<string>>,kvlistValue:struct<values:array<struct<key:string,value:string>>>>"
+_ATTRIBUTES = "array<struct<key:string,value:string>>"
 _RESOURCE = f"resource:struct<attributes:{_ATTRIBUTES}>"
 _SCOPE = "scope:struct<name:string>"
+#: Levels of lists and maps within each other that are written as plain JSON; what lies deeper stays as typed values.
+LEVELS = 4
+
+#: Names of enum numbers, and the level that each four severity numbers begin with. Fixed values.
+KINDS = ("Unspecified", "Internal", "Server", "Client", "Producer", "Consumer")
+STATUS_CODES = ("Unset", "Ok", "Error")
+TEMPORALITIES = ("Unspecified", "Delta", "Cumulative")
+SEVERITIES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 LOGS = (
     f"resourceLogs array<struct<{_RESOURCE},scopeLogs:array<struct<{_SCOPE},logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,"
-    f"severityNumber:int,severityText:string,body:struct<stringValue:string>,traceId:string,spanId:string,attributes:{_ATTRIBUTES}>>>>>>"
+    f"severityNumber:string,severityText:string,body:string,traceId:string,spanId:string,attributes:{_ATTRIBUTES}>>>>>>"
 )
 SPANS = (
     f"resourceSpans array<struct<{_RESOURCE},scopeSpans:array<struct<{_SCOPE},spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,"
     f"kind:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:string,message:string>,attributes:{_ATTRIBUTES},"
     f"events:array<struct<timeUnixNano:string,name:string,attributes:{_ATTRIBUTES}>>>>>>>>"
 )
-_POINT = f"attributes:{_ATTRIBUTES},startTimeUnixNano:string,timeUnixNano:string"
-_NUMBER = f"array<struct<{_POINT},asDouble:double,asInt:string>>"
-_COUNTED = f"{_POINT},count:string,sum:double,min:double,max:double"
+_POINTS = (
+    f"array<struct<attributes:{_ATTRIBUTES},startTimeUnixNano:string,timeUnixNano:string,asDouble:double,asInt:string,"
+    "count:string,sum:double,min:double,max:double,explicitBounds:array<double>,bucketCounts:array<string>>>"
+)
+_OF_KIND = f"struct<dataPoints:{_POINTS},aggregationTemporality:string,isMonotonic:boolean>"
 METRICS = (
-    f"resourceMetrics array<struct<{_RESOURCE},scopeMetrics:array<struct<{_SCOPE},metrics:array<struct<name:string,unit:string,"
-    f"gauge:struct<dataPoints:{_NUMBER}>,sum:struct<dataPoints:{_NUMBER},aggregationTemporality:string,isMonotonic:boolean>,"
-    f"histogram:struct<dataPoints:array<struct<{_COUNTED},explicitBounds:array<double>,bucketCounts:array<string>>>,aggregationTemporality:string>,"
-    f"exponentialHistogram:struct<dataPoints:array<struct<{_COUNTED}>>,aggregationTemporality:string>,"
-    f"summary:struct<dataPoints:array<struct<{_POINT},count:string,sum:double>>>>>>>>>"
+    f"resourceMetrics array<struct<{_RESOURCE},scopeMetrics:array<struct<{_SCOPE},metrics:array<struct<name:string,unit:string,gauge:{_OF_KIND},sum:{_OF_KIND},"
+    f"histogram:{_OF_KIND},exponentialHistogram:{_OF_KIND},summary:{_OF_KIND}>>>>>>"
 )
 
 
+def _number(x: Column) -> Column:
+    """A double as JSON has it: no fraction if there is none, an exponent only below 1e-6 and from 1e21 on."""
+    size = F.abs(x)
+    plain = lambda digits: F.regexp_replace(F.regexp_replace(x.cast(f"decimal(38,{digits})").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    power = F.regexp_replace(F.regexp_replace(F.lower(x.cast("string")), r"\.0e", "e"), r"e(?=[0-9])", "e+")
+    return F.when(x == 0, "0").when((size >= 1) & (size < 1e21), plain(16)).when((size >= 1e-6) & (size < 1), plain(24)).otherwise(power)
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string; the signs that HTML knows are escaped."""
+    listed = F.to_json(F.array(text))
+    out = F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+    for sign, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
+        out = F.replace(out, F.lit(sign), F.lit(code))
+    return out
+
+
+def any_value(raw: Column) -> Column:
+    """A typed value (JSON text such as ``{"intValue": "5"}``) as text: scalars as they are, bytes in base64, lists and maps as JSON.
+
+    Keys of maps come in order. Null, and a value of no kind, is empty.
+    """
+    return F.coalesce(_shown(raw, 0), F.lit(""))
+
+
+def _shown(raw: Column, level: int) -> Column:
+    """A typed value as text, within lists and maps (``level`` above 0) as JSON."""
+
+    def of(v: Column) -> Column:
+        text = F.coalesce(v["stringValue"], v["bytesValue"])
+        scalar = F.coalesce(_quoted(text) if level else text, v["intValue"], _number(v["doubleValue"]), v["boolValue"].cast("string"))
+        nested = v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull()
+        if level == LEVELS:
+            return F.coalesce(scalar, F.when(nested, raw))
+        items = F.transform(v["arrayValue"]["values"], lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))).cast(_ATTRIBUTES)
+        entries = F.coalesce(items, F.array_sort(_last_of_each(v["kvlistValue"]["values"])), F.array().cast(_ATTRIBUTES))
+        name = lambda e: F.coalesce(F.concat(_quoted(e["key"]), F.lit(":")), F.lit(""))
+        inside = F.array_join(F.transform(entries, lambda e: F.concat(name(e), F.coalesce(_shown(e["value"], level + 1), F.lit("null")))), ",")
+        listed = F.when(v["arrayValue"].isNotNull(), F.concat(F.lit("["), inside, F.lit("]"))).when(nested, F.concat(F.lit("{"), inside, F.lit("}")))
+        return F.coalesce(scalar, listed)
+
+    return F.element_at(F.transform(F.array(F.from_json(raw, _VALUE)), of), 1)  # parsed once
+
+
+def _last_of_each(entries: Column) -> Column:
+    return F.filter(entries, lambda e, at: ~F.exists(F.slice(entries, at + 2, F.size(entries)), lambda f: f["key"] == e["key"]))
+
+
 def attrs_to_map(attributes: Column) -> Column:
-    """A list of typed attributes as a map of strings; of a repeated key the last value holds. Null is an empty map."""
-    shown = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), F.lit(""))
-    listed = F.coalesce(attributes, F.array().cast(_ATTRIBUTES))
-    later = F.filter(listed, lambda e, at: ~F.exists(F.slice(listed, at + 2, F.size(listed)), lambda f: f["key"] == e["key"]))
-    return F.map_from_entries(F.transform(later, lambda e: F.struct(e["key"], shown(e["value"]))))
+    """A list of attributes (key, typed value as JSON text) as a map of strings; of a repeated key the last value holds. Null is an empty map."""
+    listed = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda e: e["key"].isNotNull())
+    return F.map_from_entries(F.transform(_last_of_each(listed), lambda e: F.struct(e["key"], any_value(e["value"]))))
+
+
+def _enum(text: Column, prefix: str, names: tuple[str, ...]) -> Column:
+    """The name of an enum value that is given as number, as prefixed name, or as name; absent is the first, an unknown one is empty."""
+    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("0")), f"(?i)^{prefix}", ""))
+    out = F.when(plain == "0", names[0])
+    for number, name in enumerate(names):
+        out = out.when(plain.isin(str(number), name.lower()), name)
+    return out.otherwise("")
+
+
+def _severity_number(text: Column) -> Column:
+    """A severity given as number or as name, which may end in its step (2 to 4) within the level."""
+    name = F.upper(F.regexp_replace(text, "(?i)^SEVERITY_NUMBER_", ""))
+    out = F.when(text.rlike("^[0-9]+$"), text.cast("int"))
+    for k, level in enumerate(SEVERITIES):
+        out = out.when(name.rlike(f"^{level}[2-4]?$"), F.lit(4 * k + 1) + F.coalesce(F.nullif(F.regexp_extract(name, "[2-4]$", 0), F.lit("")).cast("int") - 1, F.lit(0)))
+    return F.coalesce(out, F.lit(0))
 
 
 def _id(text: Column) -> Column:
@@ -55,7 +127,7 @@ def _records(payloads: DataFrame, schema: str, top: str, scopes: str, records: s
     rows = payloads.select(F.from_json(column, schema).alias("p"), *keep).select(F.explode(f"p.{top}").alias("top"), *keep)
     resource = attrs_to_map(F.col("top.resource.attributes"))
     rows = rows.select(resource.alias("resource_attributes"), F.explode(f"top.{scopes}").alias("s"), *keep)
-    service = F.coalesce(F.col("resource_attributes")["service.name"], F.lit(UNKNOWN_SERVICE))
+    service = F.coalesce(F.nullif(F.col("resource_attributes")["service.name"], F.lit("")), F.lit(UNKNOWN_SERVICE))
     return rows.select("resource_attributes", service.alias("service_name"), F.coalesce("s.scope.name", F.lit("")).alias("scope_name"), F.explode(f"s.{records}").alias("r"), *keep)
 
 
@@ -63,11 +135,11 @@ def flatten_logs(payloads: DataFrame, received_col: str = "received", column: st
     """The logs of JSON payloads. A log's time is its timestamp, else when it was observed, else when it was received."""
     rows = _records(payloads, LOGS, "resourceLogs", "scopeLogs", "logRecords", column, received_col)
     seen = F.nullif(_time(F.col("r.observedTimeUnixNano")), F.lit(0))
-    number = F.coalesce("r.severityNumber", F.lit(0))
+    number = _severity_number(F.col("r.severityNumber"))
     return rows.select(
         F.coalesce(F.nullif(_time(F.col("r.timeUnixNano")), F.lit(0)), seen, F.col(received_col)).alias("time_unix_nano"),
         F.coalesce(seen, F.col(received_col)).alias("observed_time_unix_nano"), "service_name", number.alias("severity_number"),
-        F.coalesce(F.nullif(F.col("r.severityText"), F.lit("")), severity_of(number)).alias("severity_text"), F.coalesce("r.body.stringValue", F.lit("")).alias("body"),
+        F.coalesce(F.nullif(F.col("r.severityText"), F.lit("")), severity_of(number)).alias("severity_text"), any_value(F.col("r.body")).alias("body"),
         _id(F.col("r.traceId")).alias("trace_id"), _id(F.col("r.spanId")).alias("span_id"), "scope_name", attrs_to_map(F.col("r.attributes")).alias("attributes"),
         "resource_attributes",
     )
@@ -80,38 +152,37 @@ def flatten_spans(payloads: DataFrame, column: str = "payload") -> DataFrame:
     event = lambda e: F.struct(_time(e["timeUnixNano"]).alias("time_unix_nano"), e["name"].alias("name"), attrs_to_map(e["attributes"]).alias("attributes"))
     none = F.array().cast("array<struct<time_unix_nano:bigint,name:string,attributes:map<string,string>>>")
     return rows.select(
-        _id(F.col("r.traceId")).alias("trace_id"), _id(F.col("r.spanId")).alias("span_id"), _id(F.col("r.parentSpanId")).alias("parent_span_id"), F.col("r.name").alias("name"),
-        F.coalesce("r.kind", F.lit("Unspecified")).alias("kind"), begin.alias("start_time_unix_nano"), end.alias("end_time_unix_nano"),
-        F.greatest(end - begin, F.lit(0)).alias("duration_nano"), F.coalesce("r.status.code", F.lit("Unset")).alias("status_code"),
+        _id(F.col("r.traceId")).alias("trace_id"), _id(F.col("r.spanId")).alias("span_id"), _id(F.col("r.parentSpanId")).alias("parent_span_id"), F.coalesce("r.name", F.lit("")).alias("name"),
+        _enum(F.col("r.kind"), "SPAN_KIND_", KINDS).alias("kind"), begin.alias("start_time_unix_nano"), end.alias("end_time_unix_nano"),
+        F.greatest(end - begin, F.lit(0)).alias("duration_nano"), _enum(F.col("r.status.code"), "STATUS_CODE_", STATUS_CODES).alias("status_code"),
         F.coalesce("r.status.message", F.lit("")).alias("status_message"), "service_name", "scope_name", attrs_to_map(F.col("r.attributes")).alias("attributes"),
         "resource_attributes", F.coalesce(F.transform("r.events", event), none).alias("events"),
     )
 
 
 def flatten_metric_points(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row per data point of any of the five kinds. Series ids are hashes of name, type and both maps, whatever their order."""
+    """One row per data point of any of the five kinds, in one pass. Series ids are hashes of name, type and both maps, whatever their order."""
     rows = _records(payloads, METRICS, "resourceMetrics", "scopeMetrics", "metrics", column)
-    out = None
-    for field, kind in (("gauge", "Gauge"), ("sum", "Sum"), ("histogram", "Histogram"), ("exponentialHistogram", "ExponentialHistogram"), ("summary", "Summary")):
-        temporality = F.coalesce(f"r.{field}.aggregationTemporality", F.lit("")) if kind in ("Sum", "Histogram", "ExponentialHistogram") else F.lit("")
-        monotonic = F.coalesce(f"r.{field}.isMonotonic", F.lit(False)) if kind == "Sum" else F.lit(False)
-        points = rows.select(
-            F.col("r.name").alias("metric_name"), F.lit(kind).alias("type"), F.coalesce("r.unit", F.lit("")).alias("unit"), temporality.alias("temporality"),
-            monotonic.alias("is_monotonic"), "service_name", "scope_name", "resource_attributes", F.explode(f"r.{field}.dataPoints").alias("d"),
-        ).withColumn("attributes", attrs_to_map(F.col("d.attributes")))
-        number, counted = kind in ("Gauge", "Sum"), kind not in ("Gauge", "Sum")
-        extremes = kind in ("Histogram", "ExponentialHistogram")
-        entries = lambda c: F.to_json(F.array_sort(F.map_entries(c)))
-        null = lambda t: F.lit(None).cast(t)
-        part = points.select(
-            "metric_name", "type", "unit", "temporality", "is_monotonic", F.xxhash64("metric_name", "type", entries("attributes"), entries("resource_attributes")).alias("series_id"),
-            "service_name", "scope_name", "attributes", "resource_attributes", _time(F.col("d.startTimeUnixNano")).alias("start_time_unix_nano"),
-            _time(F.col("d.timeUnixNano")).alias("time_unix_nano"),
-            (F.coalesce(F.col("d.asDouble"), F.col("d.asInt").cast("double"), F.lit(0.0)) if number else null("double")).alias("value"),
-            (_time(F.col("d.count")) if counted else null("bigint")).alias("count"), (F.col("d.sum") if counted else null("double")).alias("sum"),
-            (F.col("d.min") if extremes else null("double")).alias("min"), (F.col("d.max") if extremes else null("double")).alias("max"),
-            (F.coalesce("d.explicitBounds", F.array().cast("array<double>")) if kind == "Histogram" else F.array().cast("array<double>")).alias("explicit_bounds"),
-            (F.transform("d.bucketCounts", _time) if kind == "Histogram" else F.array().cast("array<bigint>")).alias("bucket_counts"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = {"gauge": "Gauge", "sum": "Sum", "histogram": "Histogram", "exponentialHistogram": "ExponentialHistogram", "summary": "Summary"}
+    of = lambda field, kind: F.transform(f"r.{field}.dataPoints", lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("d")))
+    points = F.flatten(F.array_compact(F.array(*(of(field, kind) for field, kind in kinds.items()))))
+    temporality = F.coalesce("r.sum.aggregationTemporality", "r.histogram.aggregationTemporality", "r.exponentialHistogram.aggregationTemporality")
+    rows = rows.select(
+        F.coalesce("r.name", F.lit("")).alias("metric_name"), F.coalesce("r.unit", F.lit("")).alias("unit"), temporality.alias("given"), F.coalesce("r.sum.isMonotonic", F.lit(False)).alias("grows"),
+        "service_name", "scope_name", "resource_attributes", F.explode(points).alias("point"),
+    )
+    rows = rows.select("*", F.col("point.kind").alias("type"), F.col("point.d").alias("d")).withColumn("attributes", attrs_to_map(F.col("d.attributes")))
+    kind = F.col("type")
+    number, buckets, extremes = kind.isin("Gauge", "Sum"), kind == "Histogram", kind.isin("Histogram", "ExponentialHistogram")
+    entries = lambda c: F.to_json(F.array_sort(F.map_entries(c)))
+    none = lambda t: F.array().cast(f"array<{t}>")
+    return rows.select(
+        "metric_name", "type", "unit", F.when(extremes | (kind == "Sum"), _enum(F.col("given"), "AGGREGATION_TEMPORALITY_", TEMPORALITIES)).otherwise("").alias("temporality"),
+        ((kind == "Sum") & F.col("grows")).alias("is_monotonic"), F.xxhash64("metric_name", "type", entries("attributes"), entries("resource_attributes")).alias("series_id"),
+        "service_name", "scope_name", "attributes", "resource_attributes", _time(F.col("d.startTimeUnixNano")).alias("start_time_unix_nano"), _time(F.col("d.timeUnixNano")).alias("time_unix_nano"),
+        F.when(number, F.coalesce(F.col("d.asDouble"), F.col("d.asInt").cast("double"), F.lit(0.0))).alias("value"),
+        F.when(~number, _time(F.col("d.count"))).alias("count"), F.when(~number, F.coalesce("d.sum", F.lit(0.0))).alias("sum"),
+        F.when(extremes, F.col("d.min")).alias("min"), F.when(extremes, F.col("d.max")).alias("max"),
+        F.coalesce(F.when(buckets, F.col("d.explicitBounds")), none("double")).alias("explicit_bounds"),
+        F.coalesce(F.when(buckets, F.transform("d.bucketCounts", _time)), none("bigint")).alias("bucket_counts"),
+    )

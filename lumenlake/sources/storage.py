@@ -7,36 +7,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import timestamp
-from ..schema import HOUR, SORTED_BY, TIME
-from .scan import read_signal, signal_path
+from ..functions.time import hour_number, utc_date, utc_hour
+from ..schema import HOUR, SCHEMAS, SORTED_BY, TIME
+from . import folders
+from .scan import signal_path
 
 GRACE, RETENTION = 5 * 60 * 1_000_000_000, 7 * 24 * HOUR
-#: Rows in a compacted file at most.
-FILE_ROWS = 5_000_000
+#: Rows in a file at most, and bytes of the files that are merged into one.
+FILE_ROWS, FILE_BYTES = 5_000_000, 128 << 20
 
 
 def hourly(df: DataFrame, signal: str) -> DataFrame:
-    """``df`` with the partition columns of each row's own hour, however late it came."""
-    at = timestamp(TIME[signal])
-    return df.withColumn("date", F.to_date(at)).withColumn("hour", F.date_format(at, "HH"))
+    """``df`` with the partition columns of each row's own hour in UTC, however late it came."""
+    return df.withColumn("date", utc_date(TIME[signal])).withColumn("hour", utc_hour(TIME[signal]))
 
 
-def write_signal(df: DataFrame, signal: str, root: str, mode: str = "append", files_per_hour: int = 1) -> None:
-    """Append rows to their hours, sorted as readers prune them. A busy hour is spread over ``files_per_hour`` tasks by its sort key."""
-    rows = hourly(df, signal).withColumn("_file", F.pmod(F.xxhash64(SORTED_BY[signal][0]), F.lit(files_per_hour)))
-    rows = rows.repartition("date", "hour", "_file").sortWithinPartitions("date", "hour", *SORTED_BY[signal]).drop("_file")
-    writer = rows.write.mode(mode).partitionBy("date", "hour").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
+def _write(rows: DataFrame, signal: str, path: str, mode: str) -> None:
+    writer = rows.sortWithinPartitions("date", "hour", *SORTED_BY[signal]).write.mode(mode).partitionBy("date", "hour")
+    writer = writer.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
     if signal == "spans":
         writer = writer.option("parquet.bloom.filter.enabled#trace_id", "true")
-    writer.parquet(signal_path(root, signal))
+    writer.parquet(path)
+
+
+def write_signal(df: DataFrame, signal: str, root: str, mode: str = "append") -> None:
+    """Append rows to their hours, sorted as readers prune them.
+
+    The shuffle is a rebalance: adaptive execution puts small hours together and splits a busy one by bytes.
+    """
+    _write(hourly(df, signal).hint("rebalance", "date", "hour"), signal, signal_path(root, signal), mode)
 
 
 def stored_files(spark: SparkSession, root: str, signal: str) -> DataFrame:
-    """signal, date, hour, hour_end, files, bytes of each stored hour, from file metadata: no data column is read."""
-    rows = read_signal(spark, root, signal).select("date", "hour", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
-    end = (F.unix_timestamp(F.col("date").cast("timestamp")) + (F.col("hour").cast("long") + 1) * 3600) * 1_000_000_000
-    return rows.groupBy(F.lit(signal).alias("signal"), "date", "hour", end.alias("hour_end")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    """signal, date, hour, hour_end, files, bytes of each stored hour, from the listing of the folder: no file is opened."""
+    end = (hour_number() + 1) * HOUR
+    files = folders.parquet_files(spark, signal_path(root, signal))
+    return files.groupBy(F.lit(signal).alias("signal"), "date", "hour", end.alias("hour_end")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 def compaction_candidates(files: DataFrame, now: int, grace: int = GRACE) -> DataFrame:
@@ -53,24 +59,47 @@ def expired_partitions(files: DataFrame, now: int, retention: int | dict[str, in
     return files.filter((kept > 0) & (F.col("hour_end") <= F.lit(now) - kept))
 
 
+def _hour_folder(root: str, signal: str, hour: dict) -> str:
+    return f"{signal_path(root, signal)}/date={hour['date']}/hour={hour['hour']:02d}"
+
+
 def compact_hours(spark: SparkSession, root: str, signal: str, now: int, grace: int = GRACE) -> DataFrame:
-    """Rewrite closed hours of several files, sorted anew; returns the hours rewritten.
+    """Rewrite closed hours of several files, sorted anew; returns the hours rewritten (date, hour, files, bytes).
 
-    The rows go to a staging folder first and from there over the old partitions, of which only those are replaced. A
-    reader meanwhile may see an hour's rows twice or not at all; plain Parquet folders have no transactions.
+    Rows are written once, to a staging folder beside the signals, an hour of many bytes by as many tasks as it needs
+    files; then the old files of each hour give way to the new ones. The driver handles names of files of the due
+    hours only. A reader meanwhile may see an hour's rows twice; plain Parquet folders have no transactions.
     """
-    due = compaction_candidates(stored_files(spark, root, signal), now, grace).select("date", "hour").cache()
-    rows = read_signal(spark, root, signal).join(due, ["date", "hour"], "left_semi").drop("date", "hour")
+    due = compaction_candidates(stored_files(spark, root, signal), now, grace).select("date", "hour", "files", "bytes").collect()  # a row per due hour
+    hours = spark.createDataFrame(due, "date date, hour int, files long, bytes long")
+    if not due:
+        return hours
+    old = folders.parquet_files(spark, signal_path(root, signal)).join(F.broadcast(hours), ["date", "hour"], "left_semi").collect()
+    parts = F.ceil(F.col("bytes") / FILE_BYTES).cast("int")
+    slices = F.broadcast(hours.select("date", "hour", parts.alias("parts")))  # bounded: a row per due hour
+    files = spark.read.schema(f"{SCHEMAS[signal]}, date date, hour int").option("basePath", signal_path(root, signal))
+    rows = files.parquet(*(file["path"] for file in old)).join(slices, ["date", "hour"])  # just these: others may have come meanwhile
+    rows = rows.withColumn("hour", F.lpad(F.col("hour").cast("string"), 2, "0")).withColumn("part", F.pmod(F.xxhash64(*SORTED_BY[signal]), "parts"))
     staging = f"{root}/staging-{uuid.uuid4().hex}"
-    write_signal(rows, signal, staging)
-    staged = read_signal(spark, staging, signal).withColumn("hour", F.lpad(F.col("hour").cast("string"), 2, "0"))
-    ordered = staged.repartition("date", "hour").sortWithinPartitions("date", "hour", *SORTED_BY[signal])
-    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
-    writer.partitionBy("date", "hour").parquet(signal_path(root, signal))
-    return due
+    tasks = sum(max(1, -(-hour["bytes"] // FILE_BYTES)) for hour in due)
+    _write(rows.repartition(tasks, "date", "hour", "part").drop("parts", "part"), signal, staging, "error")
+    for file in folders.parquet_files(spark, staging).collect():
+        folders.move(spark, file["path"], _hour_folder(root, signal, file))
+    for file in old:
+        folders.delete(spark, file["path"])
+    folders.delete(spark, staging)
+    return hours
+
+
+def expire(spark: SparkSession, root: str, signal: str, now: int, retention: int | dict[str, int] = RETENTION) -> DataFrame:
+    """Delete the hours that ``expired_partitions`` finds; returns them (date, hour, files, bytes)."""
+    gone = expired_partitions(stored_files(spark, root, signal), now, retention).select("date", "hour", "files", "bytes").collect()  # a row per expired hour
+    for hour in gone:
+        folders.delete(spark, _hour_folder(root, signal, hour))
+    return spark.createDataFrame(gone, "date date, hour int, files long, bytes long")
 
 
 def signal_counts(logs: DataFrame, spans: DataFrame, points: DataFrame) -> DataFrame:
     """signal, items."""
-    named = [df.select(F.lit(name).alias("signal")) for name, df in (("logs", logs), ("spans", spans), ("metrics", points))]
+    named = [df.select(F.lit(name).alias("signal")) for name, df in (("logs", logs), ("spans", spans), ("metric_points", points))]
     return named[0].union(named[1]).union(named[2]).groupBy("signal").agg(F.count(F.lit(1)).alias("items"))

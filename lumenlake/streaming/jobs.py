@@ -1,4 +1,4 @@
-"""Streams: landing of payloads, counts per window for alert rules, and live alert states."""
+"""Streams: landing of payloads, counts per window for alert rules, service maps, and live alert states."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.predicates import Term, log_filter
+from ..functions.predicates import Term, log_filter, span_is_error
 from ..functions.time import timestamp
 from ..sources.payloads import flatten_logs
 from ..sources.storage import hourly
@@ -32,17 +32,59 @@ def window_counts(logs: DataFrame, terms: list[Term], window: str, every: str, g
     return counts.select(F.col("w.end").alias("window_end"), "service_name", "logs")
 
 
+def service_edges(spans: DataFrame, within: str = "1 hour", grace: str = "5 minutes") -> DataFrame:
+    """from_service, to_service, failed, at of calls between services in a stream of spans, each once both of its spans are there.
+
+    A call starts within ``within`` of its caller; the state of older spans is dropped once the grace is over as well.
+    """
+    rows = spans.select("trace_id", "span_id", "parent_span_id", "service_name", span_is_error().alias("failed"), timestamp("start_time_unix_nano").alias("at")).withWatermark("at", grace)
+    callers = rows.select(F.col("trace_id").alias("of_trace"), F.col("span_id").alias("caller"), F.col("service_name").alias("from_service"), F.col("at").alias("called_at"))
+    near = (F.col("at") >= F.col("called_at") - F.expr(f"interval {within}")) & (F.col("at") <= F.col("called_at") + F.expr(f"interval {within}"))
+    same = (F.col("trace_id") == F.col("of_trace")) & (F.col("parent_span_id") == F.col("caller"))
+    calls = rows.filter("parent_span_id <> ''").join(callers, same & near)
+    return calls.filter(F.col("from_service") != F.col("service_name")).select("from_service", F.col("service_name").alias("to_service"), "failed", "at")
+
+
+def land_edges(spans: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Keep a service map up to date: each batch of spans adds its calls by pair of services and hour. A batch that is repeated replaces itself."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy("from_service", "to_service", F.date_trunc("hour", "at").alias("hour")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("failed").alias("errors"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return service_edges(spans).writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 class AlertStates(StatefulProcessor):
-    """ok, pending, firing and resolved for each rule and group, from values in order of time; emits the events."""
+    """ok, pending, firing and resolved for each rule and group, from values in order of time; emits the events.
+
+    A tick (``every`` ns after the one before) at which a group has no value ends its state; if it was firing it is resolved, with its
+    last value. A later value tells so at once, otherwise the watermark does. Ticks not after the last one are left out.
+    """
+
+    def __init__(self, every: int):
+        self.every = every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, since bigint")
+        self.handle = handle
+        self.state = handle.getValueState("state", "status string, since bigint, last bigint, value double")
+
+    def _gone(self, key: tuple) -> list[tuple]:
+        status, _, last, value = self.state.get()
+        self.state.clear()
+        return [(*key, "resolved", last + self.every, value)] if status == "firing" else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        batch = pd.concat(list(rows)).sort_values("tick")
-        status, since = self.state.get() if self.state.exists() else ("ok", 0)
         events = []
-        for row in batch.itertuples(index=False):
+        for row in pd.concat(list(rows)).sort_values("tick").itertuples(index=False):
+            if self.state.exists():
+                last = self.state.get()[2]
+                if row.tick <= last:
+                    continue
+                self.handle.deleteTimer((last + self.every) // 1_000_000)
+                if row.tick - last > self.every:
+                    events += self._gone(key)
+            status, since, *_ = self.state.get() if self.state.exists() else ("ok", row.tick)
             if row.breached:
                 if status == "ok":
                     status, since = ("pending", row.tick)
@@ -54,15 +96,23 @@ class AlertStates(StatefulProcessor):
                     events.append((*key, "resolved", row.tick, row.value))
                 if status != "ok":
                     status, since = ("ok", row.tick)
-        self.state.update((status, int(since)))
-        yield pd.DataFrame(events, columns=["rule_id", "group", "event", "at", "value"])
+            self.state.update((status, int(since), int(row.tick), float(row.value)))
+            self.handle.registerTimer((int(row.tick) + self.every) // 1_000_000)
+        yield pd.DataFrame(events, columns=_EVENT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        yield pd.DataFrame(self._gone(key) if self.state.exists() else [], columns=_EVENT)
 
     def close(self) -> None:
         pass
 
 
-def alert_events(values: DataFrame) -> DataFrame:
-    """Events of a stream of values (rule_id, group, tick, value, breached, hold: ns that a breach must last)."""
-    return values.groupBy("rule_id", "group").transformWithStateInPandas(
-        AlertStates(), "rule_id string, `group` string, event string, at bigint, value double", outputMode="Append", timeMode="None"
+_EVENT = ["rule_id", "group", "event", "at", "value"]
+
+
+def alert_events(values: DataFrame, every: int, grace: str = "5 minutes") -> DataFrame:
+    """Events of a stream of values (rule_id, group, tick, value, breached, hold: ns that a breach must last) that come ``every`` ns."""
+    timed = values.withColumn("tick_at", timestamp("tick")).withWatermark("tick_at", grace)
+    return timed.groupBy("rule_id", "group").transformWithStateInPandas(
+        AlertStates(every), "rule_id string, `group` string, event string, at bigint, value double", outputMode="Append", timeMode="EventTime"
     )

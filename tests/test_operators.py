@@ -1,5 +1,6 @@
 """Operators on small inputs with known results."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,14 +242,70 @@ def test_empty_inputs(spark):
 
 
 def test_live_alert_states(spark, tmp_path):
-    rows = [("r", "api", t * NANOS, float(v), v > 5, 2 * NANOS) for t, v in enumerate((9, 9, 9, 1, 9, 1))] + [("r", "web", 0, 1.0, False, 0), ("r", "web", NANOS, 7.0, True, 0)]
+    """Batches by turns: a breach that lasts, a value that falls, a group that goes in between or for good, and ticks that come again or too late."""
+    rows = [[("api", t, v) for t, v in enumerate((9, 9, 9))] + [("web", 0, 1), ("web", 1, 7), ("gone", 0, 8), ("gap", 0, 8)]]
+    rows += [[("api", 3, 1), ("api", 2, 1), ("api", 4, 9), ("web", 2, 9), ("web", 3, 9), ("gap", 3, 8)], [("web", 9, 9), ("api", 1, 9)]]
     schema = "rule_id string, `group` string, tick bigint, value double, breached boolean, hold bigint"
-    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    for batch in rows:
+        known = [("r", g, 600 * (t + 10) * NANOS, float(v), v > 5, 1200 * NANOS if g == "api" else 0) for g, t, v in batch]
+        spark.createDataFrame(known, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    events = jobs.alert_events(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    events = jobs.alert_events(stream, 600 * NANOS).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c")
     events.trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
     spark.conf.set(provider, before)
-    found = values(spark.read.parquet(f"{tmp_path}/out").select("group", "event", "at", "value"))
-    assert found == [("api", "firing", 2 * NANOS, 9.0), ("api", "resolved", 3 * NANOS, 1.0), ("web", "firing", NANOS, 7.0)]
+    found = values(spark.read.parquet(f"{tmp_path}/out").select("group", "event", (F.col("at") / (600 * NANOS) - 10).cast("int"), "value"))
+    assert found == [
+        ("api", "firing", 2, 9.0), ("api", "resolved", 3, 1.0), ("gap", "firing", 0, 8.0), ("gap", "firing", 3, 8.0), ("gap", "resolved", 1, 8.0), ("gap", "resolved", 4, 8.0),
+        ("gone", "firing", 0, 8.0), ("gone", "resolved", 1, 8.0), ("web", "firing", 1, 7.0), ("web", "firing", 9, 9.0), ("web", "resolved", 4, 9.0),
+    ]
+
+
+def test_typed_values(spark):
+    """Every kind of value as text, enums by number and name, and an empty service name."""
+    kinds = {
+        '{"stringValue":"a"}': "a", '{"stringValue":""}': "", '{"intValue":"5"}': "5", '{"intValue":5}': "5", '{"doubleValue":2.0}': "2", '{"doubleValue":1.25e-5}': "0.0000125", '{"doubleValue":1e-7}': "1e-7",
+        '{"doubleValue":1e21}': "1e+21", '{"doubleValue":12345678.5}': "12345678.5", '{"boolValue":false}': "false", '{"bytesValue":"AAE="}': "AAE=", "{}": "", '{"arrayValue":{}}': "[]", '{"kvlistValue":{"values":[]}}': "{}",
+        '{"kvlistValue":{"values":[{"key":"b","value":{"intValue":"1"}},{"key":"a","value":{"arrayValue":{"values":[{"stringValue":"x\\"<"},{"boolValue":true},{}]}}}]}}': '{"a":["x\\"\\u003c",true,null],"b":1}',
+    }
+    df = spark.createDataFrame([(k, v) for k, v in kinds.items()], "raw string, wanted string").withColumn("got", payloads.any_value(F.col("raw")))
+    assert [(r["raw"], r["got"]) for r in df.collect()] == [*kinds.items()]
+    assert spark.range(1).select(payloads.any_value(F.lit(None).cast("string")).alias("x")).first()["x"] == ""
+    span = lambda kind, code: f'{{"kind":{kind},"status":{{"code":{code}}}}}'
+    text = f'{{"resourceSpans":[{{"resource":{{"attributes":[{{"key":"service.name","value":{{"stringValue":""}}}}]}},"scopeSpans":[{{"spans":[{span(2, 2)},{span(chr(34) + "SPAN_KIND_CONSUMER" + chr(34), chr(34) + "STATUS_CODE_OK" + chr(34))},{{}}]}}]}}]}}'
+    found = payloads.flatten_spans(spark.createDataFrame([(text,)], "payload string")).collect()
+    assert [(r["service_name"], r["kind"], r["status_code"], r["name"]) for r in found] == [("unknown_service", "Server", "Error", ""), ("unknown_service", "Consumer", "Ok", ""), ("unknown_service", "Unspecified", "Unset", "")]
+
+
+def test_layout_in_other_time_zones_and_readers(spark, tmp_path, shop):
+    """Hours are UTC whatever the session's zone; another reader of Parquet finds the same rows."""
+    _, rows = shop
+    zone, before = "spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set(zone, "America/New_York")
+        storage.write_signal(rows, "logs", str(tmp_path))
+        spark.conf.set(zone, "Asia/Tokyo")
+        assert scan.scan(spark, str(tmp_path), "logs", T0, T0 + HOUR).count() == rows.count() == 2
+        assert [(r["hour"], r["hour_end"]) for r in storage.stored_files(spark, str(tmp_path), "logs").collect()] == [(13, T0 + HOUR)]
+    finally:
+        spark.conf.set(zone, before)
+    other = duckdb.sql(f"SELECT count(*), min(hour), min(date), min(time_unix_nano) FROM read_parquet('{tmp_path}/v1/logs/*/*/*.parquet', hive_partitioning = true)").fetchall()[0]
+    assert other[0] == 2 and int(other[1]) == 13 and str(other[2]) == "2026-10-07" and other[3] == rows.agg(F.min("time_unix_nano")).first()[0]
+
+
+def test_a_busy_hour_is_compacted_and_expires(spark, tmp_path, monkeypatch):
+    """An hour of many bytes becomes several files; nothing else of it stays; hours beyond the retention go."""
+    rows = spark.range(4000).select((F.lit(T0) + F.col("id") * 1000).alias("time_unix_nano"), F.lit("hot").alias("service_name"), F.sha2(F.col("id").cast("string"), 256).alias("body"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(T0 + 3 * HOUR).alias("time_unix_nano"), F.lit("cold").alias("service_name"), F.lit("").alias("body")))
+    for part in (0, 1):
+        storage.write_signal(rows.filter(F.expr("time_unix_nano div 1000 % 2") == part), "logs", str(tmp_path))
+    monkeypatch.setattr(storage, "FILE_BYTES", 30_000)
+    done = storage.compact_hours(spark, str(tmp_path), "logs", T0 + 24 * HOUR)
+    assert [(r["hour"], r["files"]) for r in done.collect()] == [(13, 2)]
+    left = {r["hour"]: r["files"] for r in storage.stored_files(spark, str(tmp_path), "logs").collect()}
+    assert left[16] == 1 and 1 < left[13] < 9 and scan.read_signal(spark, str(tmp_path), "logs").select("body").distinct().count() == 4001
+    assert not [*tmp_path.glob("staging-*")]
+    gone = storage.expire(spark, str(tmp_path), "logs", T0 + 7 * 24 * HOUR + 2 * HOUR)
+    assert [r["hour"] for r in gone.collect()] == [13] and scan.read_signal(spark, str(tmp_path), "logs").count() == 1
