@@ -203,11 +203,6 @@ def test_op4(spark, odd, none, sf_dir, docs):
     lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "All rights reserved.": "all-rights-reserved", "GNU General Public License, version 3.": "gpl-3.0", "Released under the MIT License.": "mit", "Apache License, Version 2.0.": "apache-2.0"}
     got = {r["doc_id"]: set(filter(None, r["licenses"].split(","))) for r in QUERIES["op4_licenses"](spark, sf_dir).collect()}
     assert got == {i: {name for line, name in lines.items() if line in t} for i, t in docs}
-    texts = [(n, f"{'before ' * 7 * n}{t}{' after' * 5}") for n, t in enumerate(licenses.TEMPLATES.values())]
-    marked = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert [name in {m["name"] for m in r["licenses"]} for r, name in zip(sorted(marked), sorted(licenses.TEMPLATES), strict=True)] == [True] * len(texts)
-    long = licenses.TEMPLATES["gpl-2.0-or-later"].replace("modify", "change")  # one word in 48 changed
-    assert licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["licenses"][0]["name"] == "gpl-2.0-or-later"
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------
