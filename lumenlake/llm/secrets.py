@@ -42,38 +42,59 @@ def _span(start: Column, end: Column, kind: str, found: Column) -> Column:
     return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), end.alias("end"), F.lit(kind).alias("kind"), found.alias("found"))
 
 
+#: Matches whose places are summed up at a time; the sums over these blocks are summed up once more.
+BLOCK = 64
+
+
 def _found(text: Column, kind: str, pattern: str) -> Column:
-    """All leftmost non-overlapping matches of ``pattern`` with their places, in one pass over its pieces."""
+    """All leftmost non-overlapping matches of ``pattern`` with their places, in one pass over its pieces.
+
+    Places are running sums of lengths. They are taken within blocks and over blocks, so that no array grows by more than a block's
+    matches or the count of blocks at a time, and the work follows the length of a text of matches alone.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    turns = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
+    turns = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
+    none = F.array().cast(_SPAN)
+
+    def in_blocks(turns: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(turns), F.lit(BLOCK)), lambda first: F.slice(turns, first, BLOCK))
 
     def step(so_far: Column, turn: Column) -> Column:
         start = so_far["at"] + turn["gap"]
-        end = start + F.coalesce(F.length(turn["found"]), F.lit(0))
-        spans = F.when(turn["found"].isNull(), so_far["spans"]).otherwise(F.concat(so_far["spans"], F.array(_span(start, end, kind, turn["found"]))))
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        end = start + F.length(turn["found"])
+        return F.struct(end.alias("at"), F.concat(so_far["spans"], F.array(_span(start, end, kind, turn["found"]))).alias("spans"))
 
-    none = F.array().cast(_SPAN)
-    walked = F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda so_far: so_far["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def walked(blocks: Column) -> Column:
+        size = lambda block: F.aggregate(block, F.lit(0), lambda n, turn: n + turn["gap"] + F.length(turn["found"]))
+        begins = lambda so_far, block: F.struct((so_far["at"] + size(block)).alias("at"), F.concat(so_far["begins"], F.array(so_far["at"])).alias("begins"))
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), begins, lambda so_far: so_far["begins"])
+        spans = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step, lambda so_far: so_far["spans"])
+        return F.flatten(F.zip_with(blocks, starts, spans))
+
+    once = lambda made, of: F.element_at(F.transform(F.array(made), of), 1)  # noqa: E731  (what is used twice is computed once)
+    return F.when(text.rlike(pattern), once(turns, lambda t: once(in_blocks(t), walked))).otherwise(none)
 
 
 def largest_entropy(text: Column, kind: str) -> Column:
     """The largest entropy in bits over the windows of ``text`` (of the whole, if shorter), of the class's characters."""
     letters = ALPHABET[kind]
-    places = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(letters), c))
+    characters = F.split(text, "")
     width = F.least(F.length(text), F.lit(WINDOW))
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
+    zero = ord("A")  # counts are kept as a string, a character each from A on: one is read and replaced by its place
 
-    def slide(state: Column, came: Column) -> Column:
+    def slide(state: Column, character: Column) -> Column:
         at = state["at"] + 1
+        came = F.instr(F.lit(letters), character)
         went = F.when(at > width, F.get(state["places"], at - width - 1)).otherwise(0)
-        count = lambda place: F.coalesce(F.get(state["counts"], place - 1), F.lit(0))
-        entered = term(count(came) + 1) - term(count(came))
+        count = lambda place: F.ascii(F.substring(state["counts"], place, F.lit(1))) - zero
+        changed = lambda counts, place, by: F.overlay(counts, F.char(count(place) + zero + by), place, F.lit(1))
+        entered = F.when(came > 0, term(count(came) + 1) - term(count(came))).otherwise(0.0)
         left = F.when(went > 0, term(count(went)) - term(count(went) - 1)).otherwise(0.0)
         same = came == went
         total = F.when(same, state["total"]).otherwise(state["total"] + entered - left)
-        moved = F.transform(state["counts"], lambda n, k: n + F.when(k + 1 == came, 1).when(k + 1 == went, -1).otherwise(0))
+        added = F.when(came > 0, changed(state["counts"], came, 1)).otherwise(state["counts"])
+        moved = F.when(went > 0, changed(added, went, -1)).otherwise(added)
         entropy = F.log2(width.cast("double")) - total / width
         return F.struct(
             at.alias("at"),
@@ -83,10 +104,11 @@ def largest_entropy(text: Column, kind: str) -> Column:
             F.when(at >= width, F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"),
         )
 
+    places = F.transform(characters, lambda c: F.instr(F.lit(letters), c))
     start = F.struct(
-        F.lit(0).alias("at"), places.alias("places"), F.array_repeat(F.lit(0), len(letters)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
+        F.lit(0).alias("at"), places.alias("places"), F.lit("A" * len(letters)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
     )
-    return F.aggregate(places, start, slide, lambda state: state["best"])
+    return F.aggregate(characters, start, slide, lambda state: state["best"])
 
 
 def _random(run: Column) -> Column:
