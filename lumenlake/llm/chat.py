@@ -23,8 +23,10 @@ from .common import Batches
 OPEN, CLOSE = b"<|turn|>", b"<|end|>\n"
 #: What a text could use to pass for a mark, of this template or a common one. One more backslash after the first character tells it apart.
 CONTROL = r"([<\[])(\\*)(\|(?:turn|end|im_start|im_end|endoftext|system|user|assistant)\|>|/?s>|/?INST\]|</?SYS>>|/?SYS>)"
-#: Turns in one formatted row; longer conversations go on in further rows.
-PIECE = 4096
+#: Bytes of text from which on the turns of a conversation go on in a further row; turns that are laid out at once.
+PIECE_BYTES, AT_ONCE = 8 << 20, 2000
+#: Bytes from which on a segment is copied by itself.
+LONG = 4096
 
 _control, _escaped = re.compile(CONTROL), re.compile(CONTROL.replace(r"(\\*)", r"\\(\\*)"))
 
@@ -47,7 +49,11 @@ def _unrole(role: str) -> str:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, source: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
-    """Copies ``length[k]`` bytes of ``source`` from ``begin[k]`` to ``at[k]`` for all k."""
+    """Copies ``length[k]`` bytes of ``source`` from ``begin[k]`` to ``at[k]`` for all k; long segments need no indices."""
+    long = length >= LONG
+    for k in np.flatnonzero(long):
+        out[at[k] : at[k] + length[k]] = source[begin[k] : begin[k] + length[k]]
+    at, begin, length = at[~long], begin[~long], length[~long]
     ends = np.cumsum(length)
     within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
     out[np.repeat(at, length) + within] = source[np.repeat(begin, length) + within]
@@ -91,49 +97,65 @@ def assemble(roles: list[str | None], content: pa.Array, first: np.ndarray, mask
     return formatted, *(pa.ListArray.from_arrays(pa.array(lists), s) for s in spans)
 
 
+def _sizes(rows: pa.Table) -> np.ndarray:
+    """Bytes of each text."""
+    return pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy().astype(np.int64)
+
+
+def _bounded(rows: pa.Table) -> Iterator[pa.Table]:
+    """``rows`` in slices of at most AT_ONCE rows and, unless it is a single row, PIECE_BYTES of text."""
+    ends, at = np.cumsum(_sizes(rows)), 0
+    while at < rows.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = min(max(at + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right"))), at + AT_ONCE)
+        yield rows.slice(at, upto - at)
+        at = upto
+
+
+def _cuts(ids: list, sizes: np.ndarray, piece: int) -> tuple[list[int], list[int]]:
+    """Where pieces begin, and their numbers; the first one goes on with number ``piece``."""
+    cuts, pieces, size = [0], [piece], 0
+    for k, (conversation, more) in enumerate(zip(ids, sizes.tolist(), strict=True)):
+        if k and conversation != ids[k - 1]:
+            cuts.append(k)
+            pieces.append(0)
+            size = 0
+        elif size >= PIECE_BYTES:
+            cuts.append(k)
+            pieces.append(pieces[-1] + 1)
+            size = 0
+        size += more
+    return cuts, pieces
+
+
 def format_chats(turns: DataFrame, masked: str = "assistant") -> DataFrame:
     """conv_id, piece, formatted, loss_begin, loss_end: the loss mask covers the masked role's (escaped) texts.
 
     ``turns`` has conv_id, turn, role, text. Turns are ordered by turn (null first), ties by role and text, so
     repeated rows are repeated turns. Null text is empty, a null role an empty one, a null conv_id a conversation of
-    its own. Rows are sorted within Spark's partitions and read as a stream: a task holds a batch and at
-    most PIECE turns of one conversation, of which a longer one gives several rows.
+    its own. Rows are sorted within Spark's partitions and read as a stream. A conversation is one row of piece 0; one of more than
+    PIECE_BYTES has further rows, whose texts joined in order of ``piece`` are the conversation (positions of the mask are those
+    within the row). So a task holds about that much of it, whatever its length.
     """
 
     def run(batches: Batches) -> Batches:
         held: pa.Table | None = None
-        held_id, piece = None, 0
+        held_piece = 0
         schema = pa.schema({"conv_id": pa.int64(), "piece": pa.int32(), "formatted": pa.string(), "loss_begin": pa.list_(pa.int32()), "loss_end": pa.list_(pa.int32())})
 
-        def emit(rows: pa.Table, opened: int | None, at: int) -> pa.RecordBatch:
-            ids = rows.column("conv_id").to_pylist()
-            first = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1])]
-            cuts, pieces = [], []
-            for n, k in enumerate(first):
-                end = first[n + 1] if n + 1 < len(first) else len(ids)
-                number = at if n == 0 and ids[k] == opened else 0
-                for c in range(k, end, PIECE):
-                    cuts.append(c)
-                    pieces.append(number)
-                    number += 1
+        def emit(rows: pa.Table, cuts: list[int], pieces: list[int]) -> pa.RecordBatch:
             columns = assemble(rows.column("role").to_pylist(), rows.column("text").combine_chunks(), np.array(cuts, np.int64), masked)
-            return pa.record_batch([pa.array([ids[c] for c in cuts], pa.int64()), pa.array(pieces, pa.int32()), *columns], schema=schema)
+            return pa.record_batch([rows.column("conv_id").combine_chunks().take(pa.array(cuts)), pa.array(pieces, pa.int32()), *columns], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = pa.table(batch.slice(at, 2000).columns, names=batch.schema.names)
-                rows = pa.concat_tables([held, rows]) if held is not None else rows
-                ids = rows.column("conv_id").to_pylist()
-                last = len(ids)
-                while last and ids[last - 1] == ids[-1]:
-                    last -= 1
-                ready = last + (len(ids) - last) // PIECE * PIECE  # the last conversation may go on
-                if ready:
-                    yield emit(rows.slice(0, ready), held_id, piece)
-                piece = (piece if last == 0 and held_id == ids[-1] else 0) + (ready - last) // PIECE
-                held_id, held = ids[-1], rows.slice(ready)
+            for part in _bounded(pa.table(batch.columns, names=batch.schema.names)):
+                rows = pa.concat_tables([held, part]) if held is not None else part
+                cuts, pieces = _cuts(rows.column("conv_id").to_pylist(), _sizes(rows), held_piece)
+                if len(cuts) > 1:  # the last piece may go on
+                    yield emit(rows.slice(0, cuts[-1]), cuts[:-1], pieces[:-1])
+                held, held_piece = rows.slice(cuts[-1]), pieces[-1]
         if held is not None and held.num_rows:
-            yield emit(held, held_id, piece)
+            yield emit(held, [0], [held_piece])
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
