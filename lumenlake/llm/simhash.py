@@ -6,12 +6,15 @@ as soon as one coordinate differs by more than the limit; pairs left are verifie
 
 The references come in two kinds. Those of a band (16 of the 64 bits) differ from the zero reference in that
 band alone, so their coordinates, taken less the distance to zero, depend on that band alone: fingerprints at
-most two bits apart agree in all coordinates of at least two of the four bands. Candidates are the
-fingerprints that share the coordinates of two bands. References spread over all bits then serve to discard.
-
-A bucket of candidates with many members is not paired up. Each of its members is instead tied to the 64
-values one bit away and to itself; two fingerprints are at most two bits apart exactly if they share one
-of these, and at most 65 fingerprints can share one. So no group costs more than in proportion to its size.
+most two bits apart agree in all coordinates of at least two of the four bands. Candidates come from the
+table by windows of width zero on the coordinates of two bands. References spread over all bits then serve to
+discard, by windows of width two.
+
+A pair can also be accepted by the table alone: if two distances to one reference sum to two at most, so does
+their own distance at most. In a bucket of many members this takes the place of pairs. The references are then the
+members and the values one bit from a member, and of the table only the entries of at most one are written: two fingerprints are
+at most two bits apart exactly if they share such a reference, and at most 65 can share one. So no group costs
+more than in proportion to its size, and no link is lost.
 """
 
 from __future__ import annotations
