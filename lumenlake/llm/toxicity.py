@@ -1,20 +1,22 @@
 """Toxicity scores of texts whose disguises are undone first by a noisy channel.
 
 A word that may be disguised (digits or signs for letters, drawn-out letters, separators or spaces between
-letters) is read as a lattice: each sign may stand for letters, each run for one or two, a
-separator for nothing, white space between single characters for nothing or the end of a word. Viterbi search finds the letters most likely under a character trigram model, counted
-over all documents, and what the channel does to them. The restored words are scored by a logistic model
+letters) is read as a lattice: each sign may stand for letters, each run for one or two, a separator or white
+space between single characters for nothing or the end of a word. Viterbi search finds the letters most likely
+under a character trigram model, counted over all documents, and what the channel does to them. The restored words are scored by a logistic model
 over words and word beginnings, fitted to a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,12 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 SEPARATORS = ".-_*~'`^/\\"
 #: Costs (minus log probabilities) of a sign for a letter, a separator for nothing, a long run for two letters instead of one (or two letters for one).
 SIGN_COST, SEPARATOR_COST, DOUBLE_COST = 2.0, 1.0, 1.0
-#: Longest word that is decoded, its long runs shortened; longer strings are no words.
-WORD = 40
-#: Letters of a spaced-out run that are settled at a time, and those after them that are looked at before.
+#: A sign that comes this often or oftener in a row costs as much as coming this often.
+LONGEST = 8
+#: Runs of signs that are settled at a time, and those after them that are looked at before.
 SETTLED, AHEAD = 256, 64
+#: Letters from which on a word is named by its digest and not remembered.
+LONG = 64
 #: Labelled rows that the classifier is fitted to at most, features it chooses at most, and rows a feature is in at least.
 SAMPLE, FEATURES, SUPPORT = 20_000, 1024, 3
 #: Word beginnings that are features.
@@ -37,8 +41,10 @@ BEGINNINGS = (3, 4, 5, 6)
 REMEMBERED = 300_000
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
-_longer_run = re.compile(r"(.)\1{3,}")
 _run = re.compile(r"(.)\1")
+_same = re.compile(r"(.)\1*", re.S)
+_plain_or_same = re.compile(r"(?:([a-zß-öø-ÿ])(?!\1))+|(.)\2*", re.S)
+_NO_LETTERS = "".join(c for c in _EDGES if c not in SIGNS)
 _spaced = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _letter = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 0 for c in range(256))
 
@@ -61,6 +67,32 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+@functools.lru_cache(65_536)
+def _readings(sign: str, run: int, spaced: bool) -> list[tuple[float, tuple[int, ...], str]]:
+    """What ``run`` times ``sign`` may stand for: cost, codes (0: the end of a word, 27: a letter the model does not know) and letters."""
+    choices = [(0.0, sign)] if sign.isalpha() else [(SIGN_COST * run, x) for x in SIGNS.get(sign, "")]
+    gaps = ("", " ") if spaced else ("",)
+    out = []
+    for cost, x in choices:
+        if run == 1:
+            out += [(cost, gap + x) for gap in gaps]
+        else:  # two are likelier two, more are likelier one
+            out += [(cost + DOUBLE_COST * (run < 3), gap + x) for gap in gaps]
+            out += [(cost + DOUBLE_COST * (run > 2), gap + x + between + x) for gap in gaps for between in gaps]
+    if sign in SEPARATORS or not choices:
+        out += [(SEPARATOR_COST * run, gap) for gap in ("", " ")]
+    return [(cost, tuple(map(_code, letters)), letters) for cost, letters in out]
+
+
+def _code(letter: str) -> int:
+    return 0 if letter == " " else ord(letter) - 96 if "a" <= letter <= "z" else 27
+
+
+def _same_or_plain(signs: str) -> tuple[str, int]:
+    """A run of one sign and its length; letters that differ from their neighbours stay together, with length 0."""
+    return (signs, 0) if len(signs) > 1 and signs[0] != signs[1] else (signs[0], len(signs))
+
+
 class Channel:
     """Restores disguised words under a trigram model."""
 
@@ -69,69 +101,47 @@ class Channel:
         two, one = three.sum(0), three.sum((0, 1))
         one = (one + 1) / (one.sum() + 27)
         two = (two + 20 * one) / (two.sum(1, keepdims=True) + 20)  # smoothed by the shorter context
-        self.cost = (-np.log((three + 20 * two) / (three.sum(2, keepdims=True) + 20))).tolist()
+        cost = -np.log((three + 20 * two) / (three.sum(2, keepdims=True) + 20)).reshape(729, 27)
+        self.cost = np.pad(cost, ((0, 0), (0, 1))).tolist()  # letters the model does not know cost nothing
 
     @staticmethod
     def disguised(word: str) -> bool:
-        return 1 < len(word) <= WORD and not word.isalpha() and any(map(str.isalpha, word)) or bool(_run.search(word)) and len(word) <= WORD
-
-    def restore(self, word: str) -> str:
-        """The most likely letters behind a lower-case ``word``; other letters than a-z stand for themselves, at no cost."""
-        paths = {(0, 0): (0.0, "")}
-        k = 0
-        while k < len(word):
-            c, end = word[k], k + 1
-            while end < len(word) and word[end] == c:
-                end += 1
-            run = end - k
-            k = end
-            choices = [(0.0, c)] if c.isalpha() else [(SIGN_COST * run, x) for x in SIGNS.get(c, "")]
-            if run == 1:
-                options = choices
-            else:  # two are likelier two, more are likelier one
-                options = [o for cost, x in choices for o in ((cost + DOUBLE_COST * (run < 3), x), (cost + DOUBLE_COST * (run > 2), x + x))]
-            if c in SEPARATORS or not choices:
-                options.append((SEPARATOR_COST * run, ""))
-            best: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, made) in paths.items():
-                for more, letters in options:
-                    p, q, total = a, b, cost + more
-                    for x in letters:
-                        code = ord(x) - 96 if "a" <= x <= "z" else 0
-                        total += self.cost[p][q][code] if code else 0.0
-                        p, q = q, code
-                    if (p, q) not in best or total < best[p, q][0]:
-                        best[p, q] = total, made + letters
-            paths = best
-        return min((cost + self.cost[p][q][0], made) for (p, q), (cost, made) in paths.items())[1]
-
-    def words(self, signs: str) -> list[str]:
-        """The most likely words behind lower-case ``signs`` that stood apart from each other, as many as there are."""
-        at, state, made = 0, (0, 0), []
-        while at < len(signs):
-            part, last = signs[at : at + SETTLED + AHEAD], at + SETTLED + AHEAD >= len(signs)
-            steps = []  # for each sign: state -> cost, letters (with the word's end before them), state before
+        return len(word) > 1 and (not word.isalpha() and any(map(str.isalpha, word)) or bool(_run.search(word)))
+
+    def restore(self, signs: str, spaced: bool = False) -> str:
+        """The most likely letters behind lower-case ``signs``, words apart by a space.
+
+        A word may end at a separator; if the signs stood apart in the text (``spaced``), before any of them. Signs are settled
+        SETTLED runs at a time, so that the memory for a string of any length is bounded.
+        """
+        runs = [_same_or_plain(x[0]) for x in (_same if spaced else _plain_or_same).finditer(signs)]
+        at, state, made = 0, 0, []
+        while at < len(runs):
+            part, last = runs[at : at + SETTLED + AHEAD], at + SETTLED + AHEAD >= len(runs)
+            steps = []  # for each run: state -> cost, letters, state before; a state is the last two codes
             paths = {state: 0.0}
-            for k, c in enumerate(part):
-                choices = [(0.0, c)] if c.isalpha() else [(SIGN_COST, x) for x in SIGNS.get(c, "")]
-                options = [(cost, gap + x) for cost, x in choices for gap in (("", " ") if at + k else ("",))]
-                if c in SEPARATORS or not choices:
-                    options += [(SEPARATOR_COST, gap) for gap in ("", " ")]
-                if at + k and signs[at + k - 1] == c:
-                    options.append((DOUBLE_COST, ""))
-                best: dict[tuple[int, int], tuple[float, str, tuple[int, int]]] = {}
-                for (a, b), cost in paths.items():
-                    for more, letters in options:
-                        p, q, total = a, b, cost + more
-                        for x in letters:
-                            code = ord(x) - 96 if "a" <= x <= "z" else 0
-                            total += self.cost[p][q][code] if code or x == " " else 0.0
-                            p, q = q, code
-                        if (p, q) not in best or total < best[p, q][0]:
-                            best[p, q] = total, letters, (a, b)
+            for k, (sign, run) in enumerate(part):
+                options = _readings(sign, min(run, LONGEST), spaced and at + k > 0) if run else [(0.0, tuple(map(_code, sign)), sign)]
+                if len(paths) == len(options) == 1:  # there is no choice, whatever it costs
+                    (before,), (_, codes, letters) = paths, options[0]
+                    now = before
+                    for code in codes[-2:]:
+                        now = now % 27 * 27 + code % 27
+                    steps.append({now: (0.0, letters, before)})
+                    paths = {now: 0.0}
+                    continue
+                best: dict[int, tuple[float, str, int]] = {}
+                for before, cost in paths.items():
+                    for more, codes, letters in options:
+                        total, now = cost + more, before
+                        for code in codes:
+                            total += self.cost[now][code]
+                            now = now % 27 * 27 + code % 27
+                        if now not in best or total < best[now][0]:
+                            best[now] = total, letters, before
                 steps.append(best)
-                paths = {s: cost for s, (cost, _, _) in best.items()}
-            on = min(paths, key=lambda s: (paths[s] + (self.cost[s[0]][s[1]][0] if last else 0.0), s))
+                paths = {now: x[0] for now, x in best.items()}
+            on = min(paths, key=lambda s: (paths[s] + (self.cost[s][0] if last else 0.0), s))
             settled = len(part) if last else SETTLED
             letters = []
             for k in range(len(part) - 1, -1, -1):
@@ -142,7 +152,7 @@ class Channel:
                 on = steps[k][on][2]
             made += reversed(letters)
             at += settled
-        return "".join(made).split()
+        return "".join(made)
 
 
 class Features(dict):
@@ -151,20 +161,18 @@ class Features(dict):
     def __init__(self, channel: Channel, numbers: dict[str, int] | None = None):
         self.channel, self.numbers = channel, numbers
 
-    def __missing__(self, asked: str) -> tuple:
-        token = asked
-        if len(token) > WORD:
-            token = _longer_run.sub(r"\1\1\1", token)
+    def __missing__(self, token: str) -> tuple:
         word = token.strip(_EDGES)
         words = {word}
-        for form in (word, token):  # a sign at the edge may be a letter or not
+        for form in {word, token.strip(_NO_LETTERS)}:  # a sign at the edge may be a letter or not
             if self.channel.disguised(form):
-                words.add(self.channel.restore(form))
-        found = {f for w in words if 2 < len(w) <= WORD for f in (w, *(w[:k] + "*" for k in BEGINNINGS if len(w) > k))}
+                words.update(self.channel.restore(form).split())
+        found = {f for w in words if len(w) > 2 for f in (_named(w), *(w[:k] + "*" for k in BEGINNINGS if len(w) > k))}
         out = tuple(found) if self.numbers is None else tuple(self.numbers[f] for f in found if f in self.numbers)
         if len(self) >= REMEMBERED:
             self.clear()
-        self[asked] = out
+        if len(token) <= LONG:
+            self[token] = out
         return out
 
     def of(self, text: str | None) -> set:
@@ -172,13 +180,18 @@ class Features(dict):
         text = (text or "").lower()
         tokens = set(text.split())
         for run in _spaced.findall(text):
-            tokens.update(self.channel.words("".join(run.split())))
+            tokens.update(self.channel.restore("".join(run.split()), True).split())
         out: set = set()
         for found in map(self.__getitem__, tokens):
             out.update(found)
         return out
 
 
+def _named(word: str) -> str:
+    """A word as a feature; a long one by its digest."""
+    return word if len(word) <= LONG else xxhash.xxh3_128_hexdigest(word.encode("utf-8", "surrogatepass"))
+
+
 _kept: dict[int, Features] = {}
 
 
