@@ -192,10 +192,17 @@ def _named(word: str) -> str:
     return word if len(word) <= LONG else xxhash.xxh3_128_hexdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_kept: dict[int, Features] = {}
+_kept: dict[bytes, Features] = {}
 
 
-def _shared(key: int, counts: np.ndarray, numbers: dict[str, int] | None) -> Features:
+def _digest(counts: np.ndarray, features: list[str] | None) -> bytes:
+    """What tells the memories of two models apart: all trigram counts, and all features in order."""
+    told = xxhash.xxh3_128(counts.astype("<i8").tobytes())
+    told.update(repr(features).encode("utf-8", "surrogatepass"))
+    return told.digest()
+
+
+def _shared(key: bytes, counts: np.ndarray, numbers: dict[str, int] | None) -> Features:
     """One memory of tokens per Python worker and model."""
     if key not in _kept:
         _kept.clear()
@@ -225,7 +232,7 @@ class Model:
     def __init__(self, counts: np.ndarray, features: list[str], weights: np.ndarray, bias: float):
         self.counts, self.features, self.weights, self.bias = counts, features, weights, bias
         self.numbers = {f: k for k, f in enumerate(features)}
-        self.key = hash((bias, len(features), float(weights.sum()), int(counts.sum())))
+        self.key = _digest(counts, features)
 
 
 def fit_logistic(rows: list[np.ndarray], toxic: np.ndarray, features: int, penalty: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -253,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for code, n in trigram_counts(docs).collect():  # at most 27^3 rows
         counts[code] = n
     rows = checkpoint(training_sample(docs, labels, sample))
-    key = hash((int(counts.sum()), sample))
+    key = _digest(counts, None)
 
     def gather(batches: Batches) -> Batches:
         of = _shared(key, counts, None).of
@@ -270,10 +277,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     summed = rows.mapInArrow(gather, "feature string, clean long, bad long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     telling = summed.filter(F.col("bad") >= SUPPORT).withColumn("weight", F.col("bad") * odds).filter("weight > 0")
     features = [r[0] for r in telling.orderBy(F.desc("weight"), "feature").limit(FEATURES).select("feature").collect()]
-    numbers = {f: k for k, f in enumerate(features)}
+    numbers, numbered = {f: k for k, f in enumerate(features)}, _digest(counts, features)
 
     def number(batches: Batches) -> Batches:
-        of = _shared(key + 1, counts, numbers).of
+        of = _shared(numbered, counts, numbers).of
         for batch in batches:
             found = [sorted(of(text)) for text in batch.column("text").to_pylist()]
             yield pa.record_batch({"toxic": batch.column("toxic"), "found": pa.array(found, pa.list_(pa.int32()))})
