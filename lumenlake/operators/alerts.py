@@ -7,17 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import attribute, severity
-from ..functions.text import labels_text
 from ..schema import NANOS
 from .metrics import LOOKBACK, bucket_quantile, counter_increments, distribution_increments, merged_buckets
 
 EVENTS, MOST_EVENTS = 50, 1000
-#: Rules that are broadcast at a time.
+#: Keys of rules that are broadcast; more are joined by a shuffle.
 AT_ONCE = 10_000
 
 
@@ -41,31 +41,85 @@ def _term_holds(term: Column) -> Column:
     return F.coalesce(F.when(term["negated"], ~holds).otherwise(holds), F.lit(False))
 
 
-def log_rule_values(logs: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """rule_id, group, value: for each enabled log rule the matching logs of its window, per group.
+def _index_keys(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``key``: what a log must have to match, a row for each value that does, and ``asks``: the attribute that it is of.
 
-    One pass over the logs of the longest window for every AT_ONCE rules, which are broadcast. Rules that name a service are
-    joined on it; each log is tried against the rules of its service and time alone. Rules without groups yield 0 if nothing matches.
+    Rules with text and negated terms alone have the key ''.
+ Of a rule's plain terms the one that tells most apart serves: a trace, else an attribute, a service, a level.
     """
-    own = rules.filter("enabled and kind = 'logs'").select("id", "terms", "group_by", "window_seconds")
-    about = own.agg(F.max("window_seconds"), F.count(F.lit(1))).first()
-    longest, turns = about[0] or 0, max(1, -(-about[1] // AT_ONCE))
-    recent = logs.filter((F.col("time_unix_nano") >= now - longest * NANOS) & (F.col("time_unix_nano") < now))
-    in_window = F.col("time_unix_nano") >= F.lit(now) - F.col("window_seconds").cast("long") * NANOS
-    holds = in_window & F.forall("terms", _term_holds)
-    named = F.filter("terms", lambda t: (F.lower(t["key"]) == "service") & ~t["negated"])
-    own = own.withColumn("service", F.get(named, 0)["value"]).withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)))
-    matched = []
-    for turn in range(turns):
-        some = own.filter(F.col("turn") == turn)
-        of_service, of_any = F.broadcast(some.filter("service is not null")), F.broadcast(some.filter("service is null"))
-        matched += [recent.join(of_service, (recent["service_name"] == F.col("service")) & holds), recent.join(of_any, holds)]
+    known = lambda t: F.lower(t["key"])
+    kind = lambda t: F.when(known(t) == "trace_id", 0).when(known(t) == "service", 2).when(known(t).isin("level", "status", "severity"), 3).otherwise(1)
+    plain = F.filter("terms", lambda t: (t["key"] != "") & ~t["negated"])
+    best = F.array_min(F.transform(plain, lambda t: F.struct(kind(t).alias("kind"), t["key"].alias("name"), t["value"].alias("value"))))
+    named = F.element_at(F.array(F.lit("trace_id="), F.concat(F.lit("a:"), "best.name", F.lit("=")), F.lit("service="), F.lit("level=")), F.col("best.kind") + 1)
+    levels = F.array_distinct(F.transform(F.split("best.value", ","), lambda v: F.upper(F.trim(v))))
+    values = F.when(F.col("best.kind") == 3, levels).otherwise(F.array("best.value"))
+    keys = F.when(F.col("best").isNull(), F.array(F.lit(""))).otherwise(F.transform(values, lambda v: F.concat(named, v)))
+    return rules.withColumn("best", best).withColumn("key", F.explode(keys)).withColumn("asks", F.when(F.col("best.kind") == 1, F.col("best.name"))).drop("best")
+
+
+def rule_hits(logs: DataFrame, rules: DataFrame, all_logs: bool = False) -> DataFrame:
+    """rule_id, group, time_unix_nano, window, op, threshold, hold (ns) of every match of a log with an enabled log rule.
+
+    Logs meet rules by an equality: that of a key that the log has and the rule asks for. Only rules of text and negated terms alone meet all
+    logs. Up to AT_ONCE rules are broadcast; more are joined by a shuffle on the key. With ``all_logs`` logs without a match are there too, with
+    a null rule_id. Works on tables and on streams.
+    """
+    own = rules.filter("enabled and kind = 'logs'").select(
+        F.col("id").alias("rule_id"), "terms", "group_by", "op", "threshold", (F.col("window_seconds").cast("long") * NANOS).alias("window"), (F.col("for_seconds").cast("long") * NANOS).alias("hold")
+    )
+    keyed = _index_keys(own)
+    keys, used = keyed.agg(F.count(F.lit(1)), F.array_sort(F.collect_set("asks"))).first()  # names of the attributes that rules ask for
+    has = [F.lit(""), F.concat(F.lit("service="), "service_name"), F.concat(F.lit("trace_id="), "trace_id"), F.concat(F.lit("level="), F.upper("severity_text"))]
+    has += [F.concat(F.lit(f"a:{k}="), attribute(k)) for k in used]
+    rows = logs.withColumn("key", F.explode(F.array_compact(F.array(*has))))
+    listed = F.broadcast(keyed) if keys <= AT_ONCE else keyed
+    rows = rows.join(listed, (rows["key"] == listed["key"]) & F.forall("terms", _term_holds), "left" if all_logs else "inner").filter(F.col("rule_id").isNotNull() | (rows["key"] == ""))
     value_of = lambda k: F.when(k == "level", severity()).otherwise(F.coalesce(F.element_at("attributes", k), F.element_at("resource_attributes", k), F.lit("")))
     group = F.array_join(F.transform(F.array_sort("group_by"), lambda k: F.concat(k, F.lit("="), value_of(k))), ",")
-    hits = reduce(DataFrame.union, (rows.select(F.col("id").alias("rule_id"), group.alias("group")) for rows in matched))
+    return rows.select("rule_id", group.alias("group"), "time_unix_nano", "window", "op", "threshold", "hold")
+
+
+def _ungrouped(rules: DataFrame) -> DataFrame:
+    return rules.filter("enabled and kind = 'logs' and size(group_by) = 0").select(F.col("id").alias("rule_id"), F.lit("").alias("group"))
+
+
+def log_rule_values(logs: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+    """rule_id, group, value: for each enabled log rule the matching logs of its window, per group. Rules without groups yield 0 if nothing matches.
+
+    One pass over the logs of the longest window.
+    """
+    longest = rules.filter("enabled and kind = 'logs'").agg(F.max("window_seconds")).first()[0] or 0
+    recent = logs.filter((F.col("time_unix_nano") >= now - longest * NANOS) & (F.col("time_unix_nano") < now))
+    hits = rule_hits(recent, rules).filter(F.col("time_unix_nano") >= F.lit(now) - F.col("window"))
     counts = hits.groupBy("rule_id", "group").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    ungrouped = own.filter(F.size("group_by") == 0).select(F.col("id").alias("rule_id"), F.lit("").alias("group"))
-    zero = ungrouped.join(counts, ["rule_id", "group"], "left_anti").withColumn("value", F.lit(0.0))
+    zero = _ungrouped(rules).join(counts, ["rule_id", "group"], "left_anti").withColumn("value", F.lit(0.0))
+    return counts.unionByName(zero)
+
+
+def tick_slot(rules: DataFrame, every: int) -> int:
+    """The longest stretch (ns) of which ``every`` and all windows of log rules are multiples."""
+    windows = rules.filter("enabled and kind = 'logs'").select("window_seconds").distinct().collect()  # a row per length of window
+    return gcd(every, *(r["window_seconds"] * NANOS for r in windows))
+
+
+def log_rule_ticks(logs: DataFrame, rules: DataFrame, every: int, from_ns: int, to_ns: int) -> DataFrame:
+    """rule_id, group, tick, value: the values of all log rules at every multiple of ``every`` in ``[from_ns, to_ns]``, for ``alert_backtest``.
+
+    Matches are counted by slot (``tick_slot``), and only the counts go to the ticks whose windows hold the slot. A group without matching
+    logs has no value at a tick, a rule without groups 0.
+    """
+    slot = tick_slot(rules, every)
+    hits = rule_hits(logs.filter(F.col("time_unix_nano") < to_ns), rules)
+    slots = hits.groupBy("rule_id", "group", "window", F.expr(f"time_unix_nano div {slot}L * {slot}L").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.expr(f"(greatest(slot + {slot}L, {from_ns}L) + {every - 1}L) div {every}L")
+    last = F.expr(f"least(slot + window, {to_ns}L) div {every}L")
+    at = slots.withColumn("first", first).withColumn("last", last).filter("first <= last")
+    ticks = at.withColumn("tick", F.explode(F.sequence("first", "last"))).withColumn("tick", F.col("tick") * every)
+    counts = ticks.groupBy("rule_id", "group", "tick").agg(F.sum("n").cast("double").alias("value"))
+    low, high = -(-from_ns // every), to_ns // every
+    zero = _ungrouped(rules).withColumn("tick", F.explode(F.expr(f"sequence({low}L, {high}L)"))).filter(F.lit(low <= high)).withColumn("tick", F.col("tick") * every)
+    zero = zero.join(counts, ["rule_id", "group", "tick"], "left_anti").withColumn("value", F.lit(0.0))
     return counts.unionByName(zero)
 
 
@@ -178,6 +232,17 @@ def alert_backtest(rules: DataFrame, values: DataFrame, tick_ns: int) -> DataFra
     return islands.join(last, "rule_id").select("rule_id", "group", "fired_at", over.alias("resolved_at"))
 
 
+def backtest_events(tested: DataFrame, values: DataFrame, tick_ns: int) -> DataFrame:
+    """rule_id, group, event, at, value of ``alert_backtest``: firing with the value then; resolved with the value then, or the last one if there is none."""
+    at = values.select("rule_id", "group", F.col("tick").alias("at"), "value")
+    fired = tested.select("rule_id", "group", F.lit("firing").alias("event"), F.col("fired_at").alias("at")).join(at, ["rule_id", "group", "at"])
+    over = tested.filter("resolved_at is not null").select("rule_id", "group", F.lit("resolved").alias("event"), F.col("resolved_at").alias("at"))
+    last = at.withColumn("at", F.col("at") + tick_ns).withColumnRenamed("value", "last")
+    over = over.join(at, ["rule_id", "group", "at"], "left").join(last, ["rule_id", "group", "at"]).withColumn("value", F.coalesce("value", "last")).drop("last")
+    names = ["rule_id", "group", "event", "at", "value"]
+    return fired.select(names).unionByName(over.select(names))
+
+
 def rule_status(rules: DataFrame, states: DataFrame) -> DataFrame:
     """id, name, status (firing if any group fires, else pending if any pends, else ok), firing groups."""
     order = F.when(F.col("status") == "firing", 2).when(F.col("status") == "pending", 1).otherwise(0)
@@ -191,4 +256,6 @@ def latest_events(events: DataFrame, limit: int = EVENTS) -> DataFrame:
     return events.orderBy(F.desc("at"), "rule_id", "group", "event").limit(max(1, min(limit, MOST_EVENTS)))
 
 
-__all__ = ["alert_backtest", "alert_transition", "attribute", "breached", "labels_text", "latest_events", "log_rule_values", "metric_rule_values", "preview", "rule_status"]
+__all__ = [
+    "alert_backtest", "alert_transition", "backtest_events", "breached", "latest_events", "log_rule_ticks", "log_rule_values", "metric_rule_values", "preview", "rule_hits", "rule_status", "tick_slot",
+]

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import alerts
 from ..operators.iteration import shared_folder
+from ..schema import RULES_DDL
 from ..sources import derived, payloads, scan, storage
 from ..streaming import jobs
 from .alert_queries import ISLANDS, alert_ticks
@@ -334,12 +338,88 @@ def stream_alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark)
     ticks = alert_ticks(spark, sf_dir).select("rule_id", "group", "tick", "value", (F.col("value") >= 5).alias("breached"), F.lit(12 * HOUR).cast("long").alias("hold"))
     stream = _stream(spark, _in_order(ticks, "tick", root, 3))
+    return _events(spark, root, lambda: jobs.alert_events(stream, 6 * HOUR))
+
+
+def _events(spark: SparkSession, root: str, events: Callable[[], DataFrame]) -> DataFrame:
+    """What a stream of alert events has written when its input is at an end."""
+    with _rocksdb(spark):
+        written = events().writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+        written.trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    return spark.read.schema("rule_id string, `group` string, event string, at bigint, value double").parquet(f"{root}/out")
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that state in Python needs."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        events = jobs.alert_events(stream, 6 * HOUR).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
-        events.trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+        yield
     finally:
         spark.conf.set(provider, before)
-    return spark.read.schema("rule_id string, `group` string, event string, at bigint, value double").parquet(f"{root}/out")
+
+
+def _shaken(df: DataFrame, time: str, root: str, turns: int, late: int) -> str:
+    """``df`` as files by turns of time in which each row comes up to ``late`` ns late, by a hash."""
+    comes = F.col(time) + F.pmod(F.xxhash64(*(c for c, kind in df.dtypes if not kind.startswith("map"))), F.lit(late))
+    return _in_order(df.withColumn("comes", comes), "comes", root, turns)
+
+
+#: Rules that follow the logs: some with groups and some without, held for a time or not, above and below, and one that nothing matches.
+LIVE_RULES = [
+    ("failing", "Errors of a service", "logs", "", "", {}, [("level", "error", False)], ["service.name"], ">", 3.0, 43200, 0, [], True),
+    ("failing-on", "Errors of a service that go on", "logs", "", "", {}, [("level", "error", False), ("deployment.environment.name", "prod", True)], ["service.name", "level"], ">=", 2.0, 86400, 43200, [], True),
+    ("buying", "Purchases and errors", "logs", "", "", {}, [("level", "warn,error", False)], [], ">", 110.0, 172800, 21600, [], True),
+    ("one-key", "Hardly any of a key", "logs", "", "", {}, [("k", "v3", False)], [], "<", 2.0, 21600, 0, [], True),
+    ("quiet", "No such log", "logs", "", "", {}, [("", "no such text", False)], [], "<", 1.0, 10800, 64800, [], True),
+    ("none", "Never", "logs", "", "", {}, [("", "no such text", False)], ["level"], "<", 1.0, 10800, 0, [], True),
+    ("off", "Switched off", "logs", "", "", {}, [], [], ">", 0.0, 3600, 0, [], False),
+]
+_EVERY, _SLOT, _LATE = 6 * HOUR, 3 * HOUR, 12 * HOUR
+
+
+def _ticks_of(rule: str, group: str, matches: str, op: str, threshold: float, window: int, hold: int, always: bool) -> str:
+    """Values of a rule at all ticks."""
+    columns = f"tick, CAST({threshold} AS DOUBLE) AS threshold, '{op}' AS op, {hold * 10**9} AS hold"
+    near = f"t >= tick - {window * 10**9} AND t < tick AND {matches}"
+    if always:
+        return f"SELECT '{rule}' AS rule_id, '' AS grp, CAST(count(t) AS DOUBLE) AS value, {columns} FROM ticks LEFT JOIN logs ON {near} GROUP BY tick"
+    return f"SELECT '{rule}' AS rule_id, {group} AS grp, CAST(count(*) AS DOUBLE) AS value, {columns} FROM ticks JOIN logs ON {near} GROUP BY ALL"
+
+
+_RULE_EVENTS = f"""WITH {LOGS}, ends AS (SELECT min(t) // {_SLOT} * {_SLOT} + {_SLOT} AS low, max(t) // {_SLOT} * {_SLOT} - {_LATE} AS high FROM logs),
+    ticks AS (SELECT unnest(range((low + {_EVERY - 1}) // {_EVERY}, high // {_EVERY} + 1)) * {_EVERY} AS tick FROM ends),
+    vals AS (
+        {_ticks_of("failing", "'service.name=' || service_name", "level = 'ERROR'", ">", 3, 43200, 0, False)} UNION ALL
+        {_ticks_of("failing-on", "'level=' || level || ',service.name=' || service_name", "level = 'ERROR' AND env <> 'prod'", ">=", 2, 86400, 43200, False)} UNION ALL
+        {_ticks_of("buying", "", "level IN ('WARN', 'ERROR')", ">", 110, 172800, 21600, True)} UNION ALL
+        {_ticks_of("one-key", "", "k = 'v3'", "<", 2, 21600, 0, True)} UNION ALL {_ticks_of("quiet", "", "FALSE", "<", 1, 10800, 64800, True)}
+    ), high AS (SELECT *, CASE op WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold ELSE value < threshold END AS is_high FROM vals),
+    marked AS (SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY rule_id, grp ORDER BY tick) = {_EVERY} THEN 0 ELSE 1 END AS b FROM high WHERE is_high),
+    numbered AS (SELECT *, sum(b) OVER (PARTITION BY rule_id, grp ORDER BY tick) AS island FROM marked),
+    begun AS (SELECT *, min(tick) OVER (PARTITION BY rule_id, grp, island) AS begin FROM numbered),
+    fired AS (SELECT rule_id, grp, island, min(tick) FILTER (tick - begin >= hold) AS fired_at, max(tick) AS last FROM begun GROUP BY ALL)
+    SELECT f.rule_id, f.grp AS "group", 'firing' AS event, fired_at AS "at", v.value FROM fired f JOIN vals v ON v.rule_id = f.rule_id AND v.grp = f.grp AND v.tick = fired_at UNION ALL
+    SELECT f.rule_id, f.grp, 'resolved', f.last + {_EVERY}, coalesce(n.value, l.value) FROM fired f JOIN vals l ON l.rule_id = f.rule_id AND l.grp = f.grp AND l.tick = f.last
+    LEFT JOIN vals n ON n.rule_id = f.rule_id AND n.grp = f.grp AND n.tick = f.last + {_EVERY} WHERE fired_at IS NOT NULL AND f.last < (SELECT max(tick) FROM ticks)"""
+
+
+@query("stream_rule_events", _RULE_EVENTS)
+def stream_rule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that come out of order go in, events of all rules come out."""
+    root, known = _folder(spark), spark.createDataFrame(LIVE_RULES, RULES_DDL)
+    rows = derived.logs(spark, sf_dir).select("time_unix_nano", "service_name", "severity_text", "body", "trace_id", "attributes", "resource_attributes")
+    stream = _stream(spark, _shaken(rows, "time_unix_nano", root, 5, _LATE)).drop("comes")
+    return _events(spark, root, lambda: jobs.rule_events(stream, known, _EVERY, _LATE))
+
+
+@query("alert_rule_history", _RULE_EVENTS)
+def alert_rule_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events from all logs at once: values of all rules at all ticks, and their back-test."""
+    known, rows = spark.createDataFrame(LIVE_RULES, RULES_DDL), derived.logs(spark, sf_dir)
+    low, high = rows.agg(F.min("time_unix_nano"), F.max("time_unix_nano")).first()
+    low, high = (low or 0) // _SLOT * _SLOT + _SLOT, (high or 0) // _SLOT * _SLOT - _LATE
+    ticks = alerts.log_rule_ticks(rows, known, _EVERY, low, high)
+    return alerts.backtest_events(alerts.alert_backtest(known, ticks, _EVERY), ticks, _EVERY)

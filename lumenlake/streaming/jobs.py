@@ -1,9 +1,10 @@
-"""Streams: landing of payloads, counts per window for alert rules, service maps, and live alert states."""
+"""Streams: landing of payloads, counts per window, service maps, and alert rules from logs to events."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.predicates import Term, log_filter, span_is_error
 from ..functions.time import timestamp
+from ..operators.alerts import rule_hits, tick_slot
 from ..sources.payloads import flatten_logs
 from ..sources.storage import hourly
 
@@ -55,6 +57,20 @@ def land_edges(spans: DataFrame, path: str, checkpoint: str, trigger: dict) -> S
     return service_edges(spans).writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+_OPS = {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}
+
+
+def _moved(status: str, since: int, tick: int, high: bool, hold: int) -> tuple[str, int, str | None]:
+    """Status and since when after a tick with a value, and the event if there is one."""
+    if not high:
+        return ("ok", since if status == "ok" else tick, "resolved" if status == "firing" else None)
+    if status == "ok":
+        status, since = "pending", tick
+    if status == "pending" and tick - since >= hold:
+        return "firing", tick, "firing"
+    return status, since, None
+
+
 class AlertStates(StatefulProcessor):
     """ok, pending, firing and resolved for each rule and group, from values in order of time; emits the events.
 
@@ -85,17 +101,9 @@ class AlertStates(StatefulProcessor):
                 if row.tick - last > self.every:
                     events += self._gone(key)
             status, since, *_ = self.state.get() if self.state.exists() else ("ok", row.tick)
-            if row.breached:
-                if status == "ok":
-                    status, since = ("pending", row.tick)
-                if status == "pending" and row.tick - since >= row.hold:
-                    status, since = ("firing", row.tick)
-                    events.append((*key, "firing", row.tick, row.value))
-            else:
-                if status == "firing":
-                    events.append((*key, "resolved", row.tick, row.value))
-                if status != "ok":
-                    status, since = ("ok", row.tick)
+            status, since, event = _moved(status, since, row.tick, row.breached, row.hold)
+            if event:
+                events.append((*key, event, row.tick, row.value))
             self.state.update((status, int(since), int(row.tick), float(row.value)))
             self.handle.registerTimer((int(row.tick) + self.every) // 1_000_000)
         yield pd.DataFrame(events, columns=_EVENT)
@@ -116,3 +124,117 @@ def alert_events(values: DataFrame, every: int, grace: str = "5 minutes") -> Dat
     return timed.groupBy("rule_id", "group").transformWithStateInPandas(
         AlertStates(every), "rule_id string, `group` string, event string, at bigint, value double", outputMode="Append", timeMode="EventTime"
     )
+
+
+class RuleStates(StatefulProcessor):
+    """A rule and group from counts of matching logs to events: a ring of counts by slot, and a timer for the next tick.
+
+    At a tick (each multiple of ``every`` ns) that the watermark has passed, the value is the sum of the slots in the window before it. A group
+    without logs there has no value: a firing one is resolved with its last value, and nothing of it is kept until a log comes
+    again. A rule without groups (``always``) has a value at every tick from the first log on, 0 if need be.
+    """
+
+    def __init__(self, every: int, slot: int):
+        self.every, self.slot = every, slot
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(
+            "state", "next bigint, status string, since bigint, value double, slots array<bigint>, counts array<bigint>, `window` bigint, op string, threshold double, hold bigint, always boolean"
+        )
+
+    def _until(self, slot: int) -> int:
+        """The first tick whose window can hold a slot."""
+        return -(-(slot + self.slot) // self.every) * self.every
+
+    def _timer(self, before: int | None, after: int | None) -> None:
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before // 1_000_000)
+            if after is not None:
+                self.handle.registerTimer(after // 1_000_000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        came = pd.concat(list(rows))
+        known = came.iloc[-1]
+        old = self.state.get() if self.state.exists() else None
+        kept = dict(zip(old[4], old[5], strict=True)) if old else {}
+        for slot, n in came.groupby("slot")["n"].sum().items():
+            if n:
+                kept[int(slot)] = kept.get(int(slot), 0) + int(n)
+        first = self._until(int(came["slot"].min()))
+        due = min(old[0], first) if old else first
+        status, since, value = old[1:4] if old else ("ok", due, 0.0)
+        rule = (int(known["window"]), str(known["op"]), float(known["threshold"]), int(known["hold"]), bool(known["always"]))
+        self.state.update((due, status, since, value, [*kept], [*kept.values()], *rule))
+        self._timer(old[0] if old else None, due)
+        yield pd.DataFrame([], columns=_EVENT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        events = self._ticks(key, timerValues.getCurrentWatermarkInMs() * 1_000_000) if self.state.exists() else []
+        yield pd.DataFrame(events, columns=_EVENT)
+
+    def _ticks(self, key: tuple, now: int) -> list[tuple]:
+        """All ticks up to ``now``."""
+        due, status, since, value, slots, counts, window, op, threshold, hold, always = self.state.get()
+        begun, events = due, []
+        order = np.argsort(np.asarray(slots, np.int64))
+        at, upto = np.asarray(slots, np.int64)[order], np.concatenate(([0], np.cumsum(np.asarray(counts, np.int64)[order])))
+        while due is not None and due <= now:
+            low, high = np.searchsorted(at, (due - window, due - self.slot + 1))
+            n = float(upto[high] - upto[low])
+            if n or always:
+                breached = bool(_OPS[op](n, threshold)) if op in _OPS else False
+                status, since, event = _moved(status, since, due, breached, hold)
+                value = n
+                due_next = due + self.every
+            else:
+                event, status, since = ("resolved" if status == "firing" else None), "ok", due
+                due_next = self._until(int(at[high])) if high < len(at) else None
+            if event:
+                events.append((*key, event, due, value))
+            due = due_next
+        if due is None:
+            self.state.clear()
+        else:
+            left = at >= due - window
+            self.state.update((due, status, since, value, at[left].tolist(), np.diff(upto)[left].tolist(), window, op, threshold, hold, always))
+            self.handle.registerTimer(due // 1_000_000)
+        return events
+
+    def close(self) -> None:
+        pass
+
+
+def rule_events(logs: DataFrame, rules: DataFrame, every: int, grace_ns: int = 5 * 60 * 10**9) -> DataFrame:
+    """rule_id, group, event, at, value: what the enabled log ``rules`` (a table) make of a stream of ``logs``, evaluated every ``every`` ns of event time.
+
+    A tick is evaluated once the grace is over; later logs are not counted. Matches are counted by rule, group and slot in each batch of rows
+    before they are shuffled, so that of a busy group a task gets a row per batch and slot. Rules without groups are told of the time
+    by every batch, matching or not. Equal to ``alert_backtest`` over ``log_rule_ticks`` of the same logs, up to the last tick evaluated.
+    """
+    slot = tick_slot(rules, every)
+    always = rules.filter("enabled and kind = 'logs' and size(group_by) = 0").selectExpr("id", "window_seconds * 1000000000L", "op", "threshold", "for_seconds * 1000000000L").collect()  # a row per rule
+    hits = rule_hits(logs, rules, all_logs=bool(always)).withColumn("slot", F.expr(f"time_unix_nano div {slot}L * {slot}L")).drop("time_unix_nano")
+    idle = [(rule[0], "", *rule[1:]) for rule in always]
+    ungrouped, columns = [rule[0] for rule in always], ["rule_id", "group", "window", "op", "threshold", "hold", "slot", "n"]
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            found = batch.dropna(subset=["rule_id"])
+            out = [found.groupby([*columns[:-1]], as_index=False).size().rename(columns={"size": "n"})] if len(found) else []
+            if idle:
+                ends = sorted({int(batch["slot"].min()), int(batch["slot"].max())})
+                out.append(pd.DataFrame([(*rule, end, 0) for rule in idle for end in ends], columns=columns))
+            if out:
+                both = pd.concat(out, ignore_index=True)
+                yield both.assign(always=both["rule_id"].isin(ungrouped))[[*columns, "always"]]
+
+    counts = hits.mapInPandas(counted, "rule_id string, `group` string, `window` bigint, op string, threshold double, hold bigint, slot bigint, n bigint, always boolean")
+    # a slot's time is its end, so that none is left out before a tick that counts it has been evaluated
+    timed = counts.withColumn("ends", F.timestamp_micros(F.expr(f"(slot + {slot}L) div 1000L"))).withWatermark("ends", f"{(grace_ns + slot) // 1_000_000} milliseconds")
+    return timed.groupBy("rule_id", "group").transformWithStateInPandas(
+        RuleStates(every, slot), "rule_id string, `group` string, event string, at bigint, value double", outputMode="Append", timeMode="EventTime"
+    )
