@@ -77,8 +77,12 @@ def counter_rate(
     points: DataFrame, metric: str, from_ns: int, to_ns: int, step_ns: int, agg: str = "sum", group_by: Sequence[str] = (), filters: dict[str, str] | None = None, delta: bool = False
 ) -> DataFrame:
     """Increase per second of each series in each step, reduced over series. The window sees points before the range; only later ones count."""
-    rows = counter_increments(selected(points, metric, from_ns, to_ns, group_by, filters), delta).filter(in_range("time_unix_nano", from_ns, to_ns))
-    rows = rows.filter("increment is not null").withColumn("n", bucket("time_unix_nano", from_ns, step_ns))
+    return rate_series(counter_increments(selected(points, metric, from_ns, to_ns, group_by, filters), delta), from_ns, to_ns, step_ns, agg, group_by)
+
+
+def rate_series(increments: DataFrame, from_ns: int, to_ns: int, step_ns: int, agg: str = "sum", group_by: Sequence[str] = ()) -> DataFrame:
+    """Rates from ``increments`` (series_id, time_unix_nano, increment, and ``g0``, ``g1``, ... for the grouping keys), of points or of a stream."""
+    rows = increments.filter(in_range("time_unix_nano", from_ns, to_ns)).filter("increment is not null").withColumn("n", bucket("time_unix_nano", from_ns, step_ns))
     summed = rows.groupBy("series_id", "n", *_groups(group_by)).agg((F.sum("increment") / F.lit(step_ns / NANOS)).alias("value"))
     return _named(reduce_series(summed, [*_groups(group_by), "n"], agg), group_by, from_ns, step_ns)
 
@@ -124,9 +128,14 @@ def histogram_series(
 
     Buckets are summed by position. Of a step's points only those with its smallest bounds array count toward percentiles.
     """
-    groups = [*_groups(group_by), "n"]
     rows = distribution_increments(selected(points, metric, from_ns, to_ns, group_by, filters), differenced)
-    rows = rows.filter(in_range("time_unix_nano", from_ns, to_ns)).withColumn("n", bucket("time_unix_nano", from_ns, step_ns))
+    return distribution_series(rows, from_ns, to_ns, step_ns, agg, group_by)
+
+
+def distribution_series(increments: DataFrame, from_ns: int, to_ns: int, step_ns: int, agg: str = "avg", group_by: Sequence[str] = ()) -> DataFrame:
+    """``histogram_series`` from ``increments`` (time_unix_nano, count, sum, explicit_bounds, bucket_counts, ``g0``, ...), of points or of a stream."""
+    groups = [*_groups(group_by), "n"]
+    rows = increments.filter(in_range("time_unix_nano", from_ns, to_ns)).withColumn("n", bucket("time_unix_nano", from_ns, step_ns))
     if agg in ("count", "avg"):
         value = F.sum("count") / F.lit(step_ns / NANOS) if agg == "count" else F.when(F.sum("count") != 0, F.sum("sum") / F.sum("count"))
         return _named(rows.groupBy(*groups).agg(value.alias("value")).filter("value is not null"), group_by, from_ns, step_ns)

@@ -9,12 +9,14 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts
+from ..functions.predicates import group_key
+from ..operators import alerts, metrics
 from ..operators.iteration import shared_folder
 from ..schema import RULES_DDL
 from ..sources import derived, payloads, scan, storage
 from ..streaming import jobs
 from .alert_queries import ISLANDS, alert_ticks
+from .metric_queries import GROWN, histogram_sql, percentile_sql, rate_sql
 from .registry import D10, D20, DAY, FEB, HOUR, JAN, query
 from .views import LOGS, POINTS, SPANS
 
@@ -423,3 +425,27 @@ def alert_rule_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = (low or 0) // _SLOT * _SLOT + _SLOT, (high or 0) // _SLOT * _SLOT - _LATE
     ticks = alerts.log_rule_ticks(rows, known, _EVERY, low, high)
     return alerts.backtest_events(alerts.alert_backtest(known, ticks, _EVERY), ticks, _EVERY)
+
+
+def _increments(spark: SparkSession, sf_dir: str, metric: str, key: str) -> DataFrame:
+    """What a stream of the points of a cumulative metric, which come out of order, has written of their increments; ``g0`` is the grouping key."""
+    root = _folder(spark)
+    rows = derived.metric_points(spark, sf_dir).filter(F.col("metric_name") == metric).withColumn("g0", group_key(key, logs=False))
+    rows = rows.drop("attributes", "resource_attributes", "min", "max")
+    stream = _stream(spark, _shaken(rows, "time_unix_nano", root, 4, _LATE)).drop("comes")
+    with _rocksdb(spark):
+        found = jobs.live_increments(stream, ["series_id", "g0"], "12 hours", "60 days")
+        found.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
+@query("stream_counter_rate", f"WITH {POINTS}, {rate_sql('sum', GROWN, JAN, D20, 12 * HOUR)}")
+def stream_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = _increments(spark, sf_dir, "event.cents", "service.name").withColumn("increment", F.col("value"))
+    return metrics.rate_series(grown, JAN, D20, 12 * HOUR, "sum", ["service.name"]).withColumn("value", F.round("value", 6))
+
+
+@query("stream_histogram_p95", f"WITH {POINTS}, {histogram_sql(JAN, D20, DAY)}, {percentile_sql(95, JAN, DAY)}")
+def stream_histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = _increments(spark, sf_dir, "event.size", "event.type")
+    return metrics.distribution_series(grown, JAN, D20, DAY, "p95", ["event.type"]).withColumn("value", F.round("value", 6))

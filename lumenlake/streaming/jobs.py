@@ -1,4 +1,4 @@
-"""Streams: landing of payloads, counts per window, service maps, and alert rules from logs to events."""
+"""Streams: landing of payloads, counts per window, service maps, increments of metrics, and alert rules from logs to events."""
 
 from __future__ import annotations
 
@@ -238,3 +238,119 @@ def rule_events(logs: DataFrame, rules: DataFrame, every: int, grace_ns: int = 5
     return timed.groupBy("rule_id", "group").transformWithStateInPandas(
         RuleStates(every, slot), "rule_id string, `group` string, event string, at bigint, value double", outputMode="Append", timeMode="EventTime"
     )
+
+
+#: What a point of a cumulative series adds, and what is known of it.
+_POINT = "start_time_unix_nano bigint, time_unix_nano bigint, value double, count bigint, sum double, explicit_bounds array<double>, bucket_counts array<bigint>"
+_POINT_NAMES = [c.split()[0] for c in _POINT.split(", ")]
+
+
+def _less(now: tuple, before: tuple) -> tuple:
+    """What a point adds to the one before it in the series: all of it after a reset (another start, or a lower value or count)."""
+    start, time, value, count, total, bounds, buckets = now
+    going_on = start == before[0]
+    grown = None
+    if value is not None:
+        reset = not going_on or (before[2] is not None and value < before[2])
+        grown = value if reset else value - before[2] if before[2] is not None else None
+    if count is not None and before[3] is not None and going_on and count >= before[3]:
+        if buckets is not None and before[6] is not None and len(buckets) == len(before[6]):
+            buckets = [a - b for a, b in zip(buckets, before[6], strict=True)]
+        count, total = count - before[3], total - before[4] if total is not None and before[4] is not None else None
+    return start, time, grown, count, total, bounds, buckets
+
+
+class Increments(StatefulProcessor):
+    """Points of a cumulative series in order of time, however they come, each as what it adds to the one before.
+
+    Points wait in a buffer until the watermark has passed their time; then no earlier one can come. The last one that left the buffer is
+    kept, so that resets are seen across batches. A series without points for ``idle`` ns is forgotten and begins anew.
+    """
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _POINT)
+        self.waiting = handle.getListState("waiting", _POINT)
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, at: int | None) -> None:
+        """One timer: for the first point that waits, or for when the series is forgotten."""
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if at is not None:
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        came = [_plain(row) for part in rows for row in part[_POINT_NAMES].itertuples(index=False)]
+        if self.last.exists():
+            last = self.last.get()[1]
+            came = [point for point in came if point[1] > last]
+        self.waiting.appendList(came)
+        first = min((point[1] for point in self.waiting.get()), default=None) if came else None
+        if first is not None:
+            self._wake(first // 1_000_000)
+        yield self._shown(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        points = [tuple(p) for p in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted((p for p in points if p[1] // 1_000_000 <= now), key=_in_order)
+        rest = [p for p in points if p[1] // 1_000_000 > now]
+        before, out = tuple(self.last.get()) if self.last.exists() else None, []
+        for point in ready:
+            if before is not None:
+                out.append((*key, *_less(point, before)))
+            before = point
+        if ready:
+            self.last.update(before)
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self._wake(min(p[1] for p in rest) // 1_000_000)
+        elif before is not None and (forget := (before[1] + self.idle) // 1_000_000) > now:
+            self._wake(forget)
+        else:
+            self.last.clear()
+        yield self._shown(key, out)
+
+    @staticmethod
+    def _shown(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*(f"k{n}" for n in range(len(key))), *_POINT_NAMES]).astype({"count": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(row: tuple) -> tuple:
+    """A point of plain values; what is absent is None."""
+    start, time, value, count, total, bounds, buckets = row
+    number = lambda x, kind: None if x is None or x != x else kind(x)
+    listed = lambda x, kind: None if x is None else [kind(y) for y in x]
+    return int(start), int(time), number(value, float), number(count, int), number(total, float), listed(bounds, float), listed(buckets, int)
+
+
+def _in_order(point: tuple) -> tuple:
+    """Points of one time go by start, then value or count and sum, as in the batch operators."""
+    start, time, *numbers, _, buckets = point
+    return time, start, *((x is not None, x or 0) for x in numbers), buckets or []
+
+
+def live_increments(points: DataFrame, keys: list[str], grace: str = "5 minutes", idle: str = "1 day") -> DataFrame:
+    """``keys`` and the columns of a point, of a stream of cumulative ``points``: each as what it adds to the one before in its series.
+
+    ``keys`` tell series apart and are carried along (so may be constants of a series, as a service). ``value`` is a counter's increment; count, sum
+    and bucket_counts are those of histograms. A series' first point adds nothing and is left out. Points that come in any order within the
+    grace give the increments of ``metrics.counter_increments`` and ``metrics.distribution_increments``; later ones are left out. Delta
+    points and summaries need no state: they are increments.
+    """
+    timed = points.select(*keys, *_POINT_NAMES, timestamp("time_unix_nano").alias("at")).withWatermark("at", grace)
+    kinds = dict(points.dtypes)
+    schema = ", ".join(f"k{n} {kinds[k]}" for n, k in enumerate(keys))
+    seconds = points.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {idle}) * 1000").first()[0]
+    found = timed.groupBy(*keys).transformWithStateInPandas(Increments(seconds), f"{schema}, {_POINT}", outputMode="Append", timeMode="EventTime")
+    return found.withColumnsRenamed({f"k{n}": k for n, k in enumerate(keys)})
