@@ -264,7 +264,7 @@ class Increments(StatefulProcessor):
     """Points of a cumulative series in order of time, however they come, each as what it adds to the one before.
 
     Points wait in a buffer until the watermark has passed their time; then no earlier one can come. The last one that left the buffer is
-    kept, so that resets are seen across batches. A series without points for ``idle`` ns is forgotten and begins anew.
+    kept, so that resets are seen across batches. A series without a point for more than ``idle`` ns begins anew, and is forgotten.
     """
 
     def __init__(self, idle: int):
@@ -304,7 +304,7 @@ class Increments(StatefulProcessor):
         rest = [p for p in points if p[1] // 1_000_000 > now]
         before, out = tuple(self.last.get()) if self.last.exists() else None, []
         for point in ready:
-            if before is not None:
+            if before is not None and point[1] - before[1] <= self.idle:
                 out.append((*key, *_less(point, before)))
             before = point
         if ready:
