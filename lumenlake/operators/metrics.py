@@ -68,7 +68,11 @@ def _named(rows: DataFrame, group_by: Sequence[str], from_ns: int, step_ns: int)
 def gauge_series(points: DataFrame, metric: str, from_ns: int, to_ns: int, step_ns: int, agg: str = "avg", group_by: Sequence[str] = (), filters: dict[str, str] | None = None) -> DataFrame:
     """The last value of each series in each step, reduced over series."""
     rows = selected(points, metric, from_ns, to_ns, group_by, filters).filter(in_range("time_unix_nano", from_ns, to_ns))
-    rows = rows.withColumn("n", bucket("time_unix_nano", from_ns, step_ns))
+    return gauge_last(rows.withColumn("n", bucket("time_unix_nano", from_ns, step_ns)), from_ns, step_ns, agg, group_by)
+
+
+def gauge_last(rows: DataFrame, from_ns: int, step_ns: int, agg: str = "avg", group_by: Sequence[str] = ()) -> DataFrame:
+    """``gauge_series`` from ``rows`` (series_id, n: the number of the step, time_unix_nano, value, ``g0``, ...)."""
     last = rows.groupBy("series_id", "n", *_groups(group_by)).agg(F.max_by("value", F.struct("time_unix_nano", "value")).alias("value"))
     return _named(reduce_series(last, [*_groups(group_by), "n"], agg), group_by, from_ns, step_ns)
 
@@ -172,15 +176,6 @@ def query_metric(
     return gauge_series(points, metric, from_ns, to_ns, step_ns, agg or "avg", **more)
 
 
-def metric_rollup(points: DataFrame, step_ns: int) -> DataFrame:
-    """metric_name, series_id, bucket_start with min, max, sum, count and last value of each step, aligned to the epoch."""
-    rows = points.filter("value is not null").withColumn("bucket_start", F.expr(f"time_unix_nano - time_unix_nano % {step_ns}L"))
-    return rows.groupBy("metric_name", "series_id", "bucket_start").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("sum_cents"),
-        F.count("value").alias("points"), F.max_by("value", F.struct("time_unix_nano", "value")).alias("last"),
-    )
-
-
 def series_dictionary(points: DataFrame) -> DataFrame:
     """Each series once with what identifies it: an order-independent hash over metric, type and both maps."""
     entries = lambda c: F.to_json(F.array_sort(F.map_entries(c)))

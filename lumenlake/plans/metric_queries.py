@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import metrics, rollups
+from ..operators.iteration import cut
 from ..sources import derived
 from .registry import D10, D20, DAY, FEB, HOUR, JAN, query
 from .views import POINTS
@@ -153,11 +154,63 @@ for _p in (50, 95, 99):
     _distribution(f"metric_histogram_p{_p}", "event.size", f"p{_p}", _percentile(_p))
 
 
-@query("metric_rollup", f"""WITH {POINTS}, ranked AS (SELECT *, t - t % {HOUR} AS bucket_start, row_number() OVER (PARTITION BY user_id, t // {HOUR} ORDER BY t DESC, value DESC) AS r FROM ev)
-    SELECT 'event.value' AS metric_name, user_id AS series_id, bucket_start, min(value) AS min, max(value) AS max, CAST(sum(cents) AS BIGINT) AS sum_cents, count(*) AS points,
-           max(value) FILTER (r = 1) AS last FROM ranked GROUP BY user_id, bucket_start""")
+_NUMBERS = f"""SELECT '{{name}}' AS metric_name, user_id AS series_id, t - t % {HOUR} AS bucket_start, count(*) AS points, min(CAST({{v}} AS DOUBLE)) AS min, max(CAST({{v}} AS DOUBLE)) AS max,
+    round(sum(CAST({{v}} AS DOUBLE)), 2) AS total, arg_max(CAST({{v}} AS DOUBLE), (t, {{tie}})) AS last, {{grown}} AS grown, CAST(NULL AS BIGINT) AS "count", CAST(NULL AS DOUBLE) AS "sum", '' AS buckets
+    FROM {{rows}} GROUP BY user_id, bucket_start"""
+_WITHIN = f"""within AS (
+        SELECT *, CASE WHEN lag(total) OVER w IS NULL THEN NULL WHEN day <> lag(day) OVER w OR total < lag(total) OVER w THEN total ELSE total - lag(total) OVER w END AS inc
+        FROM cum WINDOW w AS (PARTITION BY user_id, t // {HOUR} ORDER BY t, day, total))"""
+_DISTRIBUTIONS = """SELECT '{name}' AS metric_name, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS series_id, h * 3600000000000 // {step} * {step} AS bucket_start, count(*) AS points, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max,
+    CAST(NULL AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS grown, CAST({count} AS BIGINT) AS "count", CAST({cents} AS DOUBLE) AS "sum", {buckets} AS buckets FROM sizes GROUP BY event_type, bucket_start"""
+# of a cumulative series a day's last point less its first; where there is one alone, it adds nothing
+_GROWN_SLOTS = "concat_ws(',', " + ", ".join(f"CAST(max(c{k}) - min(c{k}) AS BIGINT)" for k in range(8)) + ")"
+
+
+@query("metric_rollup", f"""WITH {POINTS}, {_WITHIN} {_NUMBERS.format(name="event.value", v="value", tie="value", grown="round(sum(value), 2)", rows="ev")} UNION ALL
+    {_NUMBERS.format(name="event.cents.delta", v="cents", tie="cents", grown="round(sum(CAST(cents AS DOUBLE)), 2)", rows="ev")} UNION ALL
+    {_NUMBERS.format(name="event.cents", v="total", tie="total", grown="round(sum(CAST(inc AS DOUBLE)), 2)", rows="within")}""")
 def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metric_rollup(derived.metric_points(spark, sf_dir).filter("metric_name = 'event.value'"), HOUR)
+    points = derived.metric_points(spark, sf_dir).filter("metric_name like 'event.value' or metric_name like 'event.cents%'")
+    return _shown(rollups.rollup(points, HOUR))
+
+
+@query("metric_rollup_levels", f"""WITH {POINTS} {_DISTRIBUTIONS.format(name="event.size", step=DAY, count="nullif(max(n) - min(n), CASE WHEN count(*) = 1 THEN 0 ELSE -1 END)", cents="CASE WHEN count(*) > 1 THEN max(cents) - min(cents) END", buckets=f"CASE WHEN count(*) > 1 THEN {_GROWN_SLOTS} ELSE '' END")} UNION ALL
+    {_DISTRIBUTIONS.format(name="event.size.exp", step=DAY, count="nullif(max(n) - min(n), CASE WHEN count(*) = 1 THEN 0 ELSE -1 END)", cents="CASE WHEN count(*) > 1 THEN max(cents) - min(cents) END", buckets="''")} UNION ALL
+    {_DISTRIBUTIONS.format(name="event.size.summary", step=DAY, count="sum(n)", cents="sum(cents)", buckets="''")}""")
+def metric_rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms, exponential histograms and summaries: days of hours of minutes."""
+    points = derived.metric_points(spark, sf_dir).filter("metric_name like 'event.size%'")
+    return _shown(rollups.merged(rollups.merged(rollups.rollup(points, rollups.MINUTE), HOUR), DAY))
+
+
+def _shown(rolled: DataFrame) -> DataFrame:
+    buckets = F.array_join(F.flatten(F.transform("buckets", lambda b: F.transform(b["counts"], lambda c: c.cast("long").cast("string")))), ",")
+    return rolled.select(
+        "metric_name", "series_id", "bucket_start", "points", "min", "max", F.round("total", 2).alias("total"), F.col("last.value").alias("last"), F.round("grown", 2).alias("grown"), "count", "sum", buckets.alias("buckets"),
+    )
+
+
+#: A range whose ends and steps fit no level.
+_ODD = D10 + 1234 * 10**9 + 567
+
+
+def _levels(points: DataFrame) -> dict[int, DataFrame]:
+    """Minutes and hours of the points, written once, as a job keeps them."""
+    minutes = cut(rollups.rollup(points, rollups.MINUTE))
+    return {rollups.MINUTE: minutes, HOUR: cut(rollups.merged(minutes, HOUR))}
+
+
+def _rolled(name: str, metric: str, key: str, agg: str | None, low: int, step: int, sql: str) -> None:
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = derived.metric_points(spark, sf_dir).filter(F.col("metric_name") == metric)
+        found = rollups.query_rollups(points, _levels(points), rollups.series_of(points), metric, low, D20, step, agg, [key])
+        return found.withColumn("value", F.round("value", 6))
+
+
+_rolled("rollup_counter_rate", "event.cents", "service.name", None, _ODD, _STEP, f"WITH {POINTS}, {rate_sql('sum', GROWN, _ODD, D20, _STEP)}")
+_rolled("rollup_histogram_p95", "event.size", "event.type", "p95", D10, DAY, _percentile(95))
+_rolled("rollup_gauge_max", "event.value", "service.name", "max", JAN, _STEP, _gauge("max").replace(str(FEB), str(D20)))
 
 
 @query("series_dictionary", f"""WITH {POINTS} SELECT 'event.value' AS metric_name, user_id, count(*) AS points, min(t) AS first FROM ev GROUP BY user_id""")
