@@ -15,6 +15,8 @@ from .traces import error_ancestors
 
 #: Shares from which an attribute value is reported: in the selection, and above the baseline.
 SHARE, GAP = 0.2, 0.1
+#: Items of a sketch of frequent pairs: at first, enough for 117 entries a record, and at most.
+ITEMS, MOST_ITEMS = 1 << 12, 1 << 20
 
 
 def _marked(df: DataFrame, signal: str, from_ns: int, to_ns: int, terms: Iterable[Term], errors: bool, window: tuple[int, int] | None) -> DataFrame:
@@ -28,24 +30,59 @@ def _marked(df: DataFrame, signal: str, from_ns: int, to_ns: int, terms: Iterabl
     return rows.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
 
 
+def _entries(signal: str) -> Column:
+    """All keys and values of a record: its own, its resource's and a span's name. A key in both maps is there twice."""
+    entries = F.concat(F.map_entries("attributes"), F.map_entries("resource_attributes"))
+    return F.concat(entries, F.array(F.struct(F.lit("span.name").alias("key"), F.col("name").alias("value")))) if signal == "spans" else entries
+
+
 def compare_counts(rows: DataFrame, signal: str) -> DataFrame:
     """key, value, selected, others over record attributes, resource attributes and span names. A key in both maps counts twice."""
-    entries = F.concat(F.map_entries("attributes"), F.map_entries("resource_attributes"))
-    if signal == "spans":
-        entries = F.concat(entries, F.array(F.struct(F.lit("span.name").alias("key"), F.col("name").alias("value"))))
-    pairs = rows.select("chosen", F.explode(entries).alias("e")).select("chosen", "e.key", "e.value")
+    pairs = rows.select("chosen", F.explode(_entries(signal)).alias("e")).select("chosen", "e.key", "e.value")
     return pairs.groupBy("key", "value").agg(F.count_if("chosen").alias("selected"), F.count_if(~F.col("chosen")).alias("others"))
 
 
+def _name(entry: Column) -> Column:
+    """A key and value as one text; keys with separators in them do not collide."""
+    return F.concat(F.length(entry["key"]).cast("string"), F.lit(":"), entry["key"], F.lit("="), entry["value"])
+
+
+def frequent_pairs(rows: DataFrame, signal: str, share: float = SHARE, items: int = ITEMS) -> tuple[list[str], int, int]:
+    """Names (``_name``) of all pairs that at least ``share`` of the chosen ``rows`` can have, and how many rows are chosen and not.
+
+    One pass with a sketch of frequent items in each task, of which ``items`` are kept; what is shuffled is a sketch per task, however many values there
+    are. The sketch may miss a count by 3.5 of ``items`` of all pairs; it is made anew with more if that is over half the share.
+    """
+    pairs = rows.select("chosen", F.posexplode_outer(_entries(signal)).alias("at", "e")).select("chosen", "at", _name(F.col("e")).alias("pair"))
+    while True:
+        kept = int(items * share / 7)  # no more pairs can have half the share if the sketch is large enough
+        own = F.col("at").isNull() | (F.col("at") == 0)
+        found = pairs.agg(
+            F.expr(f"approx_top_k(pair, {kept}, {items}) FILTER (WHERE chosen AND pair IS NOT NULL)").alias("top"), F.count_if(F.col("chosen") & F.col("pair").isNotNull()).alias("all"),
+            F.count_if(F.col("chosen") & own).alias("selection"), F.count_if(~F.col("chosen") & own).alias("baseline"),
+        ).first()
+        if 3.5 * found["all"] <= items * share / 2 * found["selection"] or items >= MOST_ITEMS:
+            break
+        items *= 4
+    least = share * found["selection"]
+    return [t["item"] for t in found["top"] or () if t["count"] >= least], found["selection"], found["baseline"]
+
+
 def compare(
     df: DataFrame, signal: str, from_ns: int, to_ns: int, terms: Iterable[Term] = (), errors: bool = False, window: tuple[int, int] | None = None, limit: int = 12
 ) -> DataFrame:
-    """The attribute values most over-represented among errors, or in a window, against all other records of the range."""
+    """The attribute values most over-represented among errors, or in a window, against all other records of the range.
+
+    A first pass finds the few pairs that reach the share (``frequent_pairs``), a second one counts those alone.
+    """
     rows = _marked(df, signal, from_ns, to_ns, terms, errors, window)
-    totals = rows.agg(F.count_if("chosen").alias("selection"), F.count_if(~F.col("chosen")).alias("baseline"))  # one row
-    shares = compare_counts(rows, signal).crossJoin(F.broadcast(totals)).filter("selection > 0")
+    names, selection, baseline = frequent_pairs(rows, signal)
+    sought = F.broadcast(rows.sparkSession.createDataFrame([(n,) for n in names], "pair string"))  # a few for each entry of a record
+    pairs = rows.select("chosen", F.explode(_entries(signal)).alias("e")).withColumn("pair", _name(F.col("e"))).join(sought, "pair").select("chosen", "e.key", "e.value")
+    shares = pairs.groupBy("key", "value").agg(F.count_if("chosen").alias("selected"), F.count_if(~F.col("chosen")).alias("others"))
+    shares = shares.withColumn("selection", F.lit(selection).cast("long")).withColumn("baseline", F.lit(baseline).cast("long"))
     shares = shares.withColumn("share", F.col("selected") / F.col("selection"))
-    shares = shares.withColumn("base_share", F.when(F.col("baseline") > 0, F.col("others") / F.col("baseline")).otherwise(0.0))
+    shares = shares.withColumn("base_share", F.when(F.col("baseline") > 0, F.try_divide("others", "baseline")).otherwise(0.0))
     shares = shares.filter((F.col("share") >= SHARE) & (F.col("share") - F.col("base_share") >= GAP))
     order = [F.desc(F.col("share") - F.col("base_share")), F.desc(F.col("key") == "service.name"), F.col("key"), F.col("value")]
     return shares.orderBy(*order).limit(limit)

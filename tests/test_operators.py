@@ -53,6 +53,26 @@ def test_services_and_map(shop):
     assert services.service_operations(spans, "frontend", T0, T0 + HOUR).count() == 2
 
 
+def test_compare_among_many_values(spark):
+    """Every record has ids of its own: few pairs leave the tasks, and the result is that of counting all pairs."""
+    rows = spark.range(0, 20_000, numPartitions=4).select(
+        (F.lit(T0) + F.col("id")).alias("time_unix_nano"), F.when(F.col("id") % 5 == 0, "ERROR").otherwise("INFO").alias("severity_text"), F.lit("b").alias("body"), F.lit("s").alias("service_name"), F.lit("").alias("trace_id"),
+        F.create_map(F.lit("id"), F.col("id").cast("string"), F.lit("k=1"), F.concat(F.lit("x="), (F.col("id") % 997).cast("string")), F.lit("code"), F.when(F.col("id") % 15 == 0, "7").otherwise((F.col("id") % 2000).cast("string"))).alias("attributes"),
+        F.create_map(F.lit("service.name"), F.lit("s"), F.lit("host"), (F.col("id") % 5 * 100 + F.col("id") % 3).cast("string")).alias("resource_attributes"),
+    )
+    chosen = rows.withColumn("chosen", F.col("severity_text") == "ERROR")
+    names, selection, baseline = insights.frequent_pairs(chosen, "logs")
+    assert (selection, baseline) == (4000, 16000) and len(names) < 12
+    all_pairs = insights.compare_counts(chosen, "logs").filter("selected >= 0.2 * 4000")
+    assert {f"{len(r['key'])}:{r['key']}={r['value']}" for r in all_pairs.collect()} <= set(names)
+    found = insights.compare(rows, "logs", T0, T0 + HOUR, errors=True).collect()
+    assert [(r["key"], r["value"], r["selected"], r["others"]) for r in found] == [("host", "0", 1334, 0), ("host", "1", 1333, 0), ("host", "2", 1333, 0), ("code", "7", 1334, 10)]
+    few = insights.frequent_pairs(chosen, "logs", items=64)  # too small at first
+    assert set(few[0]) >= {f"{len(r['key'])}:{r['key']}={r['value']}" for r in all_pairs.collect()}
+    plan = insights.compare(rows, "logs", T0, T0 + HOUR, errors=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
 def test_log_search(shop):
     _, rows = shop
     search = lambda *terms, low=T0, high=T0 + HOUR: [r["body"] for r in logs.search_logs(rows, terms, low, high).collect()]
