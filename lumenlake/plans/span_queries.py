@@ -148,7 +148,7 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: From every span down to all spans beneath it, and those that have an error beneath them.
-_UP = """paths AS (
+UP = """paths AS (
         SELECT trace_id, span_id AS top, span_id AS foot FROM scope
         UNION
         SELECT child.trace_id, paths.top, child.span_id FROM scope AS child, paths WHERE paths.trace_id = child.trace_id AND paths.foot = child.parent_span_id
@@ -157,25 +157,25 @@ _UP = """paths AS (
     )"""
 
 
-@query("error_ancestors", f"WITH RECURSIVE {SPANS}, scope AS (SELECT * FROM spans), {_UP} SELECT trace_id, ancestor FROM up")
+@query("error_ancestors", f"WITH RECURSIVE {SPANS}, scope AS (SELECT * FROM spans), {UP} SELECT trace_id, ancestor FROM up")
 def error_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.error_ancestors(derived.spans(spark, sf_dir))
 
 
-_ORIGIN = "status_code = 'Error' AND (trace_id, span_id) NOT IN (SELECT (trace_id, ancestor) FROM up)"
+ORIGIN = "status_code = 'Error' AND (trace_id, span_id) NOT IN (SELECT (trace_id, ancestor) FROM up)"
 
 
-@query("error_origins", f"WITH RECURSIVE {SPANS}, scope AS (SELECT * FROM spans), {_UP} SELECT trace_id, span_id, service_name, name FROM scope WHERE {_ORIGIN}")
+@query("error_origins", f"WITH RECURSIVE {SPANS}, scope AS (SELECT * FROM spans), {UP} SELECT trace_id, span_id, service_name, name FROM scope WHERE {ORIGIN}")
 def error_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.error_origins(derived.spans(spark, sf_dir)).select("trace_id", "span_id", "service_name", "name")
 
 
-_TITLED = f"SELECT service_name, t, CASE WHEN status_message = '' THEN name ELSE name || ': ' || status_message END AS title, trace_id FROM scope WHERE {_ORIGIN}"
+_TITLED = f"SELECT service_name, t, CASE WHEN status_message = '' THEN name ELSE name || ': ' || status_message END AS title, trace_id FROM scope WHERE {ORIGIN}"
 _HALVES = f"scope AS (SELECT * FROM spans WHERE t >= {2 * MID96 - Y97} AND t < {Y97})"
 _SPAN_ISSUES = issues_sql(_TITLED, "span", f"SELECT 1 FROM spans WHERE t >= {2 * MID96 - Y97} AND t < {MID96}", MID96, Y97)
 
 
-@query("issues_spans", f"WITH RECURSIVE {SPANS}, {_HALVES}, {_UP}, {_SPAN_ISSUES}")
+@query("issues_spans", f"WITH RECURSIVE {SPANS}, {_HALVES}, {UP}, {_SPAN_ISSUES}")
 def issues_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(insights.span_issues(derived.spans(spark, sf_dir), MID96, Y97))
 
@@ -184,7 +184,7 @@ _LATE = ns("1998-01-01")
 _FAILED_LOGS = f"SELECT service_name, t, body AS title, trace_id FROM logs WHERE t >= {2 * _LATE - FEB} AND t < {FEB} AND upper(severity_text) IN ('ERROR', 'FATAL')"
 
 
-@query("issues", f"""WITH RECURSIVE {SPANS}, {LOGS}, scope AS (SELECT * FROM spans WHERE t >= {2 * _LATE - FEB} AND t < {FEB}), {_UP},
+@query("issues", f"""WITH RECURSIVE {SPANS}, {LOGS}, scope AS (SELECT * FROM spans WHERE t >= {2 * _LATE - FEB} AND t < {FEB}), {UP},
     of_spans AS (WITH {issues_sql(_TITLED, "span", f"SELECT 1 FROM spans WHERE t >= {2 * _LATE - FEB} AND t < {_LATE}", _LATE, FEB)}),
     of_logs AS (WITH {issues_sql(_FAILED_LOGS, "log", f"SELECT 1 FROM logs WHERE t >= {2 * _LATE - FEB} AND t < {_LATE}", _LATE, FEB)})
     SELECT * FROM of_spans UNION ALL SELECT * FROM of_logs""")
@@ -241,7 +241,7 @@ def red_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("overview", f"""WITH RECURSIVE {SPANS}, {_HALVES}, {_UP}, {_HEALTH}, {_DEPLOYED}, found AS (WITH {_SPAN_ISSUES})
+@query("overview", f"""WITH RECURSIVE {SPANS}, {_HALVES}, {UP}, {_HEALTH}, {_DEPLOYED}, found AS (WITH {_SPAN_ISSUES})
     SELECT (SELECT count(*) FROM health WHERE status <> 'ok') AS unhealthy, (SELECT count(*) FROM found WHERE status <> 'ongoing') AS issues,
            (SELECT count(*) FROM deployed) AS deployments""")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:

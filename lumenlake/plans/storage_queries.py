@@ -17,7 +17,8 @@ from ..sources import derived, payloads, scan, storage
 from ..streaming import jobs
 from .alert_queries import ISLANDS, alert_ticks
 from .metric_queries import GROWN, histogram_sql, percentile_sql, rate_sql
-from .registry import D10, D20, DAY, FEB, HOUR, JAN, query
+from .registry import D10, D20, DAY, FEB, HOUR, JAN, Y97, query
+from .span_queries import ORIGIN, UP
 from .views import LOGS, POINTS, SPANS
 
 _ROW = "service_name, t AS time_unix_nano, span_id, body"
@@ -449,3 +450,32 @@ def stream_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = _increments(spark, sf_dir, "event.size", "event.type")
     return metrics.distribution_series(grown, JAN, D20, DAY, "p95", ["event.type"]).withColumn("value", F.round("value", 6))
+
+
+def _live_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest revision of the traces of all spans, each of which comes up to twelve hours late: a trace is quiet after two, so many are told of again and again."""
+    root = _folder(spark)
+    rows = derived.spans(spark, sf_dir).drop("attributes", "resource_attributes", "events")
+    stream = _stream(spark, _shaken(rows, "start_time_unix_nano", root, 3, _LATE))
+    with _rocksdb(spark):
+        told = jobs.live_traces(stream, "2 hours", "2 days", "1 day", "comes")
+        told.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    return jobs.latest_traces(spark.read.schema(told.schema).parquet(f"{root}/out"))
+
+
+#: Traces that begin before this are over when the stream ends.
+_OVER = Y97
+
+
+@query("stream_traces", f"""WITH {SPANS} SELECT * FROM (SELECT trace_id, coalesce(arg_min(service_name, (t, span_id)) FILTER (parent_span_id = ''), arg_min(service_name, (t, span_id))) AS root_service,
+    coalesce(arg_min(name, (t, span_id)) FILTER (parent_span_id = ''), arg_min(name, (t, span_id))) AS root_name, min(t) AS start, max(t + d) - min(t) AS duration, count(*) AS spans,
+    count(*) FILTER (status_code = 'Error') AS errors, array_to_string(list_sort(list(DISTINCT service_name)), ',') AS services FROM spans GROUP BY trace_id) WHERE start < {_OVER}""")
+def stream_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _live_traces(spark, sf_dir).filter(F.col("start") < _OVER)
+    return told.select("trace_id", "root_service", "root_name", "start", "duration", "spans", "errors", F.array_join("services", ",").alias("services"))
+
+
+@query("stream_error_origins", f"WITH RECURSIVE {SPANS}, scope AS (SELECT * FROM spans), {UP}, begun AS (SELECT trace_id FROM spans GROUP BY trace_id HAVING min(t) < {_OVER}) SELECT trace_id, span_id, service_name, name FROM scope WHERE {ORIGIN} AND trace_id IN (FROM begun)")
+def stream_error_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _live_traces(spark, sf_dir).filter(F.col("start") < _OVER)
+    return told.select("trace_id", F.explode("origins").alias("o")).select("trace_id", "o.span_id", "o.service_name", "o.name")

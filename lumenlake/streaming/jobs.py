@@ -1,4 +1,4 @@
-"""Streams: landing of payloads, counts per window, service maps, increments of metrics, and alert rules from logs to events."""
+"""Streams: landing of payloads, counts per window, service maps, traces, increments of metrics, and alert rules from logs to events."""
 
 from __future__ import annotations
 
@@ -354,3 +354,98 @@ def live_increments(points: DataFrame, keys: list[str], grace: str = "5 minutes"
     seconds = points.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {idle}) * 1000").first()[0]
     found = timed.groupBy(*keys).transformWithStateInPandas(Increments(seconds), f"{schema}, {_POINT}", outputMode="Append", timeMode="EventTime")
     return found.withColumnsRenamed({f"k{n}": k for n, k in enumerate(keys)})
+
+
+_SPAN = "span_id string, parent_span_id string, service_name string, name string, start_time_unix_nano bigint, end_time_unix_nano bigint, status_code string, status_message string"
+_SPAN_NAMES = [c.split()[0] for c in _SPAN.split(", ")]
+_TRACE = (
+    "trace_id string, revision int, root_service string, root_name string, start bigint, duration bigint, spans bigint, errors bigint, services array<string>, "
+    "origins array<struct<span_id:string,service_name:string,name:string,status_message:string,start_time_unix_nano:bigint>>"
+)
+_TRACE_NAMES = [c.split()[0] for c in _TRACE.split(", ")]
+
+
+def _origins(spans: dict[str, tuple]) -> list[tuple]:
+    """Of the spans by id the failed ones that are above no other failed one: all that lies above a failed span is walked once."""
+    above: set[str] = set()
+    for failed in spans.values():
+        at = failed[1] if failed[6] == "Error" else ""
+        while at and at not in above:
+            above.add(at)
+            at = spans[at][1] if at in spans else ""
+    return [s for s in spans.values() if s[6] == "Error" and s[0] not in above]
+
+
+class Traces(StatefulProcessor):
+    """The spans of a trace, told of when no more have come for ``quiet`` ns, and again if some come later; forgotten after ``keep`` ns without any.
+
+    New spans are only appended to the state; it is read when the trace is told of. A span that comes again replaces itself.
+    """
+
+    def __init__(self, quiet: int, keep: int):
+        self.quiet, self.keep = quiet, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.about = handle.getValueState("about", "newest bigint, revision int, told boolean, timer bigint")
+        self.spans = handle.getListState("spans", _SPAN)
+
+    def _set(self, newest: int, revision: int, told: bool, before: int | None) -> None:
+        at = (newest + (self.keep if told else self.quiet)) // 1_000_000
+        if before is not None and before != at:
+            self.handle.deleteTimer(before)
+        if before != at:
+            self.handle.registerTimer(at)
+        self.about.update((newest, revision, told, at))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        newest, revision, told, timer = self.about.get() if self.about.exists() else (0, 0, False, None)
+        for part in rows:
+            self.spans.appendList([(*map(str, s[:4]), int(s[4]), int(s[5]), str(s[6]), str(s[7])) for s in part[_SPAN_NAMES].itertuples(index=False)])
+            newest = max(newest, int(part["arrived"].max()))
+        self._set(newest, revision, False, timer)
+        yield pd.DataFrame([], columns=_TRACE_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        out = []
+        if self.about.exists():
+            newest, revision, told, timer = self.about.get()
+            now = timerValues.getCurrentWatermarkInMs()
+            if not told and (newest + self.quiet) // 1_000_000 <= now:
+                spans = {s[0]: tuple(s) for s in self.spans.get()}
+                out, revision, told = [self._told(key[0], spans, revision + 1)], revision + 1, True
+            if told and (newest + self.keep) // 1_000_000 <= now:
+                self.about.clear()
+                self.spans.clear()
+            else:
+                self._set(newest, revision, told, None if timer <= now else timer)
+        yield pd.DataFrame(out, columns=_TRACE_NAMES)
+
+    @staticmethod
+    def _told(trace: str, spans: dict[str, tuple], revision: int) -> tuple:
+        by_start = sorted(spans.values(), key=lambda s: (s[4], s[0]))
+        root = next((s for s in by_start if s[1] == ""), by_start[0])
+        start, end = by_start[0][4], max(s[5] for s in by_start)
+        origins = [dict(span_id=s[0], service_name=s[2], name=s[3], status_message=s[7], start_time_unix_nano=s[4]) for s in _origins(spans)]
+        return trace, revision, root[2], root[3], start, end - start, len(spans), sum(s[6] == "Error" for s in by_start), sorted({s[2] for s in by_start}), origins
+
+    def close(self) -> None:
+        pass
+
+
+def live_traces(spans: DataFrame, quiet: str = "30 seconds", keep: str = "1 hour", grace: str = "10 seconds", arrived: str = "start_time_unix_nano") -> DataFrame:
+    """trace_id, revision, and what ``traces.search_traces`` and ``traces.error_origins`` tell of the trace, in a stream of spans.
+
+    A trace is told of once no span of it has come for ``quiet``, by the time in ``arrived`` (ns; best when a span was received, since then spans that are late by
+    their own time are not left out). Spans that come after that make it told again, as the next revision, for as long as ``keep`` after
+    the last one; the highest revision holds. In state are the ids, names and times of a trace's spans, no attributes.
+    """
+    lengths = [spans.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {x}) * 1000").first()[0] for x in (quiet, keep)]
+    rows = spans.select("trace_id", *_SPAN_NAMES, F.col(arrived).alias("arrived"), timestamp(arrived).alias("at")).withWatermark("at", grace)
+    return rows.groupBy("trace_id").transformWithStateInPandas(Traces(*lengths), _TRACE, outputMode="Append", timeMode="EventTime")
+
+
+def latest_traces(told: DataFrame) -> DataFrame:
+    """The highest revision of each trace in what ``live_traces`` has written."""
+    rest = [c for c in told.columns if c not in ("trace_id", "revision")]
+    return told.groupBy("trace_id").agg(F.max_by(F.struct("revision", *rest), "revision").alias("t")).select("trace_id", "t.*")
