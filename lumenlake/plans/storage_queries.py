@@ -13,7 +13,7 @@ from ..functions.predicates import group_key
 from ..operators import alerts, metrics
 from ..operators.iteration import shared_folder
 from ..schema import RULES_DDL
-from ..sources import derived, payloads, scan, storage
+from ..sources import derived, landing, payloads, scan, storage
 from ..streaming import jobs
 from .alert_queries import ISLANDS, alert_ticks
 from .metric_queries import GROWN, histogram_sql, percentile_sql, rate_sql
@@ -48,9 +48,15 @@ def scan_time_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_with_landing", f"WITH {LOGS} SELECT service_name, count(*) AS logs FROM logs GROUP BY service_name")
 def scan_with_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = derived.logs(spark, sf_dir)
-    root = _stored(spark, logs.filter(F.col("time_unix_nano") < D20))
-    both = scan.with_landing(scan.read_signal(spark, root, "logs").drop("date", "hour"), logs.filter(F.col("time_unix_nano") >= D20))
+    """Three batches, of which two have been stored and one has not; one comes again after it has been stored."""
+    logs, root, time = derived.logs(spark, sf_dir), _folder(spark), F.col("time_unix_nano")
+    batches = [logs.filter(time < D10), logs.filter((time >= D10) & (time < D20)), logs.filter(time >= D20)]
+    for n in (0, 1):
+        landing.land(batches[n], "logs", root, n)
+    landing.promote(spark, root, "logs")
+    for n in (1, 2):
+        landing.land(batches[n], "logs", root, n)
+    both = landing.current(spark, root, "logs")
     return both.groupBy("service_name").agg(F.count(F.lit(1)).alias("logs"))
 
 

@@ -1,4 +1,4 @@
-"""Listing, moving and deleting what lies in a folder of any file system that Spark can reach."""
+"""Listing, moving, deleting and small files in folders of any file system that Spark can reach."""
 
 from __future__ import annotations
 
@@ -30,6 +30,40 @@ def move(spark: SparkSession, source: str, folder: str) -> None:
         raise OSError(f"could not move {source} to {folder}")
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder to another name, whose folder is made if need be."""
+    at, system = _path(spark, source)
+    system.mkdirs(_path(spark, target)[0].getParent())
+    if not system.rename(at, _path(spark, target)[0]):
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no such folder. For folders of few entries."""
+    at, system = _path(spark, folder)
+    return sorted(status.getPath().getName() for status in system.listStatus(at)) if system.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there whole or not at all: it is written under another name first."""
+    at, system = _path(spark, f"{path}.part")
+    out = system.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename(spark, f"{path}.part", path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, system = _path(spark, path)
+    stream = system.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def parquet_files(spark: SparkSession, folder: str) -> DataFrame:
     """date, hour, path, size of the Parquet files of an hourly folder, from its listing: no file is opened."""
     if not exists(spark, folder):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.time import hours_between, in_range
 from ..schema import SCHEMAS, TIME
+from . import folders, swaps
 
 
 def signal_path(root: str, signal: str) -> str:
@@ -13,9 +15,15 @@ def signal_path(root: str, signal: str) -> str:
 
 
 def read_signal(spark: SparkSession, root: str, signal: str) -> DataFrame:
-    """All rows of a signal with the partition columns ``date`` and ``hour``; columns that older files lack are null."""
-    schema = f"{SCHEMAS[signal]}, date date, hour int"
-    return spark.read.schema(schema).parquet(signal_path(root, signal))
+    """All rows of a signal with the partition columns ``date`` and ``hour``; columns that older files lack are null.
+
+    Files of a change that is under way (``swaps``) are left out, so that each row is there once.
+    """
+    schema, path = f"{SCHEMAS[signal]}, date date, hour int", signal_path(root, signal)
+    if not folders.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows, hidden = spark.read.schema(schema).parquet(path), swaps.unseen(spark, root, signal)[0]
+    return rows.filter(~F.col("_metadata.file_name").isin(hidden)) if hidden else rows
 
 
 def scan(spark: SparkSession, root: str, signal: str, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
@@ -25,5 +33,5 @@ def scan(spark: SparkSession, root: str, signal: str, from_ns: int | None = None
 
 
 def with_landing(stored: DataFrame, landing: DataFrame) -> DataFrame:
-    """Stored rows and rows that have not been stored yet; a batch of ``landing`` leaves it when it is stored."""
+    """Stored rows and rows that have not been stored yet. ``landing.current`` keeps the two apart by a ledger."""
     return stored.unionByName(landing, allowMissingColumns=True)

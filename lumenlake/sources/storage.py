@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import hour_number, utc_date, utc_hour
 from ..schema import HOUR, SCHEMAS, SORTED_BY, TIME
-from . import folders
+from . import folders, swaps
 from .scan import signal_path
 
 GRACE, RETENTION = 5 * 60 * 1_000_000_000, 7 * 24 * HOUR
@@ -38,6 +38,16 @@ def write_signal(df: DataFrame, signal: str, root: str, mode: str = "append") ->
     _write(hourly(df, signal).hint("rebalance", "date", "hour"), signal, signal_path(root, signal), mode)
 
 
+def write_staged(df: DataFrame, signal: str, staging: str) -> None:
+    """``write_signal`` to a folder of its own, from which files are moved to their hours."""
+    _write(hourly(df, signal).hint("rebalance", "date", "hour"), signal, staging, "error")
+
+
+def hourly_files(spark: SparkSession, folder: str) -> list[dict]:
+    """date, hour, path, size of the files of an hourly folder, on the driver: for staged files, whose names have to be moved one by one."""
+    return folders.parquet_files(spark, folder).collect()
+
+
 def stored_files(spark: SparkSession, root: str, signal: str) -> DataFrame:
     """signal, date, hour, hour_end, files, bytes of each stored hour, from the listing of the folder: no file is opened."""
     end = (hour_number() + 1) * HOUR
@@ -59,7 +69,7 @@ def expired_partitions(files: DataFrame, now: int, retention: int | dict[str, in
     return files.filter((kept > 0) & (F.col("hour_end") <= F.lit(now) - kept))
 
 
-def _hour_folder(root: str, signal: str, hour: dict) -> str:
+def hour_folder(root: str, signal: str, hour: dict) -> str:
     return f"{signal_path(root, signal)}/date={hour['date']}/hour={hour['hour']:02d}"
 
 
@@ -67,27 +77,32 @@ def compact_hours(spark: SparkSession, root: str, signal: str, now: int, grace:
     """Rewrite closed hours of several files, sorted anew; returns the hours rewritten (date, hour, files, bytes).
 
     Rows are written once, to a staging folder beside the signals, an hour of many bytes by as many tasks as it needs
-    files; then the old files of each hour give way to the new ones. The driver handles names of files of the due
-    hours only. A reader meanwhile may see an hour's rows twice; plain Parquet folders have no transactions.
+    files, each a range of the hour's sort order, so that files do not overlap; then the old files give way to the new ones as one change
+    (``swaps``): a stop at any moment leaves each row once, for readers of this library, and the next run finishes it. The driver handles
+    names of files of the due hours only.
     """
+    swaps.finish(spark, root, signal)
     due = compaction_candidates(stored_files(spark, root, signal), now, grace).select("date", "hour", "files", "bytes").collect()  # a row per due hour
     hours = spark.createDataFrame(due, "date date, hour int, files long, bytes long")
     if not due:
         return hours
-    old = folders.parquet_files(spark, signal_path(root, signal)).join(F.broadcast(hours), ["date", "hour"], "left_semi").collect()
-    parts = F.ceil(F.col("bytes") / FILE_BYTES).cast("int")
-    slices = F.broadcast(hours.select("date", "hour", parts.alias("parts")))  # bounded: a row per due hour
+    old = [f["path"] for f in folders.parquet_files(spark, signal_path(root, signal)).join(F.broadcast(hours), ["date", "hour"], "left_semi").collect()]
     files = spark.read.schema(f"{SCHEMAS[signal]}, date date, hour int").option("basePath", signal_path(root, signal))
-    rows = files.parquet(*(file["path"] for file in old)).join(slices, ["date", "hour"])  # just these: others may have come meanwhile
-    rows = rows.withColumn("hour", F.lpad(F.col("hour").cast("string"), 2, "0")).withColumn("part", F.pmod(F.xxhash64(*SORTED_BY[signal]), "parts"))
+    rows = files.parquet(*old).withColumn("hour", F.lpad(F.col("hour").cast("string"), 2, "0"))  # just these: others may have come meanwhile
+    large = [h for h in due if h["bytes"] > FILE_BYTES]
+    in_large = F.lit(False)
+    for h in large:  # hours of many files
+        in_large |= (F.col("date") == F.lit(h["date"])) & (F.col("hour") == f"{h['hour']:02d}")
+    tasks = sum(-(-h["bytes"] // FILE_BYTES) for h in large)
+    parts = [rows.filter(~in_large).repartition(max(1, len(due) - len(large)), "date", "hour")]
+    if large:
+        parts.append(rows.filter(in_large).repartitionByRange(tasks, "date", "hour", *SORTED_BY[signal]))
     staging = f"{root}/staging-{uuid.uuid4().hex}"
-    tasks = sum(max(1, -(-hour["bytes"] // FILE_BYTES)) for hour in due)
-    _write(rows.repartition(tasks, "date", "hour", "part").drop("parts", "part"), signal, staging, "error")
-    for file in folders.parquet_files(spark, staging).collect():
-        folders.move(spark, file["path"], _hour_folder(root, signal, file))
-    for file in old:
-        folders.delete(spark, file["path"])
-    folders.delete(spark, staging)
+    for n, part in enumerate(parts):
+        _write(part, signal, staging, "append" if n else "error")
+    come = {file["path"]: hour_folder(root, signal, file) for file in hourly_files(spark, staging)}
+    swaps.begin(spark, root, signal, staging, come, old)
+    swaps.finish(spark, root, signal)
     return hours
 
 
@@ -95,7 +110,7 @@ def expire(spark: SparkSession, root: str, signal: str, now: int, retention: int
     """Delete the hours that ``expired_partitions`` finds; returns them (date, hour, files, bytes)."""
     gone = expired_partitions(stored_files(spark, root, signal), now, retention).select("date", "hour", "files", "bytes").collect()  # a row per expired hour
     for hour in gone:
-        folders.delete(spark, _hour_folder(root, signal, hour))
+        folders.delete(spark, hour_folder(root, signal, hour))
     return spark.createDataFrame(gone, "date date, hour int, files long, bytes long")
 
 
