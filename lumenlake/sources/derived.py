@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import HOUR, NANOS
+from ..schema import HOUR, NANOS, TIME
+from . import folders
 
 #: The upper bounds of the histogram buckets, and the event types in the order that gives their series ids.
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
@@ -16,6 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the three signals to ``folder`` once, in order of time. Given to the queries in place of ``sf_dir``, it is read instead of derived.
+
+    The tables spread a few rows over each of many hours, so these are few files and not the hourly layout.
+    """
+    for name, rows in (("spans", spans(spark, sf_dir)), ("logs", logs(spark, sf_dir)), ("metric_points", metric_points(spark, sf_dir))):
+        time = TIME[name]
+        rows.repartitionByRange(spark.sparkContext.defaultParallelism, time).sortWithinPartitions(time).write.parquet(f"{folder}/signals/{name}")
+
+
+def _stored(signal: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(signal)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{sf_dir}/signals/{signal.__name__}"
+        return spark.read.parquet(path) if folders.exists(spark, path) else signal(spark, sf_dir)
+
+    return read
+
+
 def _nanos(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) * 1000
 
@@ -28,6 +51,7 @@ def _text_map(**entries: Column) -> Column:
 _EVENTS = "array<struct<time_unix_nano:bigint,name:string,attributes:map<string,string>>>"
 
 
+@_stored
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as root spans, their line items as children: a chain for even order keys, a binary tree for odd ones."""
     orders = table(spark, sf_dir, "orders")
@@ -68,6 +92,7 @@ def _service() -> Column:
     return F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
 
 
+@_stored
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log per event; levels by type, one of them in lower case and one absent."""
     kind = F.col("event_type")
@@ -88,6 +113,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_stored
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauge, cumulative and delta sums per user; histogram, exponential histogram and summary per event type and hour."""
     time = _nanos("ts")

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.operators import alerts, metrics
-from lumenlake.schema import LOGS_DDL, NANOS, POINTS_DDL, RULES_DDL
+from lumenlake.operators import alerts, metrics, traces
+from lumenlake.schema import LOGS_DDL, NANOS, POINTS_DDL, RULES_DDL, SPANS_DDL
 from lumenlake.streaming import jobs
 
 T0, MIN = 1_791_378_000 * NANOS, 60 * NANOS
@@ -142,3 +142,32 @@ def test_a_series_that_was_silent_for_long_begins_anew(spark, tmp_path):
     batches = [minute(0, 1.0), minute(1, 3.0), [point("Sum", 2, 60 * m, 0, float(m)) for m in range(2, 90)], minute(100, 9.0), minute(101, 10.0), [point("Sum", 2, 9000, 0, 500.0)]]
     got = run(spark, tmp_path, batches, POINTS_DDL, lambda rows: jobs.live_increments(rows, ["series_id", "service_name"], "5 minutes", "30 minutes"))
     assert [(r["value"], r["service_name"]) for r in got.filter("series_id = 1").orderBy("time_unix_nano").collect()] == [(2.0, "s"), (1.0, "s")]
+
+
+def span(trace, name, parent, at, status="Unset", length=1, service="a"):
+    start = T0 + int(at * NANOS)
+    return (trace, name, parent, f"n{name}", "Server", start, start + length * NANOS, length * NANOS, status, f"m{name}", service, "", {}, {}, [], start)
+
+
+def test_live_traces(spark, tmp_path):
+    """Told of when quiet, again when a span comes late, anew when it had been forgotten; origins through spans of any status, missing ones and cycles."""
+    arrived = lambda s, at: (*s[:-1], T0 + int(at * NANOS))
+    first = [span("t1", "1", "", 0, length=9), span("t1", "2", "1", 1, "Error", service="b"), span("t1", "3", "2", 2), span("t1", "4", "3", 3, "Error"), span("t2", "1", "9", 5, "Error")]
+    first += [span("t3", "1", "2", 4, "Error"), span("t3", "2", "1", 4), span("t3", "3", "2", 5, "Error"), span("t1", "1", "", 0, length=9)]
+    late = [arrived(span("t1", "5", "4", 4, "Error", service="c"), 150), arrived(span("t2", "9", "", 1), 160), span("t4", "1", "", 170)]
+    again = [arrived(span("t2", "7", "9", 6), 5000), span("end", "1", "", 20_000)]
+    tick = lambda at: [[span("tick", str(at + k), "", at + k)] for k in (0, 1)]  # noqa: E731  (a watermark holds from the next batch on)
+    batches = [first, *tick(100), late, *tick(400), *tick(2000), again]
+    out = run(spark, tmp_path, batches, f"{SPANS_DDL}, received bigint", lambda s: jobs.live_traces(s, "30 seconds", "10 minutes", "10 seconds", "received"))
+    told = {(r["trace_id"], r["revision"], r["spans"]): r for r in out.filter("trace_id not in ('tick', 'end')").collect()}
+    assert sorted(told) == [("t1", 1, 4), ("t1", 2, 5), ("t2", 1, 1), ("t2", 2, 2), ("t3", 1, 3), ("t4", 1, 1)]
+    assert out.filter("trace_id = 't2' and revision = 1").count() == 2  # forgotten, and begun anew
+    origins = lambda *key: sorted(o["span_id"] for o in told[key]["origins"])
+    assert origins("t1", 1, 4) == ["4"] and origins("t1", 2, 5) == ["5"] and origins("t3", 1, 3) == ["3"]
+    assert (told["t1", 2, 5]["root_name"], told["t1", 2, 5]["duration"], told["t1", 2, 5]["errors"], told["t1", 2, 5]["services"]) == ("n1", 9 * NANOS, 3, ["a", "b", "c"])
+    assert told["t2", 2, 2]["root_name"] == "n9"
+    latest = {r["trace_id"]: r["spans"] for r in jobs.latest_traces(out).collect()}
+    assert latest["t1"] == 5 and latest["t2"] == 2
+    rows = spark.createDataFrame([s[:-1] for s in {(x[0], x[1]): x for x in first + late[:1]}.values() if s[0] in ("t1", "t3")], SPANS_DDL)
+    batch = sorted((r["trace_id"], r["span_id"]) for r in traces.error_origins(rows).collect())
+    assert batch == [("t1", "5"), ("t3", "3")]
