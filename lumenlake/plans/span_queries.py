@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import insights, services, traces
+from ..operators.iteration import cut
 from ..sources import derived
 from .log_queries import RANKED, issues_sql, shown
 from .registry import DAY, FEB, HOUR, JAN, MID96, TURN_FROM, TURN_TO, Y96, Y97, ns, query
@@ -34,6 +35,17 @@ def services_red(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.services(derived.spans(spark, sf_dir), Y96, Y97)
 
 
+#: A range that begins and ends within an hour.
+_IN_HOURS = (Y96 + 1234567 * 10**9, Y97 - 987654 * 10**9)
+
+
+@query("services_red_hours", f"WITH {SPANS} {services_sql(*_IN_HOURS)}")
+def services_red_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures from kept counts by hour, with spans at the ends and where the ranks lie."""
+    spans = derived.spans(spark, sf_dir)
+    return services.services_from_hours(cut(services.latency_hours(spans)), spans, *_IN_HOURS)
+
+
 @query("service_timeline", f"""WITH {SPANS} SELECT {Y96} + ((t - {Y96}) // {7 * DAY}) * {7 * DAY} AS bucket_start, count(*) AS requests, {_FAILED}, {_P}, count(*) / 604800.0 AS rate
     FROM spans WHERE {_YEAR} AND {_ENTRY} AND service_name = 'supplier-3' GROUP BY 1""")
 def service_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
