@@ -100,34 +100,51 @@ def error_origins(spans: DataFrame) -> DataFrame:
     return spans.filter(span_is_error()).join(above, ["trace_id", "span_id"], "left_anti")
 
 
-def waterfall(spans: DataFrame) -> DataFrame:
-    """The spans of every trace depth first: path position, depth, has_children, offset and width as shares of the trace.
+def _tour(spans: DataFrame) -> DataFrame:
+    """id, place, depth of the ``spans`` (id, trace_id, span_id, parent_span_id, start_time_unix_nano) of every trace depth first, children by start, then span id.
 
-    Children go by start, then span id; spans whose parent is missing are roots; spans of a parent cycle are absent.
-    Paths from the root come from doubling: each round joins a span's path to that of the span its path begins below.
+    A walk around each tree enters and leaves every span; what comes next is known from the span, its first child, its next sibling and its parent. By
+    doubling, each step of the walk learns how many spans are entered from it to the end, and how many more are left than entered: its place and depth.
+    Rounds follow the logarithm of the largest trace, each over a few numbers per span. Spans of a parent cycle never come to an end and are left out.
     """
-    rows = spans.select("trace_id", "span_id", "parent_span_id", "service_name", "name", "start_time_unix_nano", "end_time_unix_nano", "status_code")
-    step = F.array(F.struct(F.col("start_time_unix_nano").alias("start"), F.col("span_id").alias("id")))
-    ids = rows.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct().withColumn("known", F.lit(True))
-    placed = rows.join(ids, ["trace_id", "parent_span_id"], "left").select(
-        "trace_id", "span_id", F.when(F.col("known") & (F.col("parent_span_id") != ""), F.col("parent_span_id")).alias("above"), step.alias("path")
+    order = F.struct("start_time_unix_nano", "span_id")
+    parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("id").alias("up"))
+    placed = cut(spans.join(parents.filter("parent_span_id <> ''"), ["trace_id", "parent_span_id"], "left").select("id", "trace_id", "span_id", "start_time_unix_nano", "up"))
+    siblings = Window.partitionBy("trace_id", "up").orderBy("start_time_unix_nano", "span_id")
+    first = placed.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.min_by("id", order).alias("first"))
+    known = placed.withColumn("sibling", F.lead("id").over(siblings)).join(first, "id", "left")
+    enter, leave = F.col("id") * 2, F.col("id") * 2 + 1
+    onward = F.coalesce(F.col("sibling") * 2, F.col("up") * 2 + 1)
+    steps = F.array(
+        F.struct(enter.alias("at"), F.coalesce(F.col("first") * 2, leave).alias("next"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("deeper")),
+        F.struct(leave.alias("at"), onward.alias("next"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("deeper")),
     )
-    placed = cut(placed)
-    longest = rows.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(int(longest).bit_length()):
-        upper = placed.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("further"), F.col("path").alias("before"))
-        joined = placed.filter("above is not null").join(upper, ["trace_id", "above"])
-        moved = joined.select("trace_id", "span_id", F.col("further").alias("above"), F.concat("before", "path").alias("path"))
-        placed = cut(placed.filter("above is null").unionByName(moved))
-        if placed.filter("above is not null").isEmpty():
+    walk = cut(known.select(F.explode(steps).alias("s")).select("s.*"))
+    longest = placed.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(2 * longest).bit_length()):
+        if walk.filter("next is not null").isEmpty():
             break
+        later = walk.select(F.col("at").alias("next"), F.col("next").alias("further"), F.col("entered").alias("more"), F.col("deeper").alias("down"))
+        moved = walk.filter("next is not null").join(later, "next").select("at", F.col("further").alias("next"), (F.col("entered") + F.col("more")).alias("entered"), (F.col("deeper") + F.col("down")).alias("deeper"))
+        walk = cut(walk.filter("next is null").unionByName(moved))
+    ends = walk.filter("next is null and at % 2 = 0").select(F.expr("at div 2").alias("id"), "entered", (-F.col("deeper")).cast("int").alias("depth"))
+    found = placed.select("id", "trace_id").join(ends, "id")
+    whole = found.groupBy("trace_id").agg(F.max("entered").alias("all"))
+    return found.join(whole, "trace_id").select("id", (F.col("all") - F.col("entered") + 1).cast("int").alias("place"), "depth")
+
+
+def waterfall(spans: DataFrame) -> DataFrame:
+    """The spans of every trace depth first: place, depth, has_children, offset and width as shares of the trace.
+
+    Children go by start, then span id; spans whose parent is missing are roots; spans of a parent cycle are absent. A span id is there once in a trace.
+    """
+    rows = cut(spans.select("trace_id", "span_id", "parent_span_id", "service_name", "name", "start_time_unix_nano", "end_time_unix_nano", "status_code").withColumn("id", F.monotonically_increasing_id()))
     whole = rows.groupBy("trace_id").agg(F.min("start_time_unix_nano").alias("begin"), F.max("end_time_unix_nano").alias("finish"))
     parents = rows.select("trace_id", F.col("parent_span_id").alias("span_id")).filter("span_id <> ''").distinct().withColumn("has_children", F.lit(True))
-    out = rows.join(placed.filter("above is null").select("trace_id", "span_id", "path"), ["trace_id", "span_id"]).join(whole, "trace_id").join(parents, ["trace_id", "span_id"], "left")
+    out = rows.join(_tour(rows), "id").join(whole, "trace_id").join(parents, ["trace_id", "span_id"], "left")
     total = F.greatest(F.col("finish") - F.col("begin"), F.lit(1))
-    place = F.row_number().over(Window.partitionBy("trace_id").orderBy("path"))
     return out.select(
-        "trace_id", place.alias("place"), "span_id", "service_name", "name", "status_code", (F.size("path") - 1).alias("depth"),
+        "trace_id", "place", "span_id", "service_name", "name", "status_code", "depth",
         ((F.col("start_time_unix_nano") - F.col("begin")) / total).alias("offset"),
         F.greatest((F.col("end_time_unix_nano") - F.col("start_time_unix_nano")) / total, F.lit(LEAST_WIDTH)).alias("width"),
         F.coalesce("has_children", F.lit(False)).alias("has_children"),

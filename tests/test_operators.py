@@ -329,3 +329,17 @@ def test_a_busy_hour_is_compacted_and_expires(spark, tmp_path, monkeypatch):
     assert not [*tmp_path.glob("staging-*")]
     gone = storage.expire(spark, str(tmp_path), "logs", T0 + 7 * 24 * HOUR + 2 * HOUR)
     assert [r["hour"] for r in gone.collect()] == [13] and scan.read_signal(spark, str(tmp_path), "logs").count() == 1
+
+
+def test_waterfall_of_long_chains_and_wide_trees(spark):
+    """A chain of 20,000 spans, a span of many children, several roots, an orphan and a cycle."""
+    made = [span("chain", str(n), str(n - 1) if n else "", "s", "c", T0 + n, 1) for n in range(20_000)]
+    made += [span("wide", str(n), "0" if n else "", "s", "w", T0 + (n * 7919) % 3001, 1) for n in range(3_000)]
+    made += [span("mixed", a, b, "s", "m", T0 + k, 1) for k, (a, b) in enumerate([("a", ""), ("b", "a"), ("x", "y"), ("y", "x"), ("o", "gone"), ("z", "x"), ("c", "a"), ("d", "b"), ("e", "")])]
+    found = {}
+    for r in traces.waterfall(spark.createDataFrame(made, SPANS_DDL).repartition(4)).collect():
+        found.setdefault(r["trace_id"], []).append((r["place"], r["span_id"], r["depth"]))
+    assert sorted(found["chain"]) == [(n + 1, str(n), n) for n in range(20_000)]
+    children = sorted(range(1, 3000), key=lambda n: ((n * 7919) % 3001, str(n)))
+    assert sorted(found["wide"]) == [(1, "0", 0), *((k + 2, str(n), 1) for k, n in enumerate(children))]
+    assert sorted(found["mixed"]) == [(1, "a", 0), (2, "b", 1), (3, "d", 2), (4, "c", 1), (5, "o", 0), (6, "e", 0)]
