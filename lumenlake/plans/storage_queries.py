@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import group_key
-from ..operators import alerts, metrics
+from ..operators import alerts, logs, metrics
 from ..operators.iteration import shared_folder
 from ..schema import RULES_DDL
-from ..sources import derived, landing, payloads, scan, storage
+from ..sources import derived, landing, payloads, scan, storage, text_index
 from ..streaming import jobs
 from .alert_queries import ISLANDS, alert_ticks
 from .metric_queries import GROWN, histogram_sql, percentile_sql, rate_sql
@@ -111,6 +111,16 @@ def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.unix_date("date").alias("day"), "hour").agg(F.count(F.lit(1)).alias("logs"), files)
 
 
+@query("search_logs_signed", f"""WITH {LOGS} SELECT t AS time_unix_nano, span_id, body FROM logs
+    WHERE t >= {JAN} AND t < {FEB} AND level = 'ERROR' AND (contains(lower(body), 'user 7 value') OR contains(lower(concat_ws(' ', event_type, k)), 'user 7 value'))
+    ORDER BY t DESC, span_id, body LIMIT 100""")
+def search_logs_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text search of stored logs that opens those files alone whose signatures have the text's trigrams."""
+    root, terms = _folder(spark), [("", "User 7 value", False), ("level", "error", False)]
+    storage.write_signal(derived.logs(spark, sf_dir), "logs", root, signed=True)
+    return logs.search_logs(text_index.scan_text(spark, root, "logs", terms, JAN, FEB), terms, JAN, FEB).select("time_unix_nano", "span_id", "body")
+
+
 @query("signal_counts", f"""WITH {SPANS}, {LOGS}, {POINTS} SELECT 'logs' AS signal, count(*) AS items FROM logs UNION ALL SELECT 'spans', count(*) FROM spans UNION ALL
     SELECT 'metric_points', (SELECT count(*) FROM ev) * 3 + (SELECT count(*) FROM sizes) * 3""")
 def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

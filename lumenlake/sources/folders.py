@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,11 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def place(path: str) -> Column:
+    """The last three parts of a path, ``date=/hour=/name``: which file of an hourly folder it is. A name alone may be that of files of several hours."""
+    return F.substring_index(path, "/", -3)
+
+
 def parquet_files(spark: SparkSession, folder: str) -> DataFrame:
     """date, hour, path, size of the Parquet files of an hourly folder, from its listing: no file is opened."""
     if not exists(spark, folder):

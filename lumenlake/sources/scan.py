@@ -23,7 +23,7 @@ def read_signal(spark: SparkSession, root: str, signal: str) -> DataFrame:
     if not folders.exists(spark, path):
         return spark.createDataFrame([], schema)
     rows, hidden = spark.read.schema(schema).parquet(path), swaps.unseen(spark, root, signal)[0]
-    return rows.filter(~F.col("_metadata.file_name").isin(hidden)) if hidden else rows
+    return rows.filter(~folders.place("_metadata.file_path").isin(hidden)) if hidden else rows
 
 
 def scan(spark: SparkSession, root: str, signal: str, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import hour_number, utc_date, utc_hour
 from ..schema import HOUR, SCHEMAS, SORTED_BY, TIME
-from . import folders, swaps
+from . import folders, swaps, text_index
 from .scan import signal_path
 
 GRACE, RETENTION = 5 * 60 * 1_000_000_000, 7 * 24 * HOUR
@@ -30,12 +30,14 @@ def _write(rows: DataFrame, signal: str, path: str, mode: str) -> None:
     writer.parquet(path)
 
 
-def write_signal(df: DataFrame, signal: str, root: str, mode: str = "append") -> None:
-    """Append rows to their hours, sorted as readers prune them.
+def write_signal(df: DataFrame, signal: str, root: str, mode: str = "append", signed: bool = False) -> None:
+    """Append rows to their hours, sorted as readers prune them; ``signed`` (logs, spans) by their text too (``text_index``).
 
     The shuffle is a rebalance: adaptive execution puts small hours together and splits a busy one by bytes.
     """
     _write(hourly(df, signal).hint("rebalance", "date", "hour"), signal, signal_path(root, signal), mode)
+    if signed:
+        text_index.refresh(df.sparkSession, root, signal)
 
 
 def write_staged(df: DataFrame, signal: str, staging: str) -> None:
@@ -103,6 +105,8 @@ def compact_hours(spark: SparkSession, root: str, signal: str, now: int, grace:
     come = {file["path"]: hour_folder(root, signal, file) for file in hourly_files(spark, staging)}
     swaps.begin(spark, root, signal, staging, come, old)
     swaps.finish(spark, root, signal)
+    if text_index.kept(spark, root, signal):
+        text_index.refresh(spark, root, signal)
     return hours
 
 
@@ -111,6 +115,7 @@ def expire(spark: SparkSession, root: str, signal: str, now: int, retention: int
     gone = expired_partitions(stored_files(spark, root, signal), now, retention).select("date", "hour", "files", "bytes").collect()  # a row per expired hour
     for hour in gone:
         folders.delete(spark, hour_folder(root, signal, hour))
+        folders.delete(spark, f"{text_index.signatures_path(root, signal)}/date={hour['date']}/hour={hour['hour']:02d}")
     return spark.createDataFrame(gone, "date date, hour int, files long, bytes long")
 
 

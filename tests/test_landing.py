@@ -108,3 +108,18 @@ def test_a_stream_lands_and_is_promoted(spark, tmp_path):
     stream = spark.readStream.schema(LOGS_DDL).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     landing.land_stream(stream, "logs", root, f"{tmp_path}/c", {"availableNow": True}).awaitTermination()
     assert seen(spark, root) == [*range(30)] and landing.promote(spark, root, "logs") == ["0", "1", "2"] and seen(spark, root) == [*range(30)]
+
+
+@pytest.mark.parametrize("step", range(1, 7))
+def test_compaction_of_one_hour_leaves_the_other_alone(spark, tmp_path, monkeypatch, step):
+    """A task's files of both hours have one name; only the first hour is due."""
+    root = str(tmp_path)
+    for low in (0, 10):
+        storage.write_signal(batch(spark, low, low + 10).coalesce(1), "logs", root)
+    with monkeypatch.context() as m:
+        stop_at(m, step)
+        try:
+            storage.compact_hours(spark, root, "logs", T0 // HOUR * HOUR + HOUR + storage.GRACE)
+        except Stopped:
+            pass
+    assert seen(spark, root) == list(range(20))
