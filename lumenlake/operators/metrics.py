@@ -195,5 +195,11 @@ def cardinality_guard(points: DataFrame, limit: int) -> DataFrame:
     up_to = Window.partitionBy("metric_name").orderBy("hour")
     hours = hours.withColumn("before", F.sum("n").over(up_to) - F.col("n")).filter(F.col("before") < limit).drop("n")
     rank = F.col("before") + F.row_number().over(Window.partitionBy("metric_name", "hour").orderBy("first", "series_id"))
-    kept = first.join(hours, ["metric_name", "hour"]).withColumn("rank", rank).filter(F.col("rank") <= limit).select("metric_name", "series_id", F.lit(True).alias("kept"))
-    return points.join(kept, ["metric_name", "series_id"], "left").withColumn("series", F.when(F.col("kept"), F.col("series_id").cast("string")).otherwise("__overflow__")).drop("kept")
+    kept = first.join(hours, ["metric_name", "hour"]).withColumn("rank", rank).filter(F.col("rank") <= limit).select("metric_name", "series_id")
+    return overflowing(points, kept)
+
+
+def overflowing(points: DataFrame, kept: DataFrame) -> DataFrame:
+    """``points`` with ``series``: its id as text where ``kept`` (metric_name, series_id) has it, else ``__overflow__``."""
+    marked = points.join(kept.withColumn("kept", F.lit(True)), ["metric_name", "series_id"], "left")
+    return marked.withColumn("series", F.when(F.col("kept"), F.col("series_id").cast("string")).otherwise("__overflow__")).drop("kept")

@@ -229,8 +229,11 @@ def series_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_distinct("series").alias("ids"), F.count(F.lit(1)).alias("series"), F.bool_and(F.coalesce("again", F.lit(False))).alias("order_free"))
 
 
-@query("cardinality_guard", f"""WITH {POINTS}, firsts AS (SELECT user_id, min(t) AS f FROM ev GROUP BY user_id), ranked AS (SELECT *, row_number() OVER (ORDER BY f, user_id) AS r FROM firsts)
-    SELECT CASE WHEN r <= 20 THEN CAST(ev.user_id AS VARCHAR) ELSE '__overflow__' END AS series, count(*) AS points FROM ev JOIN ranked ON ranked.user_id = ev.user_id GROUP BY 1""")
+GUARDED = f"""WITH {POINTS}, firsts AS (SELECT user_id, min(t) AS f FROM ev GROUP BY user_id), ranked AS (SELECT *, row_number() OVER (ORDER BY f, user_id) AS r FROM firsts)
+    SELECT CASE WHEN r <= 20 THEN CAST(ev.user_id AS VARCHAR) ELSE '__overflow__' END AS series, count(*) AS points FROM ev JOIN ranked ON ranked.user_id = ev.user_id GROUP BY 1"""
+
+
+@query("cardinality_guard", GUARDED)
 def cardinality_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = derived.metric_points(spark, sf_dir).filter("metric_name = 'event.value'")
     return metrics.cardinality_guard(points, 20).groupBy("series").agg(F.count(F.lit(1)).alias("points"))

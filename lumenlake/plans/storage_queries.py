@@ -16,7 +16,7 @@ from ..schema import RULES_DDL
 from ..sources import derived, landing, payloads, scan, storage, text_index
 from ..streaming import jobs
 from .alert_queries import ISLANDS, alert_ticks
-from .metric_queries import GROWN, histogram_sql, percentile_sql, rate_sql
+from .metric_queries import GROWN, GUARDED, histogram_sql, percentile_sql, rate_sql
 from .registry import D10, D20, DAY, FEB, HOUR, JAN, Y97, query
 from .span_queries import ORIGIN, UP
 from .views import LOGS, POINTS, SPANS
@@ -468,6 +468,18 @@ def stream_histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.distribution_series(grown, JAN, D20, DAY, "p95", ["event.type"]).withColumn("value", F.round("value", 6))
 
 
+@query("stream_cardinality_guard", GUARDED)
+def stream_cardinality_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that come out of order, marked by the first twenty series that a stream has told of."""
+    root, points = _folder(spark), derived.metric_points(spark, sf_dir).filter("metric_name = 'event.value'")
+    stream = _stream(spark, _shaken(points.select("metric_name", "series_id", "time_unix_nano", "value"), "time_unix_nano", root, 4, _LATE)).drop("comes")
+    with _rocksdb(spark):
+        told = jobs.first_series(stream, 20, "12 hours")
+        told.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    kept = jobs.admitted(spark.read.schema(told.schema).parquet(f"{root}/out"), 20)
+    return metrics.overflowing(points, kept).groupBy("series").agg(F.count(F.lit(1)).alias("points"))
+
+
 def _live_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest revision of the traces of all spans, each of which comes up to twelve hours late: a trace is quiet after two, so many are told of again and again."""
     root = _folder(spark)

@@ -1,4 +1,4 @@
-"""Streams: landing of payloads, counts per window, service maps, traces, increments of metrics, and alert rules from logs to events."""
+"""Streams: landing of payloads, counts per window, service maps, traces, increments of metrics, their first series, and alert rules from logs to events."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -449,3 +449,105 @@ def latest_traces(told: DataFrame) -> DataFrame:
     """The highest revision of each trace in what ``live_traces`` has written."""
     rest = [c for c in told.columns if c not in ("trace_id", "revision")]
     return told.groupBy("trace_id").agg(F.max_by(F.struct("revision", *rest), "revision").alias("t")).select("trace_id", "t.*")
+
+
+#: Parts into which the series of a metric are split by a hash.
+SALTS = 64
+#: The part that tells of the time alone.
+_CLOCK = -1
+_FIRST = "metric_name string, salt int, series_id bigint, first bigint"
+_FIRST_NAMES = [c.split()[0] for c in _FIRST.split(", ")]
+
+
+class FirstSeries(StatefulProcessor):
+    """The first ``limit`` series of a part of a metric, told in order of their first points once the watermark has passed these.
+
+    In state are the ids told and, of those that wait, as many as can still be told; once ``limit`` have been told, nothing but that.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "full boolean, told array<bigint>, firsts array<bigint>, waiting array<bigint>, timer bigint")
+
+    def _set(self, told: list[int], waiting: dict[int, int], timer: int | None) -> None:
+        left = sorted((first, series) for series, first in waiting.items())[: self.limit - len(told)]
+        if len(told) >= self.limit:
+            self.state.update((True, [], [], [], None))
+            return
+        at = left[0][0] // 1_000_000 + 1 if left else None
+        if timer is not None and timer != at:
+            self.handle.deleteTimer(timer)
+        if at is not None and timer != at:
+            self.handle.registerTimer(at)
+        self.state.update((False, told, [f for f, _ in left], [s for _, s in left], at))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        full, told, firsts, ids, timer = self.state.get() if self.state.exists() else (False, [], [], [], None)
+        if not full and key[1] != _CLOCK:
+            known, waiting = set(told), dict(zip(ids, firsts, strict=True))
+            now = timerValues.getCurrentWatermarkInMs() * 1_000_000
+            for part in rows:
+                for series, first in zip(part["series_id"].tolist(), part["first"].tolist(), strict=True):
+                    if series not in known:
+                        waiting[series] = min(waiting.get(series, first), first) if first >= now or series in waiting else now
+            self._set(list(told), waiting, timer)
+        yield pd.DataFrame([], columns=_FIRST_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        out = []
+        if self.state.exists() and not self.state.get()[0]:
+            _, told, firsts, ids, timer = self.state.get()
+            now = timerValues.getCurrentWatermarkInMs()
+            due = [(f, s) for f, s in zip(firsts, ids, strict=True) if f // 1_000_000 < now]
+            out = [(*key, s, f) for f, s in due]
+            told, waiting = [*told, *(s for _, s in due)], {s: f for f, s in list(zip(firsts, ids, strict=True))[len(due) :]}
+            self._set(told, waiting, None if timer is not None and timer <= now else timer)
+        yield pd.DataFrame(out, columns=_FIRST_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def first_series(points: DataFrame, limit: int, grace: str = "5 minutes") -> DataFrame:
+    """metric_name, salt, series_id, first: of each part of a metric in a stream of ``points`` its first ``limit`` series. ``admitted`` makes one limit of these.
+
+    A series that is among a metric's first is among those of its part, so no more than ``SALTS`` times the limit is ever told of a
+    metric. Each task reduces its rows to the first ``limit`` series of a part before they are shuffled. A series whose first point is later
+    than the grace counts from when it came.
+    """
+    salt = F.pmod(F.xxhash64("series_id"), F.lit(SALTS)).cast("int")
+    rows = points.filter("metric_name is not null and series_id is not null").select("metric_name", salt.alias("salt"), "series_id", F.col("time_unix_nano").alias("first"), F.col("time_unix_nano").alias("newest"))
+    part, columns = ["metric_name", "salt"], [*_FIRST_NAMES, "newest"]
+
+    def merged(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        both = pd.concat(frames, ignore_index=True).groupby([*part, "series_id"], as_index=False).agg(first=("first", "min"), newest=("newest", "max"))
+        return both.sort_values(["first", "series_id"]).groupby(part).head(limit)
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, size, newest = [], 0, None
+        for batch in batches:
+            if len(batch):
+                newest = max(newest or 0, int(batch["newest"].max()))
+                kept.append(batch)
+                if sum(map(len, kept)) > max(2 * size, 50_000):
+                    kept = [merged(kept)]
+                    size = len(kept[0])
+        if kept:
+            yield merged(kept)[columns]
+            yield pd.DataFrame([("", _CLOCK, 0, newest, newest)], columns=columns)  # the time, whatever was left out
+
+    firsts = rows.mapInPandas(reduced, f"{_FIRST}, newest bigint").withColumn("at", timestamp("newest")).withWatermark("at", grace)
+    return firsts.groupBy("metric_name", "salt").transformWithStateInPandas(FirstSeries(limit), _FIRST, outputMode="Append", timeMode="EventTime")
+
+
+def admitted(told: DataFrame, limit: int) -> DataFrame:
+    """metric_name, series_id of the first ``limit`` series of each metric, from what ``first_series`` has written; equal to those of ``metrics.cardinality_guard``.
+
+    A later series is told of no sooner than an earlier one, so whatever has been written so far is a beginning of the whole. A metric has at most ``SALTS``
+    times the limit rows here.
+    """
+    rank = F.row_number().over(Window.partitionBy("metric_name").orderBy("first", "series_id"))
+    return told.withColumn("rank", rank).filter(F.col("rank") <= limit).select("metric_name", "series_id")

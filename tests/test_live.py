@@ -171,3 +171,29 @@ def test_live_traces(spark, tmp_path):
     rows = spark.createDataFrame([s[:-1] for s in {(x[0], x[1]): x for x in first + late[:1]}.values() if s[0] in ("t1", "t3")], SPANS_DDL)
     batch = sorted((r["trace_id"], r["span_id"]) for r in traces.error_origins(rows).collect())
     assert batch == [("t1", "5"), ("t3", "3")]
+
+
+def point(metric, series, seconds):
+    return (metric, "Gauge", "", "", False, series, "s", "", {}, {}, 0, T0 + int(seconds * NANOS), 1.0, None, None, None, None, None, None)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 40, 500])
+def test_first_series_as_the_guard_knows_them(spark, tmp_path, limit):
+    rng = random.Random(limit)
+    rows = [point(rng.choice(["a", "a", "b"]), rng.randrange(120), 60 * rng.randrange(90) + 1e-3 * rng.randrange(3)) for _ in range(1500)]
+    rows += [point("one", 7, 30), point(None, 7, 30), point("a", None, 30)]
+    rows.sort(key=lambda p: p[11] + rng.randrange(20 * MIN))  # up to twenty minutes late
+    batches = [*(rows[n : n + 300] for n in range(0, len(rows), 300)), [point("end", 0, 86400)], [point("end", 0, 86401)]]
+    told = run(spark, tmp_path, batches, POINTS_DDL, lambda df: jobs.first_series(df, limit, "30 minutes"))
+    parts = told.groupBy("metric_name", "salt").count().agg(F.max("count")).first()[0]
+    assert parts <= limit and told.count() == told.select("metric_name", "series_id").distinct().count()
+    points = spark.createDataFrame([r for b in batches for r in b if r[0] != "end" and r[0] is not None and r[5] is not None], POINTS_DDL)
+    shown = lambda df: sorted(map(tuple, df.filter("series <> '__overflow__'").select("metric_name", "series").distinct().collect()))
+    kept = jobs.admitted(told.filter("metric_name <> 'end'"), limit)
+    assert shown(metrics.overflowing(points, kept)) == shown(metrics.cardinality_guard(points, limit))
+
+
+def test_a_late_first_point_counts_from_when_it_came(spark, tmp_path):
+    batches = [[point("a", 1, 7200), point("a", 2, 7300)], [point("a", 3, 90000)], [point("a", 4, 60), point("a", 4, 90001)], [point("a", 9, 300000)], [point("a", 9, 300001)]]
+    told = run(spark, tmp_path, batches, POINTS_DDL, lambda df: jobs.first_series(df, 5, "1 minute"))
+    assert [r[0] for r in told.orderBy("first").select("series_id").collect()] == [1, 2, 4, 3]
