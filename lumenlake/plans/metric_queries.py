@@ -52,6 +52,7 @@ _gauge_query("metric_gauge", "avg")
 for _agg in ("sum", "min", "max", "count"):
     _gauge_query(f"metric_reduce_{_agg}", _agg)
 _gauge_query("metric_filtered", "max", "user_id = 7", {"user.id": "7"})
+STEP, FILTERED = _STEP, _gauge("max", "user_id = 7")
 
 
 def rate_sql(agg: str, increments: str, low: int, high: int, step: int) -> str:
@@ -70,7 +71,10 @@ def _rate(agg: str, increments: str) -> str:
 GROWN = "CASE WHEN before IS NULL THEN NULL WHEN day <> before_day OR total < before THEN total ELSE total - before END"
 
 
-@query("metric_counter_rate", _rate("sum", GROWN))
+RATE = _rate("sum", GROWN)
+
+
+@query("metric_counter_rate", RATE)
 def metric_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.query_metric(derived.metric_points(spark, sf_dir), "event.cents", D10, D20, None, ["service.name"], None, _STEP)
     return found.withColumn("value", F.round("value", 6))

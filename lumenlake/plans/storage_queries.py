@@ -13,10 +13,10 @@ from ..functions.predicates import group_key
 from ..operators import alerts, logs, metrics
 from ..operators.iteration import shared_folder
 from ..schema import RULES_DDL
-from ..sources import derived, landing, payloads, scan, storage, text_index
+from ..sources import derived, landing, payloads, scan, series, storage, text_index
 from ..streaming import jobs
 from .alert_queries import ISLANDS, alert_ticks
-from .metric_queries import GROWN, GUARDED, histogram_sql, percentile_sql, rate_sql
+from .metric_queries import FILTERED, GROWN, GUARDED, RATE, STEP, histogram_sql, percentile_sql, rate_sql
 from .registry import D10, D20, DAY, FEB, HOUR, JAN, Y97, query
 from .span_queries import ORIGIN, UP
 from .views import LOGS, POINTS, SPANS
@@ -468,6 +468,27 @@ def stream_histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.distribution_series(grown, JAN, D20, DAY, "p95", ["event.type"]).withColumn("value", F.round("value", 6))
 
 
+def _by_series(spark: SparkSession, sf_dir: str, metric: str) -> str:
+    """A folder with the points of a metric that came in two batches, by ids of their series."""
+    root, points = _folder(spark), derived.metric_points(spark, sf_dir).filter(F.col("metric_name") == metric)
+    for part in (F.col("time_unix_nano") < D20, F.col("time_unix_nano") >= D20):
+        series.write_points(points.filter(part), root)
+    return root
+
+
+@query("metric_filtered_by_series", FILTERED)
+def metric_filtered_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter that is resolved on the dictionary of series."""
+    points = series.read_points(spark, _by_series(spark, sf_dir, "event.value"), ["event.value"], JAN - metrics.LOOKBACK, FEB, {"user.id": "7"})
+    return metrics.query_metric(points, "event.value", JAN, FEB, "max", ["service.name"], None, STEP)
+
+
+@query("metric_rate_by_series", RATE)
+def metric_rate_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = series.read_points(spark, _by_series(spark, sf_dir, "event.cents"), ["event.cents"], D10 - metrics.LOOKBACK, D20)
+    return metrics.query_metric(points, "event.cents", D10, D20, None, ["service.name"], None, STEP).withColumn("value", F.round("value", 6))
+
+
 @query("stream_cardinality_guard", GUARDED)
 def stream_cardinality_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that come out of order, marked by the first twenty series that a stream has told of."""

@@ -7,7 +7,7 @@ import pytest
 from lumenlake.plans.queries import ORACLES, QUERIES
 
 #: Queries that write hundreds of files each; a few of them stand for all here.
-SLOW = {"compacted", "retention_by_signal", "retention_expired", "write_partitioned", "scan_with_landing", "scan_logs", "search_logs_signed"}
+SLOW = {"compacted", "retention_by_signal", "retention_expired", "write_partitioned", "scan_with_landing", "scan_logs", "search_logs_signed", "metric_filtered_by_series", "metric_rate_by_series"}
 
 
 @pytest.fixture(scope="module")
