@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,7 +14,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.predicates import Term, log_filter, span_is_error
 from ..functions.time import timestamp
+from ..operators import trees
 from ..operators.alerts import rule_hits, tick_slot
+from ..schema import HOUR, NANOS
+from ..sources import folders
 from ..sources.payloads import flatten_logs
 from ..sources.storage import hourly
 
@@ -47,14 +51,30 @@ def service_edges(spans: DataFrame, within: str = "1 hour", grace: str = "5 minu
     return calls.filter(F.col("from_service") != F.col("service_name")).select("from_service", F.col("service_name").alias("to_service"), "failed", "at")
 
 
-def land_edges(spans: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Keep a service map up to date: each batch of spans adds its calls by pair of services and hour. A batch that is repeated replaces itself."""
+def land_edges(spans: DataFrame, path: str, checkpoint: str, trigger: dict, within_ns: int = HOUR, grace_ns: int = 300 * NANOS) -> StreamingQuery:
+    """Keep a service map up to date: each batch of spans adds its calls by pair of services and hour. A batch that is repeated replaces itself.
 
-    def add(batch: DataFrame, number: int) -> None:
-        counts = batch.groupBy("from_service", "to_service", F.date_trunc("hour", "at").alias("hour")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("failed").alias("errors"))
-        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    The calls are those of ``service_edges``. A batch meets itself and the spans that later ones can still belong to, which are kept as files
+    beside ``path`` (those of this and the last batch); the memory of the tasks bounds neither a batch nor what is kept.
+    """
 
-    return service_edges(spans).writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    def add(batch: DataFrame, number: int) -> None:
+        spark, kept = batch.sparkSession, f"{path}-recent/batch="
+        came = batch.select("trace_id", "span_id", "parent_span_id", "service_name", F.coalesce(span_is_error(), F.lit(False)).alias("failed"), F.col("start_time_unix_nano").alias("t"), F.lit(False).alias("known"))
+        if folders.exists(spark, f"{kept}{number - 1}"):
+            known = spark.read.schema(came.schema).parquet(f"{kept}{number - 1}").withColumn("known", F.lit(True))
+            over = known.agg(F.max("t")).first()[0]  # the newest span is always kept
+            came = known.unionByName(came.filter(F.col("t") >= over - grace_ns) if over is not None else came)
+        caller = [F.col(c).alias(f"of_{c}") for c in ("trace_id", "span_id", "service_name", "t", "known")]
+        near = (F.col("trace_id") == F.col("of_trace_id")) & (F.col("parent_span_id") == F.col("of_span_id")) & (F.abs(F.col("t") - F.col("of_t")) <= within_ns)
+        calls = came.filter("parent_span_id <> ''").join(came.select(*caller), near).filter("service_name <> of_service_name and not (known and of_known)")
+        pair = [F.col("of_service_name").alias("from_service"), F.col("service_name").alias("to_service"), F.date_trunc("hour", timestamp("t")).alias("hour")]
+        calls.groupBy(*pair).agg(F.count(F.lit(1)).alias("requests"), F.count_if("failed").alias("errors")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest = came.agg(F.max("t")).first()[0]
+        came.filter(F.col("t") >= (newest or 0) - grace_ns - within_ns).write.mode("overwrite").parquet(f"{kept}{number}")
+        folders.delete(spark, f"{kept}{number - 2}")
+
+    return spans.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 _OPS = {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}
@@ -365,21 +385,31 @@ _TRACE = (
 _TRACE_NAMES = [c.split()[0] for c in _TRACE.split(", ")]
 
 
-def _origins(spans: dict[str, tuple]) -> list[tuple]:
-    """Of the spans by id the failed ones that are above no other failed one: all that lies above a failed span is walked once."""
-    above: set[str] = set()
-    for failed in spans.values():
-        at = failed[1] if failed[6] == "Error" else ""
-        while at and at not in above:
-            above.add(at)
-            at = spans[at][1] if at in spans else ""
-    return [s for s in spans.values() if s[6] == "Error" and s[0] not in above]
+#: Groups of traces by a hash, each with one state: what a trace costs is rows of a table, not calls to the state store.
+BUCKETS = 1024
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_pandas()
+
+
+_NO_TRACES = pd.DataFrame({"trace_id": pd.Series(dtype=str), **{c: pd.Series(dtype="int64") for c in ("newest", "revision", "born", "spans")}, "told": pd.Series(dtype=bool)})
 
 
 class Traces(StatefulProcessor):
-    """The spans of a trace, told of when no more have come for ``quiet`` ns, and again if some come later; forgotten after ``keep`` ns without any.
+    """The spans of a bucket of traces, each trace told of when no more have come for ``quiet`` ns, and again if some come later; forgotten after ``keep`` ns without any.
 
-    New spans are only appended to the state; it is read when the trace is told of. A span that comes again replaces itself.
+    New spans are only appended to the state as one piece. When the first trace is due, the pieces that came since and, if a trace is told of again, those of before are
+    read; a span that comes again replaces itself. What is forgotten leaves the pieces once it is over half of them; until then pieces older than a trace's
+    beginning (``born``, counted in forgettings) are not its own.
     """
 
     def __init__(self, quiet: int, keep: int):
@@ -387,62 +417,122 @@ class Traces(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.about = handle.getValueState("about", "newest bigint, revision int, told boolean, timer bigint")
-        self.spans = handle.getListState("spans", _SPAN)
-
-    def _set(self, newest: int, revision: int, told: bool, before: int | None) -> None:
-        at = (newest + (self.keep if told else self.quiet)) // 1_000_000
-        if before is not None and before != at:
-            self.handle.deleteTimer(before)
-        if before != at:
+        self.about = handle.getValueState("about", "traces binary, timer bigint, age bigint, kept bigint")
+        self.fresh = handle.getListState("fresh", "spans binary")
+        self.told = handle.getListState("told", "age bigint, spans binary")
+
+    def _known(self) -> tuple[pd.DataFrame, int | None, int, int]:
+        if not self.about.exists():
+            return _NO_TRACES, None, 0, 0
+        traces, *rest = self.about.get()
+        return _unpacked(traces), *rest
+
+    def _due(self, traces: pd.DataFrame) -> pd.Series:
+        return (traces["newest"] + np.where(traces["told"], self.keep, self.quiet)) // 1_000_000
+
+    def _set(self, traces: pd.DataFrame, timer: int | None, age: int, kept: int) -> None:
+        at = int(self._due(traces).min())
+        if timer is not None and timer != at:
+            self.handle.deleteTimer(timer)
+        if timer != at:
             self.handle.registerTimer(at)
-        self.about.update((newest, revision, told, at))
+        self.about.update((_packed(traces), at, age, kept))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        newest, revision, told, timer = self.about.get() if self.about.exists() else (0, 0, False, None)
-        for part in rows:
-            self.spans.appendList([(*map(str, s[:4]), int(s[4]), int(s[5]), str(s[6]), str(s[7])) for s in part[_SPAN_NAMES].itertuples(index=False)])
-            newest = max(newest, int(part["arrived"].max()))
-        self._set(newest, revision, False, timer)
+        traces, timer, age, kept = self._known()
+        came = pd.concat(list(rows), ignore_index=True)
+        self.fresh.appendValue((_packed(came[["trace_id", *_SPAN_NAMES]]),))
+        seen = came.groupby("trace_id", as_index=False).agg(newest=("arrived", "max")).assign(revision=0, born=age, spans=0, told=False)
+        both = pd.concat([traces, seen], ignore_index=True) if len(traces) else seen
+        columns = dict(newest=("newest", "max"), revision=("revision", "max"), born=("born", "min"), spans=("spans", "max"), told=("told", "min"))
+        self._set(both.groupby("trace_id", as_index=False).agg(**columns), timer, age, kept)
         yield pd.DataFrame([], columns=_TRACE_NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        out = []
+        out = pd.DataFrame([], columns=_TRACE_NAMES)
         if self.about.exists():
-            newest, revision, told, timer = self.about.get()
+            traces, timer, age, kept = self._known()
             now = timerValues.getCurrentWatermarkInMs()
-            if not told and (newest + self.quiet) // 1_000_000 <= now:
-                spans = {s[0]: tuple(s) for s in self.spans.get()}
-                out, revision, told = [self._told(key[0], spans, revision + 1)], revision + 1, True
-            if told and (newest + self.keep) // 1_000_000 <= now:
-                self.about.clear()
-                self.spans.clear()
+            due = ~traces["told"] & ((traces["newest"] + self.quiet) // 1_000_000 <= now)
+            if due.any():
+                out, traces, more = self._tell(traces, due, age)
+                kept += more
+            gone = traces["told"] & ((traces["newest"] + self.keep) // 1_000_000 <= now)
+            if gone.any():
+                traces, age = traces[~gone].reset_index(drop=True), age + 1
+                if 2 * traces["spans"].sum() < kept:
+                    kept = self._rid(traces, age)
+            if len(traces):
+                self._set(traces, None if timer <= now else timer, age, kept)
             else:
-                self._set(newest, revision, told, None if timer <= now else timer)
-        yield pd.DataFrame(out, columns=_TRACE_NAMES)
-
-    @staticmethod
-    def _told(trace: str, spans: dict[str, tuple], revision: int) -> tuple:
-        by_start = sorted(spans.values(), key=lambda s: (s[4], s[0]))
-        root = next((s for s in by_start if s[1] == ""), by_start[0])
-        start, end = by_start[0][4], max(s[5] for s in by_start)
-        origins = [dict(span_id=s[0], service_name=s[2], name=s[3], status_message=s[7], start_time_unix_nano=s[4]) for s in _origins(spans)]
-        return trace, revision, root[2], root[3], start, end - start, len(spans), sum(s[6] == "Error" for s in by_start), sorted({s[2] for s in by_start}), origins
+                for state in (self.about, self.fresh, self.told):
+                    state.clear()
+        yield out
+
+    def _pieces(self, traces: pd.DataFrame) -> list[pd.DataFrame]:
+        """The spans told of before, of ``traces`` alone."""
+        born = traces.set_index("trace_id")["born"]
+        pieces = ((age, _unpacked(spans)) for age, spans in self.told.get()) if self.told.exists() else ()
+        return [p[p["trace_id"].map(born).le(age)] for age, p in pieces]
+
+    def _tell(self, traces: pd.DataFrame, due: pd.Series, age: int) -> tuple[pd.DataFrame, pd.DataFrame, int]:
+        fresh = pd.concat([_unpacked(spans) for (spans,) in self.fresh.get()], ignore_index=True)
+        mine = fresh["trace_id"].isin(traces.loc[due, "trace_id"])
+        came, rest = fresh[mine], fresh[~mine]
+        again = traces[due & (traces["revision"] > 0)]
+        traces = traces.assign(told=traces["told"] | due, revision=traces["revision"] + due, spans=traces["spans"] + traces["trace_id"].map(came["trace_id"].value_counts()).fillna(0).astype("int64"))
+        out = _told(pd.concat([*(self._pieces(again) if len(again) else ()), came]), traces.set_index("trace_id")["revision"])
+        self.told.appendValue((age, _packed(came)))
+        self.fresh.put([(_packed(rest),)]) if len(rest) else self.fresh.clear()
+        return out, traces, len(came)
+
+    def _rid(self, traces: pd.DataFrame, age: int) -> int:
+        """Leave in the pieces what is not forgotten."""
+        left = [p for p in self._pieces(traces) if len(p)]
+        self.told.put([(age, _packed(pd.concat(left)))]) if left else self.told.clear()
+        return sum(map(len, left))
 
     def close(self) -> None:
         pass
 
 
+def _told(spans: pd.DataFrame, revisions: pd.Series) -> pd.DataFrame:
+    """A row for each trace of ``spans``."""
+    s = spans.drop_duplicates(["trace_id", "span_id"], keep="last").sort_values(["trace_id", "start_time_unix_nano", "span_id"], ignore_index=True)
+    trace = trees.trace_numbers(pa.array(s["trace_id"], pa.string()))
+    first = np.flatnonzero(np.diff(trace, prepend=-1))
+    span, parent = trees.span_numbers(trace, pa.array(s["span_id"], pa.string()), pa.array(s["parent_span_id"], pa.string()))
+    failed = (s["status_code"] == "Error").to_numpy()
+    origin = failed & ~trees.above(span, parent, failed)[span]
+    root, at = first.copy(), np.flatnonzero((s["parent_span_id"] == "").to_numpy())[::-1]
+    root[trace[at]] = at  # the first of them comes last
+    start, end = s["start_time_unix_nano"].to_numpy(), np.maximum.reduceat(s["end_time_unix_nano"].to_numpy(), first)
+    named = pd.DataFrame({"trace": trace, "service": s["service_name"]}).drop_duplicates().sort_values(["trace", "service"])
+    services = [list(x) for x in np.split(named["service"].to_numpy(object), np.flatnonzero(np.diff(named["trace"].to_numpy())) + 1)]
+    origins: list[list[dict]] = [[] for _ in first]
+    shown = ["span_id", "service_name", "name", "status_message", "start_time_unix_nano"]
+    for n, o in zip(trace[origin], s.loc[origin, shown].to_dict("records"), strict=True):
+        origins[n].append(o)
+    ids = s["trace_id"].to_numpy(object)[first]
+    return pd.DataFrame(
+        {
+            "trace_id": ids, "revision": revisions.reindex(ids).to_numpy(), "root_service": s["service_name"].to_numpy(object)[root], "root_name": s["name"].to_numpy(object)[root], "start": start[first],
+            "duration": end - start[first], "spans": np.diff(np.r_[first, len(s)]), "errors": np.add.reduceat(failed.astype("int64"), first), "services": services, "origins": origins,
+        }
+    )
+
+
 def live_traces(spans: DataFrame, quiet: str = "30 seconds", keep: str = "1 hour", grace: str = "10 seconds", arrived: str = "start_time_unix_nano") -> DataFrame:
     """trace_id, revision, and what ``traces.search_traces`` and ``traces.error_origins`` tell of the trace, in a stream of spans.
 
     A trace is told of once no span of it has come for ``quiet``, by the time in ``arrived`` (ns; best when a span was received, since then spans that are late by
     their own time are not left out). Spans that come after that make it told again, as the next revision, for as long as ``keep`` after
-    the last one; the highest revision holds. In state are the ids, names and times of a trace's spans, no attributes.
+    the last one; the highest revision holds. In state are the ids, names and times of a trace's spans, no attributes; those of one of ``BUCKETS`` groups of traces have to fit a task.
     """
     lengths = [spans.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {x}) * 1000").first()[0] for x in (quiet, keep)]
     rows = spans.select("trace_id", *_SPAN_NAMES, F.col(arrived).alias("arrived"), timestamp(arrived).alias("at")).withWatermark("at", grace)
-    return rows.groupBy("trace_id").transformWithStateInPandas(Traces(*lengths), _TRACE, outputMode="Append", timeMode="EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(Traces(*lengths), _TRACE, outputMode="Append", timeMode="EventTime")
 
 
 def latest_traces(told: DataFrame) -> DataFrame:
