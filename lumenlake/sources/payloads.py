@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import severity_of
 from ..schema import UNKNOWN_SERVICE
 
 #: A typed value is kept as JSON text until it is shown.
-_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string,arrayValue:struct<values:array<string>>,kvlistValue:struct<values:array<struct<key:string,value:string>>>>"
 _ATTRIBUTES = "array<struct<key:string,value:string>>"
+_MAP = T.MapType(T.StringType(), T.StringType())
 _RESOURCE = f"resource:struct<attributes:{_ATTRIBUTES}>"
 _SCOPE = "scope:struct<name:string>"
-#: Levels of lists and maps within each other that are written as plain JSON; what lies deeper stays as typed values.
-LEVELS = 4
-
 #: Names of enum numbers, and the level that each four severity numbers begin with. Fixed values.
 KINDS = ("Unspecified", "Internal", "Server", "Client", "Producer", "Consumer")
 STATUS_CODES = ("Unset", "Ok", "Error")
@@ -41,58 +45,106 @@ METRICS = (
 )
 
 
-def _number(x: Column) -> Column:
-    """A double as JSON has it: no fraction if there is none, an exponent only below 1e-6 and from 1e21 on."""
-    size = F.abs(x)
-    plain = lambda digits: F.regexp_replace(F.regexp_replace(x.cast(f"decimal(38,{digits})").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    power = F.regexp_replace(F.regexp_replace(F.lower(x.cast("string")), r"\.0e", "e"), r"e(?=[0-9])", "e+")
-    return F.when(x == 0, "0").when((size >= 1) & (size < 1e21), plain(16)).when((size >= 1e-6) & (size < 1), plain(24)).otherwise(power)
+#: What JSON escapes in a string, and the signs that HTML knows.
+_ESCAPED = {n: f"\\u{n:04X}" for n in range(32)} | {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"} | {ord(c): f"\\u{ord(c):04x}" for c in "&<>"}
+_SPECIAL = {"NaN": "nan", "INF": "infinity", "+INF": "infinity", "Infinity": "infinity", "+Infinity": "infinity", "-INF": "-infinity", "-Infinity": "-infinity"}
 
 
-def _quoted(text: Column) -> Column:
-    """A JSON string; the signs that HTML knows are escaped."""
-    listed = F.to_json(F.array(text))
-    out = F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
-    for sign, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
-        out = F.replace(out, F.lit(sign), F.lit(code))
-    return out
+def _number(x: float) -> str:
+    """A double as JSON has it: no fraction if there is none, an exponent only below 1e-6 and from 1e21 on."""
+    if x != x or x in (np.inf, -np.inf):
+        return "nan" if x != x else "infinity" if x > 0 else "-infinity"
+    if 1e-6 <= abs(x) < 1e21:
+        plain = format(Decimal(repr(x)), "f")
+        return plain.rstrip("0").rstrip(".") if "." in plain else plain
+    digits, _, power = repr(x).partition("e")
+    return f"{digits}e{int(power):+d}" if x else "0"
+
+
+def _plain(value: object) -> str | None:
+    """A field that should hold text: what is none is kept as JSON."""
+    if value is None or type(value) is str:
+        return value
+    return str(value) if type(value) is int else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _shown(value: object, within: bool) -> str | None:
+    """A parsed typed value as text, ``within`` lists and maps as JSON; None if it is of no kind."""
+    if not isinstance(value, dict):
+        return None
+    for kind in ("stringValue", "bytesValue", "intValue"):
+        if (text := _plain(value.get(kind))) is not None:
+            return f'"{text.translate(_ESCAPED)}"' if within and kind != "intValue" else text
+    double, truth = value.get("doubleValue"), value.get("boolValue")
+    if isinstance(double, int | float) and not isinstance(double, bool):
+        return _number(float(double))
+    if isinstance(double, str) and double in _SPECIAL:
+        return _SPECIAL[double]
+    if isinstance(truth, bool):
+        return "true" if truth else "false"
+    listed, mapped = value.get("arrayValue"), value.get("kvlistValue")
+    items = lambda body: body["values"] if isinstance(body.get("values"), list) else []
+    if isinstance(listed, dict):
+        return "[" + ",".join(_shown(x, True) or "null" for x in items(listed)) + "]"
+    if isinstance(mapped, dict):
+        last = {_plain(e.get("key")) or "": e.get("value") for e in items(mapped) if isinstance(e, dict)}
+        return "{" + ",".join(f'"{k.translate(_ESCAPED)}":{_shown(last[k], True) or "null"}' for k in sorted(last)) + "}"
+    return None
+
+
+def _value_text(raw: str | None) -> str:
+    try:
+        return (_shown(json.loads(raw), False) or "").encode("utf-8", "replace").decode() if raw else ""
+    except (ValueError, OverflowError, RecursionError):  # no JSON, or beyond what can be read
+        return ""
+
+
+def _texts(raw: pa.Array) -> pa.Array:
+    """Typed values as text; equal ones of a batch are read once."""
+    of = raw.dictionary_encode()
+    return pc.fill_null(pa.array(map(_value_text, of.dictionary.to_pylist()), pa.string()).take(of.indices), "")
+
+
+def _maps(lists: pa.Array) -> pa.Array:
+    """Lists of attributes as maps: entries without a key go, of those of one key the last stays in its place."""
+    entries, parents = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    keys = pc.struct_field(entries, "key")
+    codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    named = np.flatnonzero(codes >= 0)[::-1]
+    _, first = np.unique(parents[named] * (len(entries) + 1) + codes[named], return_index=True)
+    kept = np.sort(named[first])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(parents[kept], minlength=len(lists)))])
+    taken = pa.array(kept, pa.int64())
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), keys.take(taken), _texts(pc.struct_field(entries, "value").take(taken)))
+
+
+@F.arrow_udf(T.StringType())
+def _text_of(raw: pa.Array) -> pa.Array:
+    return _texts(raw)
+
+
+@F.arrow_udf(_MAP)
+def _map_of(attributes: pa.Array) -> pa.Array:
+    return _maps(attributes)
+
+
+@F.arrow_udf(T.ArrayType(_MAP))
+def _maps_of(lists: pa.Array) -> pa.Array:
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), _maps(lists.flatten()))
 
 
 def any_value(raw: Column) -> Column:
     """A typed value (JSON text such as ``{"intValue": "5"}``) as text: scalars as they are, bytes in base64, lists and maps as JSON.
 
-    Keys of maps come in order. Null, and a value of no kind, is empty.
+    Keys of maps come in order. Null, a value of no kind, and what is no JSON is empty. Like ``attrs_to_map`` this has no place in a lambda.
     """
-    return F.coalesce(_shown(raw, 0), F.lit(""))
-
-
-def _shown(raw: Column, level: int) -> Column:
-    """A typed value as text, within lists and maps (``level`` above 0) as JSON."""
-
-    def of(v: Column) -> Column:
-        text = F.coalesce(v["stringValue"], v["bytesValue"])
-        scalar = F.coalesce(_quoted(text) if level else text, v["intValue"], _number(v["doubleValue"]), v["boolValue"].cast("string"))
-        nested = v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull()
-        if level == LEVELS:
-            return F.coalesce(scalar, F.when(nested, raw))
-        items = F.transform(v["arrayValue"]["values"], lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))).cast(_ATTRIBUTES)
-        entries = F.coalesce(items, F.array_sort(_last_of_each(v["kvlistValue"]["values"])), F.array().cast(_ATTRIBUTES))
-        name = lambda e: F.coalesce(F.concat(_quoted(e["key"]), F.lit(":")), F.lit(""))
-        inside = F.array_join(F.transform(entries, lambda e: F.concat(name(e), F.coalesce(_shown(e["value"], level + 1), F.lit("null")))), ",")
-        listed = F.when(v["arrayValue"].isNotNull(), F.concat(F.lit("["), inside, F.lit("]"))).when(nested, F.concat(F.lit("{"), inside, F.lit("}")))
-        return F.coalesce(scalar, listed)
-
-    return F.element_at(F.transform(F.array(F.from_json(raw, _VALUE)), of), 1)  # parsed once
-
-
-def _last_of_each(entries: Column) -> Column:
-    return F.filter(entries, lambda e, at: ~F.exists(F.slice(entries, at + 2, F.size(entries)), lambda f: f["key"] == e["key"]))
+    return _text_of(raw)
 
 
 def attrs_to_map(attributes: Column) -> Column:
     """A list of attributes (key, typed value as JSON text) as a map of strings; of a repeated key the last value holds. Null is an empty map."""
-    listed = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda e: e["key"].isNotNull())
-    return F.map_from_entries(F.transform(_last_of_each(listed), lambda e: F.struct(e["key"], any_value(e["value"]))))
+    return _map_of(attributes.cast(_ATTRIBUTES))
 
 
 def _enum(text: Column, prefix: str, names: tuple[str, ...]) -> Column:
@@ -149,14 +201,15 @@ def flatten_spans(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """The spans of JSON payloads; a negative length is 0."""
     rows = _records(payloads, SPANS, "resourceSpans", "scopeSpans", "spans", column)
     begin, end = _time(F.col("r.startTimeUnixNano")), _time(F.col("r.endTimeUnixNano"))
-    event = lambda e: F.struct(_time(e["timeUnixNano"]).alias("time_unix_nano"), e["name"].alias("name"), attrs_to_map(e["attributes"]).alias("attributes"))
+    maps = _maps_of(F.transform("r.events", lambda e: e["attributes"]))
+    event = lambda e, m: F.struct(_time(e["timeUnixNano"]).alias("time_unix_nano"), e["name"].alias("name"), m.alias("attributes"))
     none = F.array().cast("array<struct<time_unix_nano:bigint,name:string,attributes:map<string,string>>>")
     return rows.select(
         _id(F.col("r.traceId")).alias("trace_id"), _id(F.col("r.spanId")).alias("span_id"), _id(F.col("r.parentSpanId")).alias("parent_span_id"), F.coalesce("r.name", F.lit("")).alias("name"),
         _enum(F.col("r.kind"), "SPAN_KIND_", KINDS).alias("kind"), begin.alias("start_time_unix_nano"), end.alias("end_time_unix_nano"),
         F.greatest(end - begin, F.lit(0)).alias("duration_nano"), _enum(F.col("r.status.code"), "STATUS_CODE_", STATUS_CODES).alias("status_code"),
         F.coalesce("r.status.message", F.lit("")).alias("status_message"), "service_name", "scope_name", attrs_to_map(F.col("r.attributes")).alias("attributes"),
-        "resource_attributes", F.coalesce(F.transform("r.events", event), none).alias("events"),
+        "resource_attributes", F.coalesce(F.zip_with("r.events", maps, event), none).alias("events"),
     )
 
 
