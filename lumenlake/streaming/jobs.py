@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.predicates import Term, log_filter, span_is_error
@@ -260,31 +262,104 @@ def rule_events(logs: DataFrame, rules: DataFrame, every: int, grace_ns: int = 5
     )
 
 
-#: What a point of a cumulative series adds, and what is known of it.
-_POINT = "start_time_unix_nano bigint, time_unix_nano bigint, value double, count bigint, sum double, explicit_bounds array<double>, bucket_counts array<bigint>"
-_POINT_NAMES = [c.split()[0] for c in _POINT.split(", ")]
+_POINT_NAMES = ["start_time_unix_nano", "time_unix_nano", "value", "count", "sum", "explicit_bounds", "bucket_counts"]
+#: Groups of series by a hash, each with one state, and the most points in one piece.
+PARTS, PIECE = 256, 100_000
 
 
-def _less(now: tuple, before: tuple) -> tuple:
-    """What a point adds to the one before it in the series: all of it after a reset (another start, or a lower value or count)."""
-    start, time, value, count, total, bounds, buckets = now
-    going_on = start == before[0]
-    grown = None
-    if value is not None:
-        reset = not going_on or (before[2] is not None and value < before[2])
-        grown = value if reset else value - before[2] if before[2] is not None else None
-    if count is not None and before[3] is not None and going_on and count >= before[3]:
-        if buckets is not None and before[6] is not None and len(buckets) == len(before[6]):
-            buckets = [a - b for a, b in zip(buckets, before[6], strict=True)]
-        count, total = count - before[3], total - before[4] if total is not None and before[4] is not None else None
-    return start, time, grown, count, total, bounds, buckets
+def _piece(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(piece: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(piece)).read_all()
+
+
+def _pieces(table: pa.Table) -> list[bytes]:
+    return [_piece(table.slice(k, PIECE)) for k in range(0, len(table), PIECE)]
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, newest, points: the rows of a task in pieces, so that no row of its own goes through the stateful step."""
+
+    def pieces(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept)
+        rows = rows.take(np.argsort(rows["part"].to_numpy(), kind="stable"))
+        parts, first = np.unique(rows["part"].to_numpy(), return_index=True)
+        cut = [rows.slice(k, n).drop_columns("part") for k, n in zip(first, np.diff(np.r_[first, len(rows)]), strict=True)]
+        newest = pa.array([pc.max(x["time_unix_nano"]).as_py() for x in cut], pa.int64())
+        return pa.record_batch({"part": pa.array(parts, pa.int64()), "newest": newest, "points": pa.array(map(_piece, cut), pa.binary())})
+
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(batch)
+        size += len(batch)
+        if size >= PIECE:
+            yield pieces(kept)
+            kept, size = [], 0
+    if size:
+        yield pieces(kept)
+
+
+def _in_order(points: pa.Table, keys: list[str]) -> pa.Table:
+    """Points by series and time; those of one time by start, then value or count and sum and buckets, as in the batch operators."""
+    names = [*keys, "time_unix_nano", "start_time_unix_nano", "value", "count", "sum"]
+    above = lambda c: pc.fill_null(pc.is_nan(points[c]), False)  # noqa: E731  (NaN is above all others, as in Spark)
+    columns = [*(points[c] for c in names[:-3]), above("value"), points["value"], points["count"], above("sum"), points["sum"]]
+    order = pa.table(columns, [f"c{k}" for k in range(len(columns))])
+    points = points.take(pc.sort_indices(order, sort_keys=[(c, "ascending") for c in order.column_names], null_placement="at_start"))
+    alike = ~_differs(points, names)
+    if not alike.any() or not (alike & pc.is_valid(points["bucket_counts"]).to_numpy()).any():
+        return points
+    buckets, place = points["bucket_counts"].to_pylist(), np.arange(len(points))
+    first = np.flatnonzero(~alike)
+    for low, high in zip(first, np.r_[first[1:], len(points)], strict=True):
+        if high - low > 1:
+            place[low:high] = sorted(range(low, high), key=lambda k: [(x is not None, x or 0) for x in buckets[k] or []])
+    return points.take(place)
+
+
+def _differs(points: pa.Table, names: list[str]) -> np.ndarray:
+    """Whether a row is other than the one before it in any of the columns ``names``; null is like null."""
+    out = np.zeros(len(points), bool)
+    out[:1] = True
+    for name in names:
+        number = points[name].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        out[1:] |= number[1:] != number[:-1]
+    return out
+
+
+def _less(now: pa.Table, before: pa.Table) -> pa.Table:
+    """``now`` with what each point adds to the one of ``before`` in its place: all of it after a reset (another start, or a lower value or count)."""
+    is_so = lambda x: pc.fill_null(x, False)
+    going_on = is_so(pc.equal(now["start_time_unix_nano"], before["start_time_unix_nano"]))
+    value, old = now["value"], before["value"]
+    lower = pc.or_(pc.less(value, old), pc.and_(pc.is_nan(old), pc.invert(pc.is_nan(value))))
+    grown = pc.if_else(pc.or_(pc.invert(going_on), is_so(lower)), value, pc.subtract(value, old))
+    counted = pc.and_(going_on, is_so(pc.greater_equal(now["count"], before["count"])))
+    less = lambda c: pc.if_else(counted, pc.subtract(now[c], before[c]), now[c])
+    buckets, old = now["bucket_counts"].combine_chunks(), before["bucket_counts"].combine_chunks()
+    same = pc.and_(counted, is_so(pc.equal(pc.list_value_length(buckets), pc.list_value_length(old)))).to_numpy()
+    if same.any():
+        mine, other = buckets.filter(pa.array(same)), old.filter(pa.array(same))
+        offsets = np.r_[0, np.cumsum(pc.list_value_length(mine).to_numpy())].astype(np.int32)
+        rest = pa.ListArray.from_arrays(offsets, pc.subtract(mine.flatten(), other.flatten()), type=buckets.type)
+        buckets = pa.concat_arrays([buckets, rest]).take(pa.array(np.where(same, len(buckets) + np.cumsum(same) - 1, np.arange(len(buckets)))))
+    for name, column in (("value", grown), ("count", less("count")), ("sum", less("sum")), ("bucket_counts", buckets)):
+        at = now.schema.get_field_index(name)
+        now = now.set_column(at, now.schema.field(at), column)
+    return now
 
 
 class Increments(StatefulProcessor):
-    """Points of a cumulative series in order of time, however they come, each as what it adds to the one before.
+    """Points of a part of all cumulative series in order of time, however they come, each as what it adds to the one before in its series.
 
-    Points wait in a buffer until the watermark has passed their time; then no earlier one can come. The last one that left the buffer is
-    kept, so that resets are seen across batches. A series without a point for more than ``idle`` ns begins anew, and is forgotten.
+    Points wait in pieces until the watermark has passed their time; then no earlier one is taken. The last ones that left are
+    kept, so that resets are seen across batches. A series without a point for more than ``idle`` ns begins anew, and is forgotten. What a
+    series costs is rows of a table, not calls to the state store.
     """
 
     def __init__(self, idle: int):
@@ -292,72 +367,78 @@ class Increments(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", _POINT)
-        self.waiting = handle.getListState("waiting", _POINT)
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def _wake(self, at: int | None) -> None:
-        """One timer: for the first point that waits, or for when the series is forgotten."""
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
-        if at is not None:
-            self.timer.update((at,))
-            self.handle.registerTimer(at)
+        self.about = handle.getValueState("about", "timer bigint, done bigint")  # ms; of points up to done all have left
+        self.last = handle.getListState("last", "points binary")
+        self.waiting = handle.getListState("waiting", "points binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        came = [_plain(row) for part in rows for row in part[_POINT_NAMES].itertuples(index=False)]
-        if self.last.exists():
-            last = self.last.get()[1]
-            came = [point for point in came if point[1] > last]
-        self.waiting.appendList(came)
-        first = min((point[1] for point in self.waiting.get()), default=None) if came else None
-        if first is not None:
-            self._wake(first // 1_000_000)
-        yield self._shown(key, [])
+        timer, done = self.about.get() if self.about.exists() else (None, None)
+        came = pa.concat_tables([_table(piece) for part in rows for piece in part["points"]])
+        micros = came["time_unix_nano"].to_numpy() // 1000
+        if done is not None:
+            came, micros = came.filter(pa.array(micros > done * 1000)), micros[micros > done * 1000]
+        if len(came):
+            self.waiting.appendList([(piece,) for piece in _pieces(came)])
+            first = _before(micros.min())
+            if timer is None or first < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+                self.about.update((first, done))
+        yield pd.DataFrame([], columns=["points"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
-        points = [tuple(p) for p in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((p for p in points if p[1] // 1_000_000 <= now), key=_in_order)
-        rest = [p for p in points if p[1] // 1_000_000 > now]
-        before, out = tuple(self.last.get()) if self.last.exists() else None, []
-        for point in ready:
-            if before is not None and point[1] - before[1] <= self.idle:
-                out.append((*key, *_less(point, before)))
-            before = point
-        if ready:
-            self.last.update(before)
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self._wake(min(p[1] for p in rest) // 1_000_000)
-        elif before is not None and (forget := (before[1] + self.idle) // 1_000_000) > now:
-            self._wake(forget)
-        else:
-            self.last.clear()
-        yield self._shown(key, out)
+        known = lambda state: [_table(piece) for (piece,) in state.get()] if state.exists() else []
+        waiting, last, out, timer = known(self.waiting), known(self.last), [], []
+        if waiting:
+            points = pa.concat_tables(waiting)
+            ready = points["time_unix_nano"].to_numpy() // 1000 <= now * 1000
+            rest = points.filter(pa.array(~ready))
+            if ready.any():
+                told, last = self._told(pa.concat_tables([*last, points.filter(pa.array(ready))]), sum(map(len, last)))
+                out, last = _pieces(told), [last]
+                self._put(self.waiting, rest)
+            if len(rest):
+                timer.append(_before(rest["time_unix_nano"].to_numpy().min() // 1000))
+        if last:
+            left = pa.concat_tables(last)
+            forget = (left["time_unix_nano"].to_numpy() + self.idle) // 1_000_000
+            left = left.filter(pa.array(forget > now))
+            self._put(self.last, left)
+            if len(left) and not timer:
+                timer.append(int(forget[forget > now].min()))
+        for at in timer:
+            self.handle.registerTimer(at)
+        self.about.update((timer[0] if timer else None, now))
+        yield pd.DataFrame({"points": out}, columns=["points"])
+
+    def _told(self, points: pa.Table, known: int) -> tuple[pa.Table, pa.Table]:
+        """What all but the first ``known`` points add, and the last point of each series."""
+        keys = [c for c in points.column_names if c not in _POINT_NAMES]
+        mark = points.append_column("told", pa.array(np.arange(len(points)) < known))
+        points = _in_order(mark, keys)
+        begins = _differs(points, keys) if keys else np.arange(len(points)) == 0
+        time, told = points["time_unix_nano"].to_numpy(), points["told"].to_numpy()
+        points = points.drop_columns("told")
+        follows = ~begins & ~told & (np.diff(time, prepend=time[:1]) <= self.idle)
+        at = np.flatnonzero(follows)
+        return _less(points.take(at), points.take(at - 1)), points.take(np.flatnonzero(np.r_[begins[1:], True]))
 
     @staticmethod
-    def _shown(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*(f"k{n}" for n in range(len(key))), *_POINT_NAMES]).astype({"count": "Int64"})
+    def _put(state: ListState, points: pa.Table) -> None:
+        if len(points):
+            state.put([(piece,) for piece in _pieces(points)])
+        else:
+            state.clear()
 
     def close(self) -> None:
         pass
 
 
-def _plain(row: tuple) -> tuple:
-    """A point of plain values; what is absent is None."""
-    start, time, value, count, total, bounds, buckets = row
-    number = lambda x, kind: None if x is None or x != x else kind(x)
-    listed = lambda x, kind: None if x is None else [kind(y) for y in x]
-    return int(start), int(time), number(value, float), number(count, int), number(total, float), listed(bounds, float), listed(buckets, int)
-
-
-def _in_order(point: tuple) -> tuple:
-    """Points of one time go by start, then value or count and sum, as in the batch operators."""
-    start, time, *numbers, _, buckets = point
-    return time, start, *((x is not None, x or 0) for x in numbers), buckets or []
+def _before(micros: int) -> int:
+    """The timer (ms) that expires with the first watermark that has passed a time: one expires when the watermark is above it."""
+    return int(-(-int(micros) // 1000) - 1)
 
 
 def live_increments(points: DataFrame, keys: list[str], grace: str = "5 minutes", idle: str = "1 day") -> DataFrame:
@@ -365,15 +446,23 @@ def live_increments(points: DataFrame, keys: list[str], grace: str = "5 minutes"
 
     ``keys`` tell series apart and are carried along (so may be constants of a series, as a service). ``value`` is a counter's increment; count, sum
     and bucket_counts are those of histograms. A series' first point adds nothing and is left out. Points that come in any order within the
-    grace give the increments of ``metrics.counter_increments`` and ``metrics.distribution_increments``; later ones are left out. Delta
-    points and summaries need no state: they are increments.
+    grace give the increments of ``metrics.counter_increments`` and ``metrics.distribution_increments``; later ones are left out, unless none of their
+    part of the series has been told of beyond them. Delta points and summaries need no state: they are increments. What waits of one of ``PARTS`` groups of series has to fit a task.
     """
-    timed = points.select(*keys, *_POINT_NAMES, timestamp("time_unix_nano").alias("at")).withWatermark("at", grace)
-    kinds = dict(points.dtypes)
-    schema = ", ".join(f"k{n} {kinds[k]}" for n, k in enumerate(keys))
+    names = [f"k{n}" for n in range(len(keys))]
+    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).alias("part")
+    rows = points.select(part, *(F.col(k).alias(name) for name, k in zip(names, keys, strict=True)), *_POINT_NAMES)
+    kinds = dict(rows.drop("part").dtypes)
     seconds = points.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {idle}) * 1000").first()[0]
-    found = timed.groupBy(*keys).transformWithStateInPandas(Increments(seconds), f"{schema}, {_POINT}", outputMode="Append", timeMode="EventTime")
-    return found.withColumnsRenamed({f"k{n}": k for n, k in enumerate(keys)})
+    pieces = rows.mapInArrow(_by_part, "part bigint, newest bigint, points binary").withColumn("at", timestamp("newest")).withWatermark("at", grace)
+    found = pieces.groupBy("part").transformWithStateInPandas(Increments(seconds), "points binary", outputMode="Append", timeMode="EventTime")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.column("points").to_pylist():
+                yield from _table(piece).to_batches()
+
+    return found.mapInArrow(opened, ", ".join(f"{name} {kind}" for name, kind in kinds.items())).withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 _SPAN = "span_id string, parent_span_id string, service_name string, name string, start_time_unix_nano bigint, end_time_unix_nano bigint, status_code string, status_message string"
@@ -390,15 +479,11 @@ BUCKETS = 1024
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+    return _piece(pa.Table.from_pandas(rows, preserve_index=False))
 
 
 def _unpacked(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(bytes(data)).read_pandas()
+    return _table(data).to_pandas()
 
 
 _NO_TRACES = pd.DataFrame({"trace_id": pd.Series(dtype=str), **{c: pd.Series(dtype="int64") for c in ("newest", "revision", "born", "spans")}, "told": pd.Series(dtype=bool)})
